@@ -12,6 +12,18 @@ from .tokens import public_path
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 2048 ids with their segment columns; the id matrix as SHA-256 of each row."""
     from . import token_output
@@ -31,6 +43,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_output, op8_bpe, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_substring, op5_token_output, op8_bpe, op10_packing)}
 
 ORACLES: dict[str, str] = {}

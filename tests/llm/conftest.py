@@ -1,12 +1,7 @@
 import random
 
 import pytest
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def rows_of(texts, first=0):
-    return [(first + i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+from conftest_rows import DOCS, rows_of
 
 
 @pytest.fixture(scope="session")
