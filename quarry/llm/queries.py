@@ -31,18 +31,33 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.windows(table(spark, sf_dir, "documents"), public_path(BYTE_BPE), digest=True)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learned(docs, table(spark, sf_dir, "labels"))
+    out = quality.judge(docs.select("doc_id", "text"), rules)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_path(WORD_BPE), digest=True)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_substring, op5_token_output, op8_bpe, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_substring, op5_token_output, op7_quality, op8_bpe, op9_embedding_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
