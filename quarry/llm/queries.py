@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 from .tokens import public_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from ids outside the held-out fold; every text is scored."""
+    from . import toxicity
+
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -31,6 +42,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.windows(table(spark, sf_dir, "documents"), public_path(BYTE_BPE), digest=True)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -58,6 +75,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_substring, op5_token_output, op7_quality, op8_bpe, op9_embedding_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_substring, op5_token_output, op6_lm_score, op7_quality, op8_bpe, op9_embedding_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
