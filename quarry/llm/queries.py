@@ -29,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring
 
@@ -75,6 +81,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_substring, op5_token_output, op6_lm_score, op7_quality, op8_bpe, op9_embedding_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_html_extraction, op4_substring, op5_token_output, op6_lm_score, op7_quality, op8_bpe, op9_embedding_dedup, op10_packing)}
 
 ORACLES: dict[str, str] = {}
