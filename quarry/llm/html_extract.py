@@ -172,6 +172,9 @@ def labelled_pages() -> list[list[tuple[int, int, int, int, int, int]]]:
             body = [(a, a // 4 if j % 2 else 0, 0, 1, 0, 1), (b, 0, 0, 1, 0, 1), (a, 0, 0, 1, 0, 1)]
             replies = [(a, 0, 1, 1, 0, 0), (b, 0, 1, 1, 0, 0)] if (i + j) % 3 == 0 else []
             footer = [(a, 0, 1, 0, 0, 0)] if j % 5 else []
+            share = [(1 + k, 1 + k, 1, 1, 0, 0) for k in range(1 + j % 2)]
+            pages.append([(a, 0, 1, i % 2, 0, 0), (b, 0, 0, 1, 0, 1), *share])
+            pages.append([*share, (b, 0, 0, 1, 0, 1), *share, (a, 0, 0, 1, 0, 1)])
             pages.append(menu + advert + title + body + replies + footer)
             plain = [(1 + k % 3, 1 + k % 3, 0, 0, 0, 0) for k in range((i + j) % 4)]
             prose = [(2 + a // 8, 0, 0, 0, 1, 1), (40 + a, a // 9, 0, 0, 0, 1), (30 + b, 0, 0, 0, 0, 1)]
