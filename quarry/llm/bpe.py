@@ -1,16 +1,16 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the last bytes before each white-space run decides where a
+A rolling hash over the last characters before a white-space run decides where a
 text is cut, so equal passages are cut alike wherever they stand. A chunk that
 was met before in any document of this worker is taken from the chunk table; a
 new one is put together from its words' ids, and new words go to the library in
-one batch. Tables are bounded and only save time: an emptied table changes no id.
+one batch. Tables are bounded, are shared by all tasks of a worker, and only save
+time: an emptied table changes no id.
 
-Joins are then repaired: the words around a cut are encoded together and compared
-with what stands there; while they differ, the window is widened and what the
-library says for the window replaces both sides. Words within a new chunk are
-joined in the same way, by one test of the whole chunk for each pair of
-neighbouring byte classes that was not yet held safe.
+Joins are then repaired. How one piece ends and the next begins is held against
+the library when first met; where the ids of both together differ from those of
+each alone, the window around such a join is re-encoded and widened to the left
+until the library's ids for it agree with what stands there.
 
 Null: empty. Empty: no ids. Very long texts: by chunks. An empty table gives no rows.
 """
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +45,13 @@ def _roll(text: str, window: int = 6) -> int:
 class ChunkCoder:
     """Encodes texts with one tokenizer file, reusing chunks and words."""
 
-    def __init__(self, path: str, mask: int = 15, longest: int = 64, most_words: int = 600_000, most_chunks: int = 150_000):
+    def __init__(self, path: str, mask: int = 15, longest: int = 64, most_words: int = 1_000_000, most_chunks: int = 100_000):
         self.lib, self.mask, self.longest = library(path), mask, longest
         self.most_words, self.most_chunks = most_words, most_chunks
-        self.words: dict[str, tuple[bool, bytes]] = {}  # a piece: does a chunk end with it; its ids
+        self.words: dict[str, tuple[bytes, str, str, bool]] = {}  # a piece: its ids, how it begins and ends, does a chunk end with it
         self.chunks: dict[str, bytes] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.safe: set[tuple[str, str]] = set()  # ends and beginnings that were held apart by the library
+        self.unsafe: set[tuple[str, str]] = set()
         self.reused = self.fresh = 0
 
     def _encode(self, text: str) -> bytes:
@@ -61,92 +64,78 @@ class ChunkCoder:
         if len(known) > self.most_words:
             known.clear()
         new = list({p for pieces in cut for p in pieces if p not in known})
-        if new:
-            for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = (_roll(p) & self.mask == 0, np.array(e.ids, dtype="<u4").tobytes())
+        kind = lambda c: "é" if c > "\x7f" and c.isalpha() else c
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[p] = (np.array(e.ids, dtype="<u4").tobytes(), sys.intern(p[0] + kind(p[1:2])), sys.intern(kind(p[-1])), _roll(p) & self.mask == 0)
         return cut
 
-    def _safe(self, left: str, right: str) -> bool:
-        """Whether these neighbouring pieces have, encoded together, the ids they have alone."""
-        key = (left, right)
-        ok = self.joins.get(key)
-        if ok is None:
-            if len(self.joins) > 100_000:
-                self.joins.clear()
-            ok = self.joins[key] = self._encode(left + right) == self.words[left][1] + self.words[right][1]
-        return ok
-
-    def _chunk(self, pieces: list[str]) -> bytes:
-        """The ids of a chunk: its words' ids, held against the library where neighbours are not plainly apart."""
-        words, out, start = self.words, [], 0
-        for i in range(1, len(pieces)):
-            if not self._apart(pieces[i - 1], pieces[i]) and not self._safe(pieces[i - 1], pieces[i]):
-                return self._encode("".join(pieces))
-        out = [words[p][1] for p in pieces[start:]]
-        return b"".join(out)
-
-    def _apart(self, left: str, right: str) -> bool:
-        """Held for letters of the basic scripts around a single break: tested once for each class of characters."""
-        a, b = left[-1], right[1:2]
-        key = (a if a < "\x80" else "é" if a.isalpha() else a, right[0], b if b < "\x80" else "é" if b.isalpha() else b)
-        ok = self.joins.get(key)
-        if ok is None:
-            ok = self.joins[key] = self._safe(left, right)
-        return ok
+    def _agree(self, left: str, right: str) -> bool:
+        """Whether the library gives these neighbours, encoded together, the ids they have alone."""
+        return self._encode(left + right) == self.words[left][0] + self.words[right][0]
 
     def encode(self, pieces: list[str]) -> bytes:
-        words, table = self.words, self.chunks
-        ids: list[bytes] = []
-        chunks: list[list[str]] = []
-        run: list[str] = []
-        for p in pieces:
-            run.append(p)
-            if words[p][0] or len(run) >= self.longest:
-                chunks.append(run)
-                run = []
-        if run:
-            chunks.append(run)
-        for run in chunks:
-            key = "".join(run)
-            got = table.get(key)
-            if got is None:
-                self.fresh += 1
-                if len(table) > self.most_chunks:
-                    table.clear()
-                got = table[key] = self._chunk(run)
-            else:
-                self.reused += 1
-            ids.append(got)
-        return self._repair(chunks, ids)
-
-    def _repair(self, chunks: list[list[str]], ids: list[bytes]) -> bytes:
-        """Re-encodes around each join until it agrees with what stands there."""
-        out, text = [], []
-        for run, got in zip(chunks, ids, strict=True):
-            if out and not self._safe(text[-1][-1], run[0]):
-                # widen to the whole chunks on both sides: their text is encoded as one
-                run, got = text.pop() + run, b""
-                out.pop()
-                got = self._encode("".join(run))
-                while out and not self._safe(text[-1][-1], run[0]):
-                    run = text.pop() + run
-                    out.pop()
-                    got = self._encode("".join(run))
-            out.append(got)
-            text.append(run)
+        if not pieces:
+            return b""
+        known = [self.words[p] for p in pieces]
+        ids, heads, tails, ends = zip(*known, strict=True)
+        joins = set(zip(tails, heads[1:], strict=False))
+        if not joins <= self.safe:
+            for k, join in enumerate(zip(tails, heads[1:], strict=False)):
+                if join not in self.safe and join not in self.unsafe:
+                    (self.safe if self._agree(pieces[k], pieces[k + 1]) else self.unsafe).add(join)
+            if joins & self.unsafe:
+                return self._repaired(pieces, tails, heads)
+        out, start, table = [], 0, self.chunks
+        stops = [i for i, end in enumerate(ends, start=1) if end]
+        if not stops or stops[-1] < len(pieces):
+            stops.append(len(pieces))
+        for stop in stops:
+            for a in range(start, stop, self.longest):
+                b = min(stop, a + self.longest)
+                key = "".join(pieces[a:b])
+                got = table.get(key)
+                if got is None:
+                    self.fresh += 1
+                    if len(table) > self.most_chunks:
+                        table.clear()
+                    got = table[key] = b"".join(ids[a:b])
+                else:
+                    self.reused += 1
+                out.append(got)
+            start = stop
         return b"".join(out)
 
+    def _repaired(self, pieces: list[str], tails: tuple[str, ...], heads: tuple[str, ...]) -> bytes:
+        """Joins pieces one by one; where a join isn't known to be safe, re-encodes a widening window until it agrees."""
+        groups: list[tuple[str, bytes]] = []  # text and ids; the joins between groups agree
+        for k, p in enumerate(pieces):
+            text, got = p, self.words[p][0]
+            if k and (tails[k - 1], heads[k]) in self.unsafe:
+                while groups and self._encode(groups[-1][0] + text) != groups[-1][1] + got:
+                    text = groups.pop()[0] + text
+                    got = self._encode(text)
+            groups.append((text, got))
+        return b"".join(g for _, g in groups)
+
+
+@lru_cache(2)
+def coder(path: str) -> ChunkCoder:
+    """One table for all tasks of a worker."""
+    return ChunkCoder(path)
+
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Ids (uint32, little endian) and decoded text of each document; with ``digest`` their SHA-256 and the count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(tokenizer)
+        own = coder(tokenizer)
         for batch in slices(batches, 500, 4_000_000):
             names = batch.column(0).to_pylist()
-            cut = coder.learn([t or "" for t in batch.column(1).to_pylist()])
-            raw = [coder.encode(pieces) for pieces in cut]
-            decoded = coder.lib.decode_batch([np.frombuffer(r, dtype="<u4").tolist() for r in raw], skip_special_tokens=False)
+            cut = own.learn([t or "" for t in batch.column(1).to_pylist()])
+            raw = [own.encode(pieces) for pieces in cut]
+            decoded = own.lib.decode_batch([np.frombuffer(r, dtype="<u4").tolist() for r in raw], skip_special_tokens=False)
             counts = pa.array([len(r) // 4 for r in raw], pa.int64())
             if digest:
                 sha = lambda items: pa.array([hashlib.sha256(x).hexdigest() for x in items], pa.string())
