@@ -177,3 +177,13 @@ def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFra
 
 def learned(docs: DataFrame, labels: DataFrame, **options) -> list[Rule]:  # noqa: ANN003
     return learn(labelled_statistics(docs, labels, **options))
+
+
+def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, with its columns.
+
+    The row number holds the filter above the projections: pushed below, it would
+    be written out in terms of the text and compute every statistic many times.
+    """
+    out = judge(docs, rules, text_col).withColumn("_row", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")

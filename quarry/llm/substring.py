@@ -204,3 +204,28 @@ def remove_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: s
     joined = texts.join(at, texts[id_col] == at["doc"], "left").select(id_col, text_col, "at")
     unnamed = docs.where(docs[id_col].isNull()).select(F.lit(None).cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col), F.lit(None).cast("array<long>").alias("at"))
     return joined.union(unnamed).mapInArrow(cut, f"{id_col} long, n_words long, n_removed long, {kept} string")
+
+
+def cut_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every column; texts that lose words have the others joined by a space, the rest stay as they are."""
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    at = repeats(docs, length, anchor, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("_at")).withColumnRenamed("doc", "_doc")
+    joined = docs.join(at, docs[id_col] == F.col("_doc"), "left").drop("_doc")
+    place = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, counts = [], []
+            for text, raw, packed in zip(batch.column(place).to_pylist(), utf8(batch.column(place)), batch.column(len(columns)).to_pylist(), strict=True):
+                words = raw.split() if packed else []
+                gone = covered(len(words), packed, _mark(raw), length)
+                texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() if gone.any() else text)
+                counts.append(int(gone.sum()))
+            cols = list(batch.columns[: len(columns)])
+            cols[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*columns, "n_removed"])
+
+    columns = docs.columns
+    fields = [f if f.name != text_col else type(f)(f.name, StringType()) for f in docs.schema.fields]
+    return joined.mapInArrow(cut, StructType(fields).add("n_removed", LongType()))
