@@ -21,11 +21,14 @@ FIELD_WEIGHTS = {"symbol": 3, "name": 3, "file": 2, "content": 1}
 
 TERM_SPACE = 65_536
 
+#: Runs of letters and digits; the places where camel case is cut.
+RUNS, CAMEL = r"([\p{L}\p{Nd}]+)", r"(?<=\P{Lu})(?=\p{Lu})"
+
 
 def words(text: Column) -> Column:
     """Runs of letters and digits, cut before an upper-case letter that follows none, lower-cased."""
-    runs = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
-    return F.flatten(F.transform(runs, lambda w: F.transform(F.split(w, r"(?<=\P{Lu})(?=\p{Lu})"), F.lower)))
+    runs = F.regexp_extract_all(text, F.lit(RUNS), F.lit(1))
+    return F.flatten(F.transform(runs, lambda w: F.transform(F.split(w, CAMEL), F.lower)))
 
 
 def tokenize(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ UNKNOWN = 0.1
 
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term): a row for each kept token."""
-    return docs.select(id_col, F.explode(T.words(F.col(text_col))).alias("term")).where(T.kept_term(F.col("term")))
+    runs = docs.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(T.RUNS), F.lit(1))).alias("run"))
+    return runs.select(id_col, F.explode(F.split("run", T.CAMEL)).alias("term")).select(id_col, F.lower("term").alias("term")).where(T.kept_term(F.col("term")))
 
 
 def frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,15 +30,22 @@ def idf(n: Column, df: Column) -> Column:
 
 
 class Bm25:
-    """Statistics of a corpus: ``tf`` (id, term_hash, tf), ``df`` (term_hash, df), n and avgdl as one-row ``stats``."""
+    """Statistics of a corpus: ``tf`` (id, term_hash, tf), ``df`` (term_hash, df), n and avgdl as one-row ``stats``.
 
-    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content"):
+    All of them come from ``tf``, which is kept (spilling to disk) so that texts
+    are tokenized once; ``close`` lets it go. A stored ``tf`` may be given instead.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", tf: DataFrame | None = None):
         self.id_col = id_col
-        self.tf = frequencies(docs, id_col, text_col)
+        self.tf = tf if tf is not None else frequencies(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
         self.df = self.tf.groupBy("term_hash").agg(F.count("*").alias("df"))
         total = self.tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
         self.stats = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
 
+    def close(self) -> None:
+        self.tf.unpersist()
+
     def postings(self) -> DataFrame:
         """(id, term_hash, weight): BM25 weights of documents; terms without positive idf are left out."""
         length = self.tf.groupBy(self.id_col).agg(F.sum("tf").alias("dl"))

@@ -13,7 +13,8 @@ def quiet_periods(events: DataFrame, gap: str = "5 seconds", late: str | None =
 
     Give ``late`` on streams: how long events may be late. Batch needs none.
     """
-    rows = events.withWatermark(at, late) if late else events
+    rows = events.withColumn(at, F.col(at).cast("timestamp"))
+    rows = rows.withWatermark(at, late) if late else rows
     return rows.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "n")
 
 
