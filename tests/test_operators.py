@@ -148,6 +148,16 @@ def test_dense(spark):
     assert all(g.vec_id % 3 == g.query_id % 3 for g in dense.search(v, q, k=7, same=("label",)).collect())
 
 
+def test_index_recall(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = {(r.query_id, r.vec_id) for r in dense.search(v, q).collect()}
+    index = dense.Ivf(v)
+    assert index.rows.count() == v.count()
+    for found in (index.search(q), dense.quantised_search(v, q)):
+        assert len(best & {(r.query_id, r.vec_id) for r in found.collect()}) >= 0.9 * len(best)
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.5, 2)], "query_id int, id int, score double, rank int")
     b = spark.createDataFrame([(1, 11, 7.0, 1), (1, 12, 3.0, 2)], "query_id int, id int, score double, rank int")
