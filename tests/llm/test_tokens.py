@@ -65,6 +65,20 @@ def test_decode(spark, corpus):
     assert all(r[0] == r[1] for r in bpe.decode(enc.withColumnRenamed("decoded", "was"), WORD).select("was", "decoded").collect())
 
 
+def test_clashing_columns_and_repeated_rows(spark, clashing, odd_docs):
+    twice = odd_docs.union(odd_docs)
+    assert sum(p.length for p in packing.pack(twice, BYTE).collect()) == 2 * sum(p.length for p in packing.pack(clashing, BYTE).collect())
+    assert sum(w.n_tokens for w in token_output.windows(twice, BYTE).collect()) == 2 * sum(w.n_tokens for w in token_output.windows(clashing, BYTE).collect())
+    nulls = spark.createDataFrame([(None, None), (None, "a")], "doc_id long, text string")
+    assert len(packing.pack(nulls, BYTE).collect()) == 2 and len(bpe.encode_decode(nulls, WORD).collect()) == 2
+
+
+def test_whole_documents_stay_whole(odd_docs):
+    pieces = packing.pack(odd_docs, BYTE, cut=False, with_ids=True).collect()
+    assert all(p.length == p.doc_tokens for p in pieces if p.doc_tokens <= 2048)
+    assert all(len(p.ids) == 4 * p.length for p in pieces)
+
+
 def test_empty_tables(no_docs):
     assert bpe.encode_decode(no_docs, WORD).collect() == []
     assert packing.pack(no_docs, BYTE).collect() == []
