@@ -129,11 +129,12 @@ def forest(x: np.ndarray, radius: int, split: int | None = None) -> list[tuple[i
     label = np.arange(len(x))
     out = []
     for i in range(split or 1, len(x)):
-        near = np.flatnonzero(np.bitwise_count(x[: split or i] ^ x[i]) <= radius)
-        if len(near):
-            for other in np.unique(label[near], return_index=True)[1]:
-                j = near[other]
-                if label[j] != label[i]:
+        rest, size = np.arange(split or i), 32
+        while len(rest := rest[label[rest] != label[i]]):  # a component is left as soon as one of its rows is linked
+            part, rest, size = rest[:size], rest[size:], min(4 * size, 4096)
+            hit = part[np.bitwise_count(x[part] ^ x[i]) <= radius]
+            if len(hit):
+                for j in hit[np.unique(label[hit], return_index=True)[1]]:
                     out.append((i, int(j)))
                     label[label == label[j]] = label[i]
     return out
