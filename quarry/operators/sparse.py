@@ -12,9 +12,16 @@ K1, B = 1.2, 0.75
 UNKNOWN = 0.1
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores is dealt out first; larger inputs stay where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    few = docs._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return docs.repartition(cores) if few else docs
+
+
 def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term): a row for each kept token."""
-    runs = docs.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(T.RUNS), F.lit(1))).alias("run"))
+    runs = spread(docs.select(id_col, text_col)).select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(T.RUNS), F.lit(1))).alias("run"))
     return runs.select(id_col, F.explode(F.split("run", T.CAMEL)).alias("term")).select(id_col, F.lower("term").alias("term")).where(T.kept_term(F.col("term")))
 
 
