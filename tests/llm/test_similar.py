@@ -63,3 +63,44 @@ def test_odd_rows(spark, odd_docs, no_docs, clashing):
 def test_votes_of_long_texts():
     text = b"a b c d e f g " * 20_000
     assert np.array_equal(np.sign(s.votes(text, 5, 42)), np.sign(s.votes(b"a b c d e f g " * 20_000, 5, 42)))
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 4, "group_rows": 4}])
+def test_links_on_both_sides_of_the_threshold(spark, options):
+    """Pairs just at 0.8 are linked, pairs just under it aren't."""
+    r = random.Random(12)
+    texts, want = [], []
+    for k in range(240):
+        n = r.choice([5, 9, 20, 50, 100, 400])
+        words = [f"p{k}x{i}" for i in range(n + 4)]
+        copy = list(words)
+        limit = n // 9  # n shingles of which m are replaced: (n - m) / (n + m) >= 0.8
+        m = limit if k % 2 else limit + 1
+        for i in range(m):  # at the end, each word takes one shingle more
+            copy[-1 - i] = f"q{k}x{i}"
+        texts += [" ".join(words), " ".join(copy)]
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        want.append(5 * len(a & b) >= 4 * len(a | b))
+    assert sum(want) == 120 and [bool(k % 2) for k in range(240)] == want
+    got = {x.doc_id: x.component_id for x in s.similar(spark.createDataFrame(rows_of(texts), DOCS), **options).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(240)] == want
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """The components on a table are those of exact similarity over all pairs."""
+    from test_pipeline import similar_pairs
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (a, b), x in similar_pairs(texts).items():
+        if x >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    assert {x.doc_id: x.component_id for x in s.similar(docs).collect()} == {d: find(d) for d in texts}
