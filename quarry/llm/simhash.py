@@ -247,7 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
-    """The documents that are the least of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    rest = found.where(f"{id_col} <> component_id").select(id_col).distinct()
-    return docs.join(rest, id_col, "left_anti")
+    """One row, of the least id, of each component, also where ids repeat; rows without an id stay."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long").alias("id"), F.struct("*").alias("row")), "rows")
+    texts = rows.select("uid", F.col("row")[text_col].alias("text"))
+    found = near_duplicates(texts, "uid", "text", **options).select("uid", "component_id")
+    known = rows.where("id is not null").select("uid", "id").join(found, "uid")
+    first = known.groupBy("component_id").agg(F.min(F.struct("id", "uid")).alias("first")).select("first.uid")
+    return rows.select("uid", "row").join(first.union(rows.where("id is null").select("uid")), "uid").select("row.*")

@@ -104,3 +104,16 @@ def test_links_are_those_of_all_pairs(spark):
             a, b = sorted((find(a), find(b)))
             root[b] = a
     assert {x.doc_id: x.component_id for x in s.similar(docs).collect()} == {d: find(d) for d in texts}
+
+
+def test_repeated_ids_keep_one_row(spark):
+    """A repeated row leaves one copy; a row of the same id with a text of its own stays."""
+    from quarry.llm import simhash
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    for module in (s, simhash):
+        kept = module.keep_first(df)
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, c), (0, c), (1, a), (2, b), (3, c)]
