@@ -3,11 +3,10 @@
 Counts of words and of word pairs are gathered from all training texts and
 quantised by a logarithm of base ``BASE``: an n-gram of level q is put into the
 filter q times, as (n-gram, 1) .. (n-gram, q). A count is read back by probing
-levels from 1 until one is missing. The filter has a fixed size (``2**bits`` bits,
-32 MiB by default), which bounds the broadcast; it is made in segments, each by
-the task that holds its n-grams. A segment that would be more than half full
-leaves out its lowest levels, which then count as unseen (for pairs: the word's
-own probability stands in).
+levels from 1 until one is missing. The filter has ``2**bits`` bits (32 MiB by
+default), and twice as many again until its fullest segment holds all levels at
+most half full; so it, and the broadcast, grow with the n-grams counted. It is made
+in segments, each by the task that holds its n-grams.
 
 A text's probability is a mixture of whole-text models: words alone, and words
 mixed with pairs at several weights. It costs a text at most the logarithm of
@@ -156,33 +155,44 @@ def fit(docs: DataFrame, training: Column, bits: int = 28, frequent: int = 1 <<
                         [pa.array((part >> np.uint64(52)).astype(np.int32)), pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(c[at : at + 100_000])], ["segment", "kind", "h", "c"]
                     )
 
+    def leveled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        kind, h, c = (batch.column(i).to_numpy() for i in range(3))
+        q = level(c) - kind  # pairs begin at a count of two
+        return h.view(np.uint64)[q > 0], q[q > 0]
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SEGMENTS, np.int64)
+        for batch in batches:
+            g, q = leveled(batch)
+            np.add.at(total, (g >> np.uint64(52)).astype(np.int64), q)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(total)], ["segment", "inserted"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, levels = [], []
-        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("segment", pa.int32()), ("bits", pa.binary())])
         for batch in batches:
-            kind, h, c = (batch.column(i).to_numpy() for i in range(3))
-            q = level(c) - kind  # pairs begin at a count of two
-            grams.append(h.view(np.uint64)[q > 0])
-            levels.append(q[q > 0].astype(np.int8))
-            words = kind == 0
-            n = int(words.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(h[words]), pa.array(c[words]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            g, q = leveled(batch)
+            grams.append(g)
+            levels.append(q.astype(np.int8))
         if grams:
             g, q = np.concatenate(grams), np.concatenate(levels).astype(np.int64)
             order = np.argsort(g >> np.uint64(52), kind="stable")
             g, q = g[order], q[order]
             segments, starts = np.unique(g >> np.uint64(52), return_index=True)
             for s, a, b in zip(segments.tolist(), starts.tolist(), [*starts[1:].tolist(), len(g)], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([segment_bits(g[a:b], q[a:b], bits)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([segment_bits(g[a:b], q[a:b], bits)], pa.binary())], ["segment", "bits"])
 
     rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, "segment int, kind int, h long, c long")
     sums = rows.repartition("segment").groupBy("segment", "kind", "h").agg(F.sum("c").alias("c")).where("kind = 0 or c > 1")
-    made = written(sums.select("kind", "h", "c").mapInArrow(build, "h long, c long, segment int, bits binary"), "grams")
-    counts = made.where("h is not null").select("h", "c")
+    sums = written(sums.select("kind", "h", "c", "segment"), "grams")
+    most = sums.select("kind", "h", "c").mapInArrow(needed, "segment int, inserted long").groupBy("segment").agg(F.sum("inserted").alias("n")).agg(F.max("n")).first()[0] or 0
+    while most > (1 << (bits - 12)) * np.log(2) / PROBES:  # the fullest segment holds all its levels
+        bits += 1
+    made = written(sums.repartition("segment").select("kind", "h", "c").mapInArrow(build, "segment int, bits binary"), "filter")
+    counts = sums.where("kind = 0").select("h", "c")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     data = np.zeros(1 << (bits - 3), np.uint8)
     each = 1 << (bits - 15)
-    for r in made.where("segment is not null").select("segment", "bits").toLocalIterator():
+    for r in made.toLocalIterator():
         data[r.segment * each : (r.segment + 1) * each] = np.frombuffer(r.bits, np.uint8)
     common = counts.where(F.col("c") >= max(1, -(-n // frequent))).collect()  # at most ``frequent`` words, for their counts add up to n
     h = np.array([r.h for r in common], np.int64).view(np.uint64)

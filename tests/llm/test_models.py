@@ -104,3 +104,15 @@ def test_toxicity_edges(spark, odd_docs, no_docs, clashing):
 def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long").select("doc_id", fold("doc_id", 4, 2).alias("f")).collect()
     assert all(r.f == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_filter_grows_with_the_words(spark):
+    """Every word counted has its whole level in the filter, however small that begins."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(i, " ".join(words[i % 50 :: 50]), "en", "s", 1) for i in range(100)], DOCS)
+    model = lm.fit(df, F.lit(True), bits=16)
+    tokens, _ = lm.tokens_of([" ".join(words).encode()], lm.WordHash())
+    got = lm.Filter(model.data, model.bits).levels(lm.mix(tokens[:-1]))
+    assert model.v == 20_001 and (got >= lm.level(np.array([2]))).all() and (got == lm.level(np.array([2]))).mean() > 0.8
