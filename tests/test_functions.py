@@ -19,7 +19,7 @@ def column(spark, values, f, kind="string"):
 
 TOKENS = [
     ("parseConfig", ["parse", "config"]), ("ParseConfig", ["parse", "config"]), ("HTTPServer", ["httpserver"]), ("parseURLPath", ["parse", "urlpath"]),
-    ("load_config", ["load", "config"]), ("ABC_DEF_TEST", ["abc", "def", "test"]), ("kebab-name", ["kebab", "name"]), ("foo.bar()", ["foo", "bar"]),
+    ("load_config", ["load", "config"]), ("ABC_RAG_TEST", ["abc", "rag", "test"]), ("kebab-name", ["kebab", "name"]), ("foo.bar()", ["foo", "bar"]),
     ("the function returns", ["function", "returns"]), ("func main()", ["main"]), ("a b cd", ["cd"]), ("", []), ("éa É", ["éa", "é"]),
 ]
 
