@@ -1,9 +1,12 @@
 """Main text of hand-made pages and of the pages table."""
 
 import html
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from quarry.llm import html_extract as h
 
 LONG = "This paragraph has a good many words so that it reads like prose and not like a menu at all. " * 3
@@ -46,9 +49,77 @@ def test_tree_left_out_pages():
     assert right >= 0.93 * total
 
 
-def test_pages_table(spark):
+PROSE = " ".join(["word"] * 60)
+ARTICLE = f"<article><p>{PROSE}</p></article>"
+PROBES = [
+    # names of layout end at an article; names that hold other words mean nothing
+    (f'<div class="layout sidebar-right">{ARTICLE}</div>', PROSE),
+    (f'<div class="header-fixed sidebar"><div class="banner">{ARTICLE}</div></div>', PROSE),
+    (f'<div class="content notice-board">{ARTICLE}</div>', PROSE),
+    (f'<form id="aspnetForm" action="x">{ARTICLE}</form>', PROSE),
+    (f'<main class="search-page"><p>{PROSE}</p></main>', PROSE),
+    (f'<div role="main"><p>{PROSE}</p></div>', PROSE),
+    (f'<article><p>{PROSE}</p><section class="share-price-report"><p>Up two.</p></section></article>', PROSE + " Up two."),
+    (f'<article><div class="entry-header"><h1>Title</h1></div><div class="header"><p>Lead</p></div><p>{PROSE}</p></article>', "Title Lead " + PROSE),
+    # without an article, a layout container that holds all words is the page
+    (f'<nav><a>Home</a></nav><div class="sidebar"><h1>Title</h1><p>{PROSE}</p></div>', "Title " + PROSE),
+    # linked paragraphs and items of an article stay, marked boxes go
+    ("<article><p><a>A linked paragraph</a></p><ul><li><a>An item</a></li><li>Another</li></ul></article>", "A linked paragraph An item Another"),
+    (f'<article><p>{PROSE}</p><div class="related-posts"><article><p>Read this too</p></article></div></article>', PROSE),
+    (f'{ARTICLE}<section id="comments"><article><p>{PROSE}</p></article></section>', PROSE),
+    (f'{ARTICLE}<div style="display: none"><p>{PROSE}</p></div><div hidden><p>{PROSE}</p></div><p aria-hidden="true" class="x">{PROSE}</p>', PROSE + " " + PROSE),
+    # little text, or none of the markup of a page
+    ("<p>x</p>", "x"),
+    ("plain text, no tags", "plain text, no tags"),
+    ("one < two", "one < two"),
+    # broken markup
+    (f'<article><p title="a > b">{PROSE}</p><p class="never closed>lost</p><p>Kept.</p></article>', PROSE + " lost Kept."),
+    (f"<article><p>{PROSE}<div class=x>y</div></article>", PROSE + " y"),
+    ("<article><p>a&#99999999999999;b&#" + "9" * 6000 + ";c</p></article>", "a�b�c"),
+    (f"<article><svg><text>no</text><path/></svg><button>no</button><p>{PROSE}</p></article>", PROSE),
+    (f"<table><tr><td><ul><li><a>Home</a></li></ul></td><td><div><p>{PROSE}</td></tr></table>", PROSE),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PROBES)
+def test_probes(page, want):
+    assert h.main_text(page) == want
+
+
+N = 1_000_000
+HOSTILE = {
+    "quotes and scripts": "<p x='" * (N // 14) + "<script" * (N // 14), "unclosed links": '<a "' * (N // 4), "less-than": "<" * N, "stray ends": "<div>" * (N // 10) + "</x>" * (N // 10),
+    "spans in items": "<li><div>" + "<span class=ad>" * (N // 30) + "</li>" * (N // 10), "ampersands": "&" * N, "one class": '<p class="' + "a-" * (N // 2) + '">x', "one attribute": "<p " + "a" * N + "=>x",
+    "quoted values": "<p " + 'a="' * (N // 3) + ">x", "comments": "<!--" * (N // 4), "paragraphs": "<p>" * (N // 3), "quotes to the end": '<a x="' * (N // 6) + ">", "digits": "&#x" + "f" * N, "spaces": "<p a" + " " * N + '">x',
+    "sidebars": "<div class=sidebar>" * (N // 19) + "x", "end tags": "<div>" * (N // 11) + "</div>" * (N // 11), "scripts": "<script>" * (N // 8), "cells": "<table><td>" * (N // 22) + "</p>" * (N // 8),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    h.default_tree()
+    began = time.process_time()
+    h.main_text(HOSTILE[name])
+    assert time.process_time() - began < 3  # about a second at most; quadratic time would be minutes
+
+
+@pytest.mark.parametrize("semantic", [True, False])
+def test_made_pages_without_article(semantic):
+    """Prose between menus, told by words and links alone where no element or class says what is what."""
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    for _ in range(200):
+        menu = lambda: "<ul>" + "".join(f"<li><a href='/'>{words(r.randint(1, 3))}</a></li>" for _ in range(r.randint(2, 9))) + "</ul>"
+        body = [words(r.randint(4, 10)), *(words(r.randint(15, 120)) for _ in range(r.randint(2, 6)))]
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:])
+        top, tail = ("nav", "footer") if semantic else ("div", "div")
+        page = f"<body><{top}>{menu()}</{top}><div id='{words(1)}'>{inner}</div><{tail}>{menu()}</{tail}></body>"
+        assert h.main_text(page) == " ".join(body)
+
+
+def test_pages_table(spark, sf):
     """Each page there has one article element: its text is what is wanted."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = h.extract(pages).collect()
     want = {}
     for r in pages.collect():
@@ -60,6 +131,13 @@ def test_pages_table(spark):
         assert r.n_chars == len(r.text)
 
 
+def test_pages_table_without_article_elements(spark, sf):
+    """The same pages with the article in a plain container give the same texts."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    assert sorted(h.extract(plain).collect()) == sorted(h.extract(pages).collect())
+
+
 def test_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "<article>x</article>", "t", 7), (1, "u", "<article>x</article>", "t", 7), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
     out = h.extract(df)
