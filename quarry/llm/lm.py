@@ -3,10 +3,16 @@
 Counts of words and of word pairs are gathered from all training texts and
 quantised by a logarithm of base ``BASE``: an n-gram of level q is put into the
 filter q times, as (n-gram, 1) .. (n-gram, q). A count is read back by probing
-levels from 1 until one is missing. The filter has ``2**bits`` bits (32 MiB by
-default), and twice as many again until its fullest segment holds all levels at
-most half full; so it, and the broadcast, grow with the n-grams counted. It is made
-in segments, each by the task that holds its n-grams.
+levels from 1 until one is missing. The filter consists of segments of ``2**SEGMENT``
+bits; their number is the power of two that holds every level of every n-gram counted
+with each segment at most half full, so nothing is left out at any size and the
+filter grows with the corpus. Segments are made by the tasks that hold their n-grams,
+one at a time.
+
+Up to ``most_bits`` in all (64 MiB) the filter is broadcast and probed where the texts
+are. A larger one isn't broadcast: texts are dealt into slices, the distinct n-grams
+of each slice go to their segments, and the levels found come back to the slice. Both
+ways ask the same filter and give the same scores.
 
 A text's probability is a mixture of whole-text models: words alone, and words
 mixed with pairs at several weights. It costs a text at most the logarithm of
@@ -37,8 +43,11 @@ from .common import WordHash, fold, mix, slices, utf8, written
 BASE = 1.5
 #: Weights of pairs in the mixed models; 0 is words alone.
 WEIGHTS = (0.0, 0.02, 0.2, 0.6, 0.9, 0.99)
-PROBES = 3
-SEGMENTS = 4096
+#: Bits set for an n-gram at level 1, where a false hit makes an n-gram of none, and at each level above.
+FIRST, PROBES = 6, 3
+#: Segments have ``2**SEGMENT`` bits, of which ``FULL`` are set at most (repeats counted); a filter has ``2**LEAST`` bits at least.
+SEGMENT, LEAST = 20, 24
+FULL = int((1 << SEGMENT) * np.log(2) * 0.95)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -59,61 +68,70 @@ def _typical(most: int = 128) -> np.ndarray:
 TYPICAL = _typical()
 
 
-def bit_places(grams: np.ndarray, levels: np.ndarray | int, bits: int) -> list[np.ndarray]:
-    """Bits (uint64) of (n-gram, level): the segment is the n-gram's first 12 bits."""
-    base, h = _placed(grams, levels, bits)
-    return [_probe(base, h, i, bits) for i in range(PROBES)]
+def segment_of(grams: np.ndarray, bits: int) -> np.ndarray:
+    """The segment of each n-gram: its first bits."""
+    k = bits - SEGMENT
+    return (grams >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(grams), np.int64)
 
 
-def _placed(grams: np.ndarray, levels: np.ndarray | int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (grams >> np.uint64(52)) << np.uint64(bits - 12), mix(grams + np.asarray(levels).astype(np.uint64) * _LEVEL)
+def _probe(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th place, within its segment, of a hash of (n-gram, level)."""
+    step = np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1)) if i else np.uint64(0)
+    return (h + step) & np.uint64((1 << SEGMENT) - 1)
 
 
-def _probe(base: np.ndarray, h: np.ndarray, i: int, bits: int) -> np.ndarray:
-    step = np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1)) if i else np.uint64(0)
-    return base | ((h + step) & np.uint64((1 << (bits - 12)) - 1))
+def _hash(grams: np.ndarray, levels: np.ndarray | int) -> np.ndarray:
+    return mix(grams + np.asarray(levels).astype(np.uint64) * _LEVEL)
+
+
+def probes(q: int) -> int:
+    return FIRST if q == 1 else PROBES
+
+
+def bits_set(levels: np.ndarray) -> int:
+    """How many bits n-grams of these levels set, repeats counted."""
+    return int((levels > 0).sum()) * (FIRST - PROBES) + int(levels.sum()) * PROBES
 
 
 class Filter:
-    def __init__(self, data: np.ndarray, bits: int):
-        self.data, self.bits = data, bits
-
-    def having(self, grams: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
-        """Those of the places ``at`` whose n-gram is in the filter at this level; later probes only where earlier ones hit."""
-        base, h = _placed(grams[at], level, self.bits)
-        for i in range(PROBES):
-            place = _probe(base, h, i, self.bits)
-            hit = np.flatnonzero(self.data[place >> np.uint64(3)] & (np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)))
-            at, base, h = at[hit], base[hit], h[hit]
-        return at
+    """Segments ``first``, ``first`` + 1, .. of a filter of ``2**bits`` bits: all of them, or a single one."""
+
+    def __init__(self, data: np.ndarray, bits: int, first: int = 0):
+        self.data, self.bits, self.first = data, bits, first
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        """Probes level after level until one is missing."""
+        """Probes level after level until one is missing; later probes only where earlier ones hit."""
+        base = (segment_of(grams, self.bits) - self.first).astype(np.uint64) << np.uint64(SEGMENT)
         out, at, q = np.zeros(len(grams), np.int64), np.arange(len(grams)), 1
         while len(at) and q < len(TYPICAL):
-            at = self.having(grams, at, q)
+            h = _hash(grams[at], q)
+            for i in range(probes(q)):
+                place = base[at] | _probe(h, i)
+                hit = np.flatnonzero(self.data[place >> np.uint64(3)] & (np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)))
+                at, h = at[hit], h[hit]
             out[at] = q
             q += 1
         return out
 
 
-def segment_bits(grams: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
-    """The filter's bytes of one segment; lowest levels stay out if it would be over half full."""
-    size = 1 << (bits - 12)
-    total = np.bincount(levels)
-    inserted = np.cumsum((total * np.arange(len(total)))[::-1])[::-1]  # by the least level kept
-    keep = np.flatnonzero(inserted <= size * np.log(2) / PROBES)
-    least = int(keep[0]) if len(keep) else len(total)
-    use = levels >= max(1, least)
-    g, q = grams[use], levels[use]
-    flat = np.zeros(size, np.uint8)
-    for k in range(1, int(q.max(initial=0)) + 1):
-        some = g[q >= k]
-        for place in bit_places(some, k, bits):
-            flat[(place & np.uint64(size - 1)).astype(np.int64)] = 1
+def segment_bits(grams: np.ndarray, levels: np.ndarray) -> bytes:
+    """The bytes of one segment with every level of its n-grams."""
+    flat = np.zeros(1 << SEGMENT, np.uint8)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        h = _hash(grams[levels >= q], q)
+        for i in range(probes(q)):
+            flat[_probe(h, i).astype(np.int64)] = 1
     return np.packbits(flat, bitorder="little").tobytes()
 
 
+def bits_for(needed: int) -> int:
+    """The size of a filter in which so many bits are set."""
+    bits = LEAST
+    while needed > FULL << (bits - SEGMENT):
+        bits += 1
+    return bits
+
+
 def tokens_of(texts: list[bytes], hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text closed by an end token, and where texts begin (and the end)."""
     words: list[bytes] = []
@@ -132,14 +150,46 @@ def pairs_of(tokens: np.ndarray, bounds: np.ndarray, end: np.uint64) -> tuple[np
     return before, mix(before * _PAIR + tokens)
 
 
+class Slice:
+    """Tokens of some texts, their distinct words, and the n-grams that a filter is asked for."""
+
+    def __init__(self, texts: list[bytes], hasher: WordHash):
+        self.end = hasher([b""])[0]
+        self.tokens, self.bounds = tokens_of(texts, hasher)
+        self.words, self.at = np.unique(self.tokens, return_inverse=True)
+        self.pairs = pairs_of(self.tokens, self.bounds, self.end)[1]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct n-grams in order, and the place there of each word and then of each pair."""
+        return np.unique(np.concatenate([mix(self.words), self.pairs]), return_inverse=True)
+
+    def scores(self, word_levels: np.ndarray, pair_levels: np.ndarray, total: float) -> np.ndarray:
+        """log10 probability of each text by the mixture, from the levels of ``words`` and ``pairs``."""
+        at, bounds = self.at, self.bounds
+        starts, length, docs_n = bounds[:-1], np.diff(bounds), len(bounds) - 1
+        doc = np.repeat(np.arange(docs_n), length)
+        seen = TYPICAL[word_levels]
+        alone = (seen[at] + 0.5) / total
+        of_end = seen[np.searchsorted(self.words, self.end)]
+        first = np.concatenate([[of_end], seen[at[:-1]]])
+        first[starts] = of_end
+        given = np.minimum(TYPICAL[pair_levels], np.minimum(first, seen[at])) / np.maximum(first, 1)
+        plain = np.log10(alone)
+        paired = np.flatnonzero(given)
+        ratio, where, sums = given[paired] / alone[paired], doc[paired], np.add.reduceat(plain, starts)
+        logs = np.stack([sums + length * np.log10(1 - w) + np.bincount(where, np.log10(w / (1 - w) * ratio + 1), docs_n) for w in WEIGHTS])
+        top = logs.max(axis=0)
+        return top + np.log10((10.0 ** (logs - top)).mean(axis=0))
+
+
 class LanguageModel:
-    """N, V, the filter and the frequent words' exact counts."""
+    """N, V, the filter's segments as a table and, if small enough, whole; the frequent words' exact counts, and all words' as a table."""
 
-    def __init__(self, n: int, v: int, bits: int, data: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], spread: DataFrame):
-        self.n, self.v, self.bits, self.data, self.frequent, self.counts = n, v, bits, data, frequent, spread
+    def __init__(self, n: int, v: int, bits: int, segments: DataFrame, data: np.ndarray | None, frequent: tuple[np.ndarray, np.ndarray], counts: DataFrame):
+        self.n, self.v, self.bits, self.segments, self.data, self.frequent, self.counts = n, v, bits, segments, data, frequent, counts
 
 
-def fit(docs: DataFrame, training: Column, bits: int = 28, frequent: int = 1 << 21, text_col: str = "text") -> LanguageModel:
+def fit(docs: DataFrame, training: Column, most_bits: int = 29, frequent: int = 1 << 21, text_col: str = "text") -> LanguageModel:
     """Counts all tokens and pairs of the rows where ``training`` holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,113 +201,170 @@ def fit(docs: DataFrame, training: Column, bits: int = 28, frequent: int = 1 <<
                 h, c = np.unique(grams, return_counts=True)
                 for at in range(0, len(h), 100_000):
                     part = h[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((part >> np.uint64(52)).astype(np.int32)), pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(c[at : at + 100_000])], ["segment", "kind", "h", "c"]
-                    )
-
-    def leveled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        kind, h, c = (batch.column(i).to_numpy() for i in range(3))
-        q = level(c) - kind  # pairs begin at a count of two
-        return h.view(np.uint64)[q > 0], q[q > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(c[at : at + 100_000])], ["kind", "h", "c"])
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SEGMENTS, np.int64)
-        for batch in batches:
-            g, q = leveled(batch)
-            np.add.at(total, (g >> np.uint64(52)).astype(np.int64), q)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SEGMENTS, dtype=np.int32)), pa.array(total)], ["segment", "inserted"])
+        total = sum(bits_set(level(batch.column(0).to_numpy())) for batch in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["needed"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, levels = [], []
-        for batch in batches:
-            g, q = leveled(batch)
-            grams.append(g)
-            levels.append(q.astype(np.int8))
-        if grams:
-            g, q = np.concatenate(grams), np.concatenate(levels).astype(np.int64)
-            order = np.argsort(g >> np.uint64(52), kind="stable")
-            g, q = g[order], q[order]
-            segments, starts = np.unique(g >> np.uint64(52), return_index=True)
-            for s, a, b in zip(segments.tolist(), starts.tolist(), [*starts[1:].tolist(), len(g)], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([segment_bits(g[a:b], q[a:b], bits)], pa.binary())], ["segment", "bits"])
-
-    rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, "segment int, kind int, h long, c long")
-    sums = rows.repartition("segment").groupBy("segment", "kind", "h").agg(F.sum("c").alias("c")).where("kind = 0 or c > 1")
-    sums = written(sums.select("kind", "h", "c", "segment"), "grams")
-    most = sums.select("kind", "h", "c").mapInArrow(needed, "segment int, inserted long").groupBy("segment").agg(F.sum("inserted").alias("n")).agg(F.max("n")).first()[0] or 0
-    while most > (1 << (bits - 12)) * np.log(2) / PROBES:  # the fullest segment holds all its levels
-        bits += 1
-    made = written(sums.repartition("segment").select("kind", "h", "c").mapInArrow(build, "segment int, bits binary"), "filter")
+    rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, "kind byte, h long, c long")
+    sums = written(rows.groupBy("kind", "h").agg(F.sum("c").alias("c")), "grams")
     counts = sums.where("kind = 0").select("h", "c")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    data = np.zeros(1 << (bits - 3), np.uint8)
-    each = 1 << (bits - 15)
-    for r in made.toLocalIterator():
-        data[r.segment * each : (r.segment + 1) * each] = np.frombuffer(r.bits, np.uint8)
-    common = counts.where(F.col("c") >= max(1, -(-n // frequent))).collect()  # at most ``frequent`` words, for their counts add up to n
-    h = np.array([r.h for r in common], np.int64).view(np.uint64)
-    c = np.array([r.c for r in common], np.int64)
+    bits = bits_for(sums.select("c").mapInArrow(needed, "needed long").agg(F.sum("needed")).first()[0] or 0)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = -1, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if parts:
+                g, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([segment_bits(g, q)], pa.binary())], ["segment", "bits"])
+                parts.clear()
+
+        for batch in batches:
+            segment, g, q = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), level(batch.column(2).to_numpy())
+            starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(segment) else []
+            for a, b in zip(starts, [*starts[1:], len(segment)], strict=True):
+                if segment[a] != held:
+                    yield from close()
+                    held = int(segment[a])
+                parts.append((g[a:b], q[a:b]))
+        yield from close()
+
+    k = bits - SEGMENT
+    keyed = sums.select(F.shiftrightunsigned("h", 64 - k).alias("segment"), "h", "c").repartition("segment").sortWithinPartitions("segment")
+    made = written(keyed.mapInArrow(build, "segment long, bits binary"), "filter")
+    data = None
+    if bits <= most_bits:
+        data, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (SEGMENT - 3)
+        for r in made.toLocalIterator():
+            data[r.segment * each : (r.segment + 1) * each] = np.frombuffer(r.bits, np.uint8)
+    # at most ``frequent`` words, for their counts add up to n; 16 bytes each
+    common = counts.where(F.col("c") >= max(1, -(-n // frequent))).toArrow()
+    h, c = common.column("h").to_numpy().view(np.uint64), common.column("c").to_numpy()
     order = np.argsort(h)
-    return LanguageModel(n, v, bits, data, (h[order], c[order]), counts)
+    return LanguageModel(n, v, bits, made, data, (h[order], c[order]), counts)
 
 
-def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, base_score (exact, words alone) and score (the model's), each log10."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.n, model.v, model.bits, model.data, model.frequent))
+_NAMES = ["h", "uid", "times", "id", "n_tokens", "known", "base", "score"]
+_SCORED = "h long, uid long, times long, id long, n_tokens long, known long, base double, score double"
+
+
+def _rows(some: Slice, uid: np.ndarray, ids: pa.Array, scores: np.ndarray, total: float, common: np.ndarray, exact: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each text with what the frequent words say of its base score, and one for each other word of a text."""
+    words, at, bounds, docs_n = mix(some.words), some.at, some.bounds, len(some.bounds) - 1
+    doc = np.repeat(np.arange(docs_n), np.diff(bounds))
+    place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+    here = common[place] == words if len(common) else np.zeros(len(words), bool)
+    c = np.where(here, exact[place] if len(common) else 0, 0)
+    known = here[at]
+    base = np.add.reduceat(np.where(known, np.log10((c[at] + 0.5) / total), 0.0), bounds[:-1])
+    count = np.add.reduceat(known.astype(np.int64), bounds[:-1])
+    yield pa.RecordBatch.from_arrays([pa.array(mix(uid.astype(np.uint64)).view(np.int64)), pa.array(uid), pa.array(np.zeros(docs_n, np.int64)), ids, pa.array(np.diff(bounds)), pa.array(count), pa.array(base), pa.array(scores)], _NAMES)
+    rest = np.flatnonzero(~known)
+    if len(rest):
+        key, times = np.unique(doc[rest] * np.int64(len(words)) + at[rest], return_counts=True)
+        none = lambda t: pa.nulls(len(key), t)
+        yield pa.RecordBatch.from_arrays([pa.array(words[key % len(words)].view(np.int64)), pa.array(uid[key // len(words)]), pa.array(times.astype(np.int64)), *(none(pa.int64()) for _ in range(3)), none(pa.float64()), none(pa.float64())], _NAMES)
+
+
+def _total(n: int, v: int) -> float:
+    return float(n + 0.5 * (v + 1))
+
+
+def _by_broadcast(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows of ``_rows`` with the whole filter at hand."""
+    sent = texts.sparkSession.sparkContext.broadcast((_total(model.n, model.v), model.bits, model.data, model.frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v, bits, data, (common, exact) = sent.value
+        total, bits, data, frequent = sent.value
         kept, hasher = Filter(data, bits), WordHash(most=200_000)
-        end, total = hasher([b""])[0], n + 0.5 * (v + 1)
         serial = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2000, 3_000_000):
-            tokens, bounds = tokens_of(utf8(batch.column(1)), hasher)
-            starts, docs_n = bounds[:-1], len(bounds) - 1
-            doc = np.repeat(np.arange(docs_n), np.diff(bounds))
-            words, at = np.unique(tokens, return_inverse=True)
-            # the model: counts from the filter
-            seen = TYPICAL[kept.levels(mix(words))]
-            alone = (seen[at] + 0.5) / total
-            before, pair = pairs_of(tokens, bounds, end)
-            of_end = seen[np.searchsorted(words, end)]
-            first = np.concatenate([[of_end], seen[at[:-1]]])
-            first[starts] = of_end
-            q = kept.levels(pair)
-            count = np.where(q > 0, TYPICAL[np.minimum(q + 1, len(TYPICAL) - 1)], 0.0)
-            ceiling = np.minimum(first, seen[at])
-            given = np.where((count > 0) & (ceiling >= 2), np.minimum(count, ceiling) / np.maximum(first, 1), 0.0)
-            plain = np.log10(alone)
-            paired = np.flatnonzero(given)
-            sums, length = np.add.reduceat(plain, starts), np.diff(bounds)
-            logs = np.stack([sums + length * np.log10(1 - w) + np.bincount(doc[paired], np.log10(w / (1 - w) * given[paired] / alone[paired] + 1), docs_n) for w in WEIGHTS])
-            top = logs.max(axis=0)
-            scores = top + np.log10((10.0 ** (logs - top)).mean(axis=0))
-            # the base: exact counts of common words here, the others by join
-            place = np.minimum(np.searchsorted(common, mix(words)), max(0, len(common) - 1))
-            here = common[place] == mix(words) if len(common) else np.zeros(len(words), bool)
-            c = np.where(here, exact[place] if len(common) else 0, 0)
-            known = here[at]
-            base = np.add.reduceat(np.where(known, np.log10((c[at] + 0.5) / total), 0.0), starts)
-            uid = serial + np.arange(docs_n)
-            serial += docs_n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(mix(uid.astype(np.uint64)).view(np.int64)), pa.array(uid), pa.array(np.zeros(docs_n, np.int64)), batch.column(0), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(scores)],
-                names,
-            )
-            rest = np.flatnonzero(~known)
-            if len(rest):
-                key, times = np.unique(doc[rest] * np.int64(len(words)) + at[rest], return_counts=True)
-                rows = len(key)
-                h = mix(words)[key % len(words)].view(np.int64)
-                none = lambda t, rows=rows: pa.nulls(rows, t)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(uid[key // len(words)]), pa.array(times.astype(np.int64)), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
-
-    names = ["h", "uid", "times", "id", "n_tokens", "known", "base", "score"]
-    found = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "h long, uid long, times long, id long, n_tokens long, known long, base double, score double")
+            some = Slice(utf8(batch.column(1)), hasher)
+            scores = some.scores(kept.levels(mix(some.words)), kept.levels(some.pairs), total)
+            uid = serial + np.arange(batch.num_rows)
+            serial += batch.num_rows
+            yield from _rows(some, uid, batch.column(0), scores, total, *frequent)
+
+    return texts.mapInArrow(run, _SCORED)
+
+
+def _by_segment(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """The same for a filter too large to broadcast: n-grams travel to its segments and levels back."""
+    sent = texts.sparkSession.sparkContext.broadcast((_total(model.n, model.v), model.bits, model.frequent))
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 28
+        for batch in slices(batches, 2000, 3_000_000):
+            ends = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(ends, batch.column(0)), pa.ListArray.from_arrays(ends, batch.column(1))], ["slice", "ids", "texts"])
+            number += 1
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hasher = sent.value[1], WordHash(most=200_000)
+        for batch in batches:
+            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = Slice(utf8(texts.values), hasher).grams()[0]
+                segment = segment_of(grams, bits)
+                starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])).tolist()
+                parts = [grams[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(grams)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(segment[starts]), pa.array(np.full(len(starts), number)), pa.array(parts, pa.binary())], ["segment", "slice", "bytes"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, kept = sent.value[1], -1, None
+        for batch in batches:
+            segment, number, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for s, k, raw in zip(segment, number, batch.column(2).to_pylist(), strict=True):
+                if k < 0:
+                    held, kept = s, Filter(np.frombuffer(raw, np.uint8), bits, s)
+                    continue
+                grams = np.frombuffer(raw, np.uint64)
+                q = kept.levels(grams) if held == s else np.zeros(len(grams), np.int64)
+                found.append((k, s, q.astype(np.int8).tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["slice", "segment", "levels"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (total, _, frequent), hasher = sent.value, WordHash(most=200_000)
+        held: list = []  # slice, ids, texts
+        parts: list[bytes] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                some = Slice(utf8(held[2]), hasher)
+                levels = np.frombuffer(b"".join(parts), np.int8).astype(np.int64)[some.grams()[1]]
+                scores = some.scores(levels[: len(some.words)], levels[len(some.words) :], total)
+                yield from _rows(some, (held[0] << 11) + np.arange(len(held[1])), held[1], scores, total, *frequent)
+            held.clear()
+            parts.clear()
+
+        for batch in batches:
+            for i, (number, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if raw is None:
+                    yield from close()
+                    held += [number, batch.column(2)[i].values, batch.column(3)[i].values]
+                else:
+                    parts.append(raw)
+        yield from close()
+
+    made = written(texts.mapInArrow(sliced, "slice long, ids array<long>, texts array<string>"), "slices")
+    probes = made.select("slice", "texts").mapInArrow(asked, "segment long, slice long, bytes binary")
+    own = model.segments.select("segment", F.lit(-1).cast("long").alias("slice"), F.col("bits").alias("bytes"))
+    levels = own.union(probes).repartition("segment").sortWithinPartitions("segment", "slice").mapInArrow(answered, "slice long, segment long, levels binary")
+    whole = made.select("slice", F.lit(-1).cast("long").alias("segment"), "ids", "texts", F.lit(None).cast("binary").alias("levels"))
+    back = whole.union(levels.select("slice", "segment", F.lit(None).cast("array<long>"), F.lit(None).cast("array<string>"), "levels"))
+    return back.repartition("slice").sortWithinPartitions("slice", "segment").mapInArrow(scored, _SCORED)
+
+
+def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, n_known, base_score (exact, words alone) and score (the model's), each log10."""
+    texts = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    found = _by_segment(texts, model) if model.data is None else _by_broadcast(texts, model)
     counts = model.counts.withColumnRenamed("c", "exact")
-    total = float(model.n + 0.5 * (model.v + 1))
     joined = found.join(counts, "h", "left")
-    part = F.coalesce("base", F.col("times") * F.log10((F.coalesce("exact", F.lit(0)) + 0.5) / total))
+    part = F.coalesce("base", F.col("times") * F.log10((F.coalesce("exact", F.lit(0)) + 0.5) / _total(model.n, model.v)))
     known = F.coalesce("known", F.when(F.col("exact") > 0, F.col("times")).otherwise(0))
     out = joined.groupBy("uid").agg(F.max("id").alias(id_col), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(part).alias("base_score"), F.max("score").alias("score"))
     return out.select(id_col, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

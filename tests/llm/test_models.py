@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest_rows import DOCS
+from pyspark.sql import functions as F
 from quarry.llm import lm, queries, toxicity
 from quarry.llm.common import fold
 
@@ -57,27 +58,84 @@ def test_copies_of_training_texts_score_better(spark):
     assert got[ids[1]].score > got[ids[1]].base_score - 5
 
 
+def whole_filter(grams, q, bits):
+    segment = lm.segment_of(grams, bits)
+    return lm.Filter(np.concatenate([np.frombuffer(lm.segment_bits(grams[segment == k], q[segment == k]), np.uint8) for k in range(1 << (bits - lm.SEGMENT))]), bits)
+
+
 def test_filter_reads_counts_back():
     r = np.random.default_rng(1)
     grams = r.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2)
     count = r.integers(1, 5000, len(grams))
     q = lm.level(count)
-    bits = 24
-    data = np.zeros(1 << (bits - 3), np.uint8)
-    each = 1 << (bits - 15)
-    for s in np.unique(grams >> np.uint64(52)).tolist():
-        here = grams >> np.uint64(52) == s
-        data[s * each : (s + 1) * each] = np.frombuffer(lm.segment_bits(grams[here], q[here], bits), np.uint8)
-    f = lm.Filter(data, bits)
+    bits = lm.bits_for(lm.bits_set(q))
+    f = whole_filter(grams, q, bits)
     assert (f.levels(grams) >= q).all() and (f.levels(grams) == q).mean() > 0.9
     other = r.integers(0, 1 << 63, 20_000, dtype=np.uint64)
-    assert (f.levels(other) > 0).mean() < 0.05
-    small = lm.segment_bits(np.arange(5000, dtype=np.uint64), np.repeat([1, 5], [4900, 100]), 24)
-    assert 0 < np.unpackbits(np.frombuffer(small, np.uint8)).mean() <= 0.55
+    assert (f.levels(other) > 0).mean() < 0.02
+    assert np.unpackbits(f.data).mean() <= 0.5
+
+
+@pytest.mark.parametrize("n", [1_000, 3_000_000])
+def test_no_level_is_left_out_at_any_size(n):
+    """The filter grows: every n-gram is read at its level or higher, nearly all at their own."""
+    grams = lm.mix(np.arange(n, dtype=np.uint64))
+    q = 1 + (np.arange(n) % 50 == 0) * (np.arange(n) % 9)
+    f = whole_filter(grams, q, bits := lm.bits_for(lm.bits_set(q)))
+    assert (bits > lm.LEAST) == (n > 100_000) and np.unpackbits(f.data).mean() <= 0.5
+    got = f.levels(grams)
+    assert (got >= q).all() and (got == q).mean() > 0.87  # three probes in a half full filter hit by chance one time in eight
+    assert (f.levels(lm.mix(np.arange(n, n + 50_000, dtype=np.uint64))) > 0).mean() < 0.02
+
+
+def mixture(text, counts, pairs, total):
+    """The model's score by plain counting: quantised counts of words and pairs, one model for each weight."""
+    q = lambda c: lm.TYPICAL[lm.level(np.array([c]))[0]] if c else 0.0
+    logs = np.zeros(len(lm.WEIGHTS))
+    before = None
+    for t in tokens(text):
+        one, first = q(counts[t]), q(counts[before])
+        alone, pair = (one + 0.5) / total, q(pairs[before, t])
+        given = min(pair, one, first) / max(first, 1)
+        logs += np.log10([(1 - w) * alone + w * given for w in lm.WEIGHTS])
+        before = t
+    return np.log10(np.mean(10.0 ** (logs - logs.max()))) + logs.max()
+
+
+def check_scores(df, rel=1e-6, **options):
+    """Scores against ``mixture``: nearly all within ``rel``; a false hit of the filter moves a score by a little."""
+    rows = df.collect()
+    held = lambda r: r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1
+    learned = [tokens(r.text) for r in rows if not held(r)]
+    counts, pairs = Counter(t for x in learned for t in x), Counter(p for x in learned for p in zip([None, *x], x, strict=False))
+    total = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    got = sorted(lm.held_out_scores(df, **options).select("doc_id", "n_tokens", "base_score", "score").collect())
+    want = sorted((r.doc_id, mixture(r.text, counts, pairs, total)) for r in rows)
+    near = [g.score == pytest.approx(w[1], rel=rel, abs=1e-6) for g, w in zip(got, want, strict=True)]
+    assert sum(near) >= 0.95 * len(near)
+    assert [g.doc_id for g in got] == [w[0] for w in want]
+    return got
+
+
+def test_scores_equal_plain_counting(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = check_scores(docs)
+    assert check_scores(docs, most_bits=0) == some  # too large a filter to broadcast: the same scores
+    # the same texts eight times over under other words: each copy scores like the others
+    more = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(k) for k in range(8)])).alias("k"))
+    more = more.select((F.col("doc_id") + F.col("k") * 10_000_000).alias("doc_id"), F.regexp_replace("text", r"([^\x20\x09-\x0D]+)", F.concat(F.lit("$1_"), F.col("k").cast("string"))).alias("text"))
+    check_scores(more, rel=0.01)  # a fuller filter
 
 
-def test_toxicity_held_out(spark):
-    got = queries.op1_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+def test_odd_rows_by_segment(spark, odd_docs, no_docs, clashing):
+    for df in (odd_docs, clashing):
+        check_lm(df, most_bits=0, frequent=2)
+    assert lm.held_out_scores(no_docs, most_bits=0).collect() == []
+
+
+def test_toxicity_held_out(spark, sf):
+    large = sf.replace("sf0.001", "sf0.1")
+    got = queries.op1_toxicity(spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").collect()
     out = [r for r in got if r.held_out]
     assert out and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     hit = [r.predicted for r in out if r.toxic == 1]
@@ -104,15 +162,3 @@ def test_toxicity_edges(spark, odd_docs, no_docs, clashing):
 def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long").select("doc_id", fold("doc_id", 4, 2).alias("f")).collect()
     assert all(r.f == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
-
-
-def test_filter_grows_with_the_words(spark):
-    """Every word counted has its whole level in the filter, however small that begins."""
-    from pyspark.sql import functions as F
-
-    words = [f"w{i}" for i in range(20_000)]
-    df = spark.createDataFrame([(i, " ".join(words[i % 50 :: 50]), "en", "s", 1) for i in range(100)], DOCS)
-    model = lm.fit(df, F.lit(True), bits=16)
-    tokens, _ = lm.tokens_of([" ".join(words).encode()], lm.WordHash())
-    got = lm.Filter(model.data, model.bits).levels(lm.mix(tokens[:-1]))
-    assert model.v == 20_001 and (got >= lm.level(np.array([2]))).all() and (got == lm.level(np.array([2]))).mean() > 0.8
