@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, fold, mix, slices, utf8, written
+from .common import WordHash, fold, mix, slices, written
 
 BASE = 1.5
 #: Weights of pairs in the mixed models; 0 is words alone.
@@ -48,6 +49,7 @@ FIRST, PROBES = 6, 3
 #: Segments have ``2**SEGMENT`` bits, of which ``FULL`` are set at most (repeats counted); a filter has ``2**LEAST`` bits at least.
 SEGMENT, LEAST = 20, 24
 FULL = int((1 << SEGMENT) * np.log(2) * 0.95)
+_WORD = np.uint64((1 << 64) - 2)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
 
@@ -132,40 +134,40 @@ def bits_for(needed: int) -> int:
     return bits
 
 
-def tokens_of(texts: list[bytes], hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text closed by an end token, and where texts begin (and the end)."""
-    words: list[bytes] = []
-    bounds = [0]
-    for t in texts:
-        words += t.lower().split()
-        words.append(b"")  # the end: no word is empty
-        bounds.append(len(words))
-    return hasher(words), np.array(bounds)
+def tokens_of(texts: pa.Array, hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text closed by an end token, and where texts begin (and the end).
+
+    A blank after the last word makes the splitter close a text with an empty word, which is the end token.
+    """
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.coalesce(texts, "")))
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), "", pc.binary_join_element_wise(bare, "", " ")))
+    words = lists.flatten().dictionary_encode()
+    hashes = hasher(words.dictionary.cast(pa.binary()).to_pylist())
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    return hashes[words.indices.to_numpy(zero_copy_only=False)], bounds
 
 
 def pairs_of(tokens: np.ndarray, bounds: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each (an end before the first) and the pair's hash."""
+    """The token before each (an end before the first) and the pair's hash, which is odd; those of words are even."""
     before = np.concatenate([[end], tokens[:-1]]).astype(np.uint64)
     before[bounds[:-1]] = end
-    return before, mix(before * _PAIR + tokens)
+    return before, mix(before * _PAIR + tokens) | np.uint64(1)
 
 
 class Slice:
-    """Tokens of some texts, their distinct words, and the n-grams that a filter is asked for."""
+    """Tokens of some texts, their distinct words, and the distinct n-grams (in order) that a filter is asked for."""
 
-    def __init__(self, texts: list[bytes], hasher: WordHash):
+    def __init__(self, texts: pa.Array, hasher: WordHash):
         self.end = hasher([b""])[0]
         self.tokens, self.bounds = tokens_of(texts, hasher)
         self.words, self.at = np.unique(self.tokens, return_inverse=True)
-        self.pairs = pairs_of(self.tokens, self.bounds, self.end)[1]
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """All distinct n-grams in order, and the place there of each word and then of each pair."""
-        return np.unique(np.concatenate([mix(self.words), self.pairs]), return_inverse=True)
+        both = np.concatenate([mix(self.words) & _WORD, pairs_of(self.tokens, self.bounds, self.end)[1]])
+        self.grams, self.places = np.unique(both, return_inverse=True)
 
-    def scores(self, word_levels: np.ndarray, pair_levels: np.ndarray, total: float) -> np.ndarray:
-        """log10 probability of each text by the mixture, from the levels of ``words`` and ``pairs``."""
-        at, bounds = self.at, self.bounds
+    def scores(self, levels: np.ndarray, total: float) -> np.ndarray:
+        """log10 probability of each text by the mixture, from the levels of ``grams``."""
+        at, bounds, found = self.at, self.bounds, levels[self.places]
+        word_levels, pair_levels = found[: len(self.words)], found[len(self.words) :]
         starts, length, docs_n = bounds[:-1], np.diff(bounds), len(bounds) - 1
         doc = np.repeat(np.arange(docs_n), length)
         seen = TYPICAL[word_levels]
@@ -196,20 +198,20 @@ def fit(docs: DataFrame, training: Column, most_bits: int = 29, frequent: int =
         hasher = WordHash(most=200_000)
         end = hasher([b""])[0]
         for batch in slices(batches, 50_000, 6_000_000):
-            tokens, bounds = tokens_of(utf8(batch.column(0)), hasher)
-            for kind, grams in enumerate((mix(tokens), pairs_of(tokens, bounds, end)[1])):
+            tokens, bounds = tokens_of(batch.column(0), hasher)
+            for grams in (mix(tokens) & _WORD, pairs_of(tokens, bounds, end)[1]):
                 h, c = np.unique(grams, return_counts=True)
                 for at in range(0, len(h), 100_000):
-                    part = h[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(c[at : at + 100_000])], ["kind", "h", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["h", "c"])
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum(bits_set(level(batch.column(0).to_numpy())) for batch in batches)
         yield pa.RecordBatch.from_arrays([pa.array([total])], ["needed"])
 
-    rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, "kind byte, h long, c long")
-    sums = written(rows.groupBy("kind", "h").agg(F.sum("c").alias("c")), "grams")
-    counts = sums.where("kind = 0").select("h", "c")
+    rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, "h long, c long")
+    # slices are summed up already: dealing first spares an aggregation before the shuffle that would find little
+    sums = written(rows.repartition("h").groupBy("h").agg(F.sum("c").alias("c")), "grams")
+    counts = sums.where("h & 1 = 0")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = bits_for(sums.select("c").mapInArrow(needed, "needed long").agg(F.sum("needed")).first()[0] or 0)
 
@@ -253,7 +255,7 @@ _SCORED = "h long, uid long, times long, id long, n_tokens long, known long, bas
 
 def _rows(some: Slice, uid: np.ndarray, ids: pa.Array, scores: np.ndarray, total: float, common: np.ndarray, exact: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each text with what the frequent words say of its base score, and one for each other word of a text."""
-    words, at, bounds, docs_n = mix(some.words), some.at, some.bounds, len(some.bounds) - 1
+    words, at, bounds, docs_n = mix(some.words) & _WORD, some.at, some.bounds, len(some.bounds) - 1
     doc = np.repeat(np.arange(docs_n), np.diff(bounds))
     place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
     here = common[place] == words if len(common) else np.zeros(len(words), bool)
@@ -282,8 +284,8 @@ def _by_broadcast(texts: DataFrame, model: LanguageModel) -> DataFrame:
         kept, hasher = Filter(data, bits), WordHash(most=200_000)
         serial = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2000, 3_000_000):
-            some = Slice(utf8(batch.column(1)), hasher)
-            scores = some.scores(kept.levels(mix(some.words)), kept.levels(some.pairs), total)
+            some = Slice(batch.column(1), hasher)
+            scores = some.scores(kept.levels(some.grams), total)
             uid = serial + np.arange(batch.num_rows)
             serial += batch.num_rows
             yield from _rows(some, uid, batch.column(0), scores, total, *frequent)
@@ -306,7 +308,7 @@ def _by_segment(texts: DataFrame, model: LanguageModel) -> DataFrame:
         bits, hasher = sent.value[1], WordHash(most=200_000)
         for batch in batches:
             for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = Slice(utf8(texts.values), hasher).grams()[0]
+                grams = Slice(texts.values, hasher).grams
                 segment = segment_of(grams, bits)
                 starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])).tolist()
                 parts = [grams[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(grams)], strict=True)]
@@ -333,9 +335,8 @@ def _by_segment(texts: DataFrame, model: LanguageModel) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                some = Slice(utf8(held[2]), hasher)
-                levels = np.frombuffer(b"".join(parts), np.int8).astype(np.int64)[some.grams()[1]]
-                scores = some.scores(levels[: len(some.words)], levels[len(some.words) :], total)
+                some = Slice(held[2], hasher)
+                scores = some.scores(np.frombuffer(b"".join(parts), np.int8).astype(np.int64), total)
                 yield from _rows(some, (held[0] << 11) + np.arange(len(held[1])), held[1], scores, total, *frequent)
             held.clear()
             parts.clear()
