@@ -197,7 +197,7 @@ def fit(docs: DataFrame, training: Column, most_bits: int = 29, frequent: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash(most=200_000)
         end = hasher([b""])[0]
-        for batch in slices(batches, 50_000, 6_000_000):
+        for batch in slices(batches, 50_000, 4_000_000):
             tokens, bounds = tokens_of(batch.column(0), hasher)
             for grams in (mix(tokens) & _WORD, pairs_of(tokens, bounds, end)[1]):
                 h, c = np.unique(grams, return_counts=True)
@@ -283,7 +283,7 @@ def _by_broadcast(texts: DataFrame, model: LanguageModel) -> DataFrame:
         total, bits, data, frequent = sent.value
         kept, hasher = Filter(data, bits), WordHash(most=200_000)
         serial = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, 2000, 3_000_000):
+        for batch in slices(batches, 2000, 1_500_000):
             some = Slice(batch.column(1), hasher)
             scores = some.scores(kept.levels(some.grams), total)
             uid = serial + np.arange(batch.num_rows)
@@ -299,7 +299,7 @@ def _by_segment(texts: DataFrame, model: LanguageModel) -> DataFrame:
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 28
-        for batch in slices(batches, 2000, 3_000_000):
+        for batch in slices(batches, 2000, 1_500_000):
             ends = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(ends, batch.column(0)), pa.ListArray.from_arrays(ends, batch.column(1))], ["slice", "ids", "texts"])
             number += 1
