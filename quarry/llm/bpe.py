@@ -1,25 +1,24 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the last characters before a white-space run decides where a
-text is cut, so equal passages are cut alike wherever they stand. A chunk that
-was met before in any document of this worker is taken from the chunk table; a
-new one is put together from its words' ids, and new words go to the library in
-one batch. Tables are bounded, are shared by all tasks of a worker, and only save
-time: an emptied table changes no id.
-
-Joins are then repaired. How one piece ends and the next begins is held against
-the library when first met; where the ids of both together differ from those of
-each alone, the window around such a join is re-encoded and widened to the left
-until the library's ids for it agree with what stands there.
-
-Null: empty. Empty: no ids. Very long texts: by chunks. An empty table gives no rows.
+A rolling hash over the bytes before a white-space run decides where a text is cut,
+so equal passages are cut alike wherever they stand. Every chunk is asked for in the
+chunk table first; those that no document of this worker has had are encoded by the
+library, in one batch for many texts (Latin ones past the normalizer, see ``lowered``). The table holds a bounded number of bytes, is
+shared by all tasks of a worker, and only saves time: an emptied table changes no id.
+
+Joins are then repaired. At each join the last piece of the chunk before and the first
+of the chunk behind are encoded together by the library, once for each two such pieces:
+the ids must be those that stand on both sides of the join. Where they aren't, the
+chunk is joined with the one before it and encoded again, widening to the left until
+the library's ids for both together are those of each alone.
+
+Null: empty. Empty: no ids. Very long texts: by chunks, and a text without white space
+is one chunk. An empty table gives no rows. Bytes that are no UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,96 +26,122 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
-from .tokens import library
+from .common import slices, utf8
+from .tokens import library, lowered, unnormalized
 
-#: White space that every tokenizer here treats as a break or as ordinary text of its own.
-_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+$")
+#: White space of one byte, as a table over bytes.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
+_WINDOW = 8
 
+Cut = list[tuple[bytes, bytes, bool]]  # of a text, its chunks: bytes, ids, does the join before it agree
 
-def _roll(text: str, window: int = 6) -> int:
-    """A polynomial hash of the last ``window`` characters."""
-    h = 0
-    for c in text[-window:]:
-        h = (h * 31 + ord(c)) & 0xFFFFFFFF
-    return (h * 2654435761) >> 16 & 0xFFFF
+
+def cuts(data: np.ndarray, starts: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of all white-space runs within the texts of ``data``, and which of them are cut: by the bytes before alone."""
+    blank = _BLANK[data]
+    runs = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    far = runs - starts[np.searchsorted(starts, runs, side="right") - 1]
+    runs, far = runs[far > 0], far[far > 0]
+    h = np.zeros(len(runs), np.uint32)
+    for j in range(_WINDOW, 0, -1):
+        h = h * np.uint32(31) + data[np.maximum(runs - j, 0)]
+    return runs, (far >= _WINDOW) & ((h * np.uint32(2654435761) >> np.uint32(16)) & np.uint32(mask) == 0)
 
 
 class ChunkCoder:
-    """Encodes texts with one tokenizer file, reusing chunks and words."""
-
-    def __init__(self, path: str, mask: int = 15, longest: int = 64, most_words: int = 1_000_000, most_chunks: int = 100_000):
-        self.lib, self.mask, self.longest = library(path), mask, longest
-        self.most_words, self.most_chunks = most_words, most_chunks
-        self.words: dict[str, tuple[bytes, str, str, bool]] = {}  # a piece: its ids, how it begins and ends, does a chunk end with it
-        self.chunks: dict[str, bytes] = {}
-        self.safe: set[tuple[str, str]] = set()  # ends and beginnings that were held apart by the library
-        self.unsafe: set[tuple[str, str]] = set()
-        self.reused = self.fresh = 0
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Cuts texts into pieces; encodes those never met in one batch."""
-        cut = [_PIECE.findall(t) for t in texts]
-        known = self.words
-        if len(known) > self.most_words:
-            known.clear()
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        kind = lambda c: "é" if c > "\x7f" and c.isalpha() else c
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = (np.array(e.ids, dtype="<u4").tobytes(), sys.intern(p[0] + kind(p[1:2])), sys.intern(kind(p[-1])), _roll(p) & self.mask == 0)
-        return cut
-
-    def _agree(self, left: str, right: str) -> bool:
-        """Whether the library gives these neighbours, encoded together, the ids they have alone."""
-        return self._encode(left + right) == self.words[left][0] + self.words[right][0]
-
-    def encode(self, pieces: list[str]) -> bytes:
-        if not pieces:
-            return b""
-        known = [self.words[p] for p in pieces]
-        ids, heads, tails, ends = zip(*known, strict=True)
-        joins = set(zip(tails, heads[1:], strict=False))
-        if not joins <= self.safe:
-            for k, join in enumerate(zip(tails, heads[1:], strict=False)):
-                if join not in self.safe and join not in self.unsafe:
-                    (self.safe if self._agree(pieces[k], pieces[k + 1]) else self.unsafe).add(join)
-            if joins & self.unsafe:
-                return self._repaired(pieces, tails, heads)
-        out, start, table = [], 0, self.chunks
-        stops = [i for i, end in enumerate(ends, start=1) if end]
-        if not stops or stops[-1] < len(pieces):
-            stops.append(len(pieces))
-        for stop in stops:
-            for a in range(start, stop, self.longest):
-                b = min(stop, a + self.longest)
-                key = "".join(pieces[a:b])
-                got = table.get(key)
-                if got is None:
-                    self.fresh += 1
-                    if len(table) > self.most_chunks:
-                        table.clear()
-                    got = table[key] = b"".join(ids[a:b])
-                else:
-                    self.reused += 1
-                out.append(got)
-            start = stop
-        return b"".join(out)
-
-    def _repaired(self, pieces: list[str], tails: tuple[str, ...], heads: tuple[str, ...]) -> bytes:
-        """Joins pieces one by one; where a join isn't known to be safe, re-encodes a widening window until it agrees."""
-        groups: list[tuple[str, bytes]] = []  # text and ids; the joins between groups agree
-        for k, p in enumerate(pieces):
-            text, got = p, self.words[p][0]
-            if k and (tails[k - 1], heads[k]) in self.unsafe:
-                while groups and self._encode(groups[-1][0] + text) != groups[-1][1] + got:
-                    text = groups.pop()[0] + text
-                    got = self._encode(text)
-            groups.append((text, got))
+    """Encodes texts with one tokenizer file, reusing chunks."""
+
+    def __init__(self, path: str, mask: int = 31, most_bytes: int = 64_000_000, most_joins: int = 500_000):
+        self.lib, self.plain = library(path), unnormalized(path)
+        self.mask, self.most_bytes, self.most_joins = mask, most_bytes, most_joins
+        self.chunks: dict[bytes, bytes] = {}  # a chunk's digest: its ids
+        self.joins: dict[tuple[bytes, bytes], bool] = {}  # pieces on both sides: do they agree
+        self.held = self.reused = self.fresh = 0
+
+    def _encode(self, text: bytes) -> bytes:
+        return self._batch([text])[0]
+
+    def _batch(self, texts: list[bytes]) -> list[bytes]:
+        whole = [t.decode(errors="replace") for t in texts]
+        plain = [lowered(t, self.plain[1]) for t in whole] if self.plain else [None] * len(whole)
+        found: dict[bool, Iterator] = {}
+        for low in (True, False):
+            some = [p if low else t for t, p in zip(whole, plain, strict=True) if (p is not None) == low]
+            found[low] = iter((self.plain[0] if low else self.lib).encode_batch_fast(some, add_special_tokens=False) if some else ())
+        return [np.array(next(found[p is not None]).ids, dtype="<u4").tobytes() for p in plain]
+
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks, from the table or, all missing ones in one batch, from the library."""
+        import xxhash
+
+        keys = [xxhash.xxh3_128_digest(c) for c in chunks]
+        got = [self.chunks.get(k) for k in keys]
+        new = {k: c for k, c, g in zip(keys, chunks, got, strict=True) if g is None}
+        if not new:
+            self.reused += len(chunks)
+            return got
+        if self.held > self.most_bytes:
+            self.chunks.clear()
+            self.held = 0
+        made = dict(zip(new, self._batch(list(new.values())), strict=True))
+        self.chunks.update(made)
+        self.held += sum(map(len, made.values())) + 100 * len(made)
+        self.fresh += len(made)
+        self.reused += len(chunks) - len(made)
+        return [made[k] if g is None else g for k, g in zip(keys, got, strict=True)]
+
+    def learn(self, texts: list[bytes | str]) -> list[Cut]:
+        """Cuts texts into chunks, encodes those never met, and holds every join against the library."""
+        raw = [t.encode() if isinstance(t, str) else t for t in texts]
+        data = b"".join(raw)
+        sizes = np.array([len(t) for t in raw], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        full = np.flatnonzero(sizes)
+        if not len(full):
+            return [[] for _ in raw]
+        runs, cut = cuts(np.frombuffer(data, np.uint8), starts[full], self.mask)
+        chosen = np.flatnonzero(cut)
+        at = runs[chosen]
+        bounds = np.sort(np.concatenate([at, ends[full]])).tolist()
+        begins = np.sort(np.concatenate([at, starts[full]])).tolist()
+        chunks = [data[a:b] for a, b in zip(begins, bounds, strict=True)]
+        ids = self._known(chunks)
+        # the pieces on both sides of each cut, within its text
+        text = full[np.searchsorted(starts[full], at, side="right") - 1]
+        before = np.maximum(starts[text], np.where(chosen > 0, runs[np.maximum(chosen - 1, 0)], 0))
+        after = np.minimum(ends[text], np.where(chosen + 1 < len(runs), runs[np.minimum(chosen + 1, len(runs) - 1)], len(data)))
+        sides = [(data[a:b], data[b:c]) for a, b, c in zip(before.tolist(), at.tolist(), after.tolist(), strict=True)]
+        second = np.searchsorted(begins, at).tolist()
+        self._check(sides, [(ids[k - 1], ids[k]) for k in second])
+        agreed = [True] * len(chunks)
+        for k, side in zip(second, sides, strict=True):
+            agreed[k] = self.joins[side]
+        first = np.searchsorted(begins, starts[full]).tolist()
+        out: list[Cut] = [[] for _ in raw]
+        for t, a, b in zip(full.tolist(), first, [*first[1:], len(chunks)], strict=True):
+            out[t] = list(zip(chunks[a:b], ids[a:b], agreed[a:b], strict=True))
+        return out
+
+    def _check(self, sides: list[tuple[bytes, bytes]], ids: list[tuple[bytes, bytes]]) -> None:
+        """For pieces that never met: whether the library's ids of both are those at the end of one chunk and the beginning of the next."""
+        if len(self.joins) > self.most_joins:
+            self.joins.clear()
+        new = {s: i for s, i in zip(sides, ids, strict=True) if s not in self.joins}
+        for (side, (left, right)), both in zip(new.items(), self._batch([a + b for a, b in new]), strict=True):
+            self.joins[side] = any(left.endswith(both[:k]) and right.startswith(both[k:]) for k in range(0, len(both) + 4, 4))
+
+    def encode(self, cut: Cut) -> bytes:
+        """The ids of a text from its chunks."""
+        if all(agrees for _, _, agrees in cut):
+            return b"".join(ids for _, ids, _ in cut)
+        groups: list[tuple[bytes, bytes]] = []  # text and ids; the joins between groups agree
+        for text, ids, agrees in cut:
+            if not agrees:
+                while groups and self._encode(groups[-1][0] + text) != groups[-1][1] + ids:
+                    text = groups.pop()[0] + text  # noqa: PLW2901
+                    ids = self._encode(text)  # noqa: PLW2901
+            groups.append((text, ids))
         return b"".join(g for _, g in groups)
 
 
@@ -133,8 +158,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         own = coder(tokenizer)
         for batch in slices(batches, 500, 4_000_000):
             names = batch.column(0).to_pylist()
-            cut = own.learn([t or "" for t in batch.column(1).to_pylist()])
-            raw = [own.encode(pieces) for pieces in cut]
+            raw = [own.encode(cut) for cut in own.learn(utf8(batch.column(1)))]
             decoded = own.lib.decode_batch([np.frombuffer(r, dtype="<u4").tolist() for r in raw], skip_special_tokens=False)
             counts = pa.array([len(r) // 4 for r in raw], pa.int64())
             if digest:

@@ -42,10 +42,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 2048 ids with their segment columns; the id matrix as SHA-256 of each row."""
+    """Windows of 2048 ids, each a row of the padded id matrix with its segment columns."""
     from . import token_output
 
-    return token_output.windows(table(spark, sf_dir, "documents"), public_path(BYTE_BPE), digest=True)
+    return token_output.windows(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ import numpy as np
 #: Fixed value: the published pre-tokenizer pattern of byte-level BPE vocabularies of this kind.
 BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Normalizer and word pattern of lower-casing word BPE vocabularies of this kind.
+LOWER_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+LOWER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _PROBE = "It's 12 naïve  tests,\n\n\tof_spaces   and ŝigns…  'll 　x<|endoftext|>end  "
 
 
@@ -33,6 +37,39 @@ def library(path: str):
     return t
 
 
+@lru_cache(4)
+def unnormalized(path: str):
+    """The library's object without its normalizer, and the texts of its special tokens, for texts that ``lowered`` takes.
+
+    None where the file isn't a lower-casing word BPE whose pattern leaves white space out, so that collapsing it changes nothing.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizer, pre = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": LOWER_PATTERN}, "behavior": "Removed", "invert": True}
+    if normalizer.get("normalizers") != LOWER_NORMALIZER or pre[0] != split or any(t["normalized"] for t in spec["added_tokens"]):
+        return None
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    t.normalizer = None
+    return t, tuple(x["content"].lower() for x in spec["added_tokens"])
+
+
+def lowered(text: str, special: tuple[str, ...]) -> str | None:
+    """The text as that normalizer leaves it but for white space; None if it holds more than Latin letters and signs, or a special token's text in any case.
+
+    Below U+0180 nothing composes and every letter but U+0130 has one lower-case letter.
+    """
+    if text.isascii() or (max(text) < "\u0180" and "\u0130" not in text):
+        out = text.lower()
+        if not any(x in out for x in special):
+            return out
+    return None
+
+
 def _printable() -> dict[str, int]:
     """The byte that each printable stand-in of a byte-level vocabulary means."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]

@@ -52,6 +52,45 @@ def test_bpe_joins_are_repaired_for_other_tokenizers(odd_texts):
         assert np.frombuffer(coder.encode(coder.learn([t or ""])[0]), "<u4").tolist() == lib_ids(BYTE, t)
 
 
+ODD = ["the", "The", "ÄÖ", "naïve", "é", "ΣΑΣ", "İstanbul", "日本語", "<|endoftext|>", "<|EndOfText|>", "it's", "'S", "12", "…", "\u0301", "a\u0308", "😀", "\x85", "\u3000", "x\u200by", "ſt", "ŉ", "ǅ", "\x00", "\x1c", "don't"]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_bpe_equals_library_on_random_texts(path):
+    r = random.Random(8)
+    coder = bpe.ChunkCoder(path, mask=1, most_bytes=20_000, most_joins=500)  # cut often, tables emptied often
+    for _ in range(150):
+        some = [r.choice(ODD) for _ in range(6)]
+        texts = ["".join(r.choice(some if r.random() < 0.7 else ODD) + r.choice(["", " ", " ", "\n", "  ", "\t\r\n", " \x0b"]) for _ in range(r.randint(0, 60))) for _ in range(20)]
+        for t, cut in zip(texts, coder.learn(texts), strict=True):
+            assert np.frombuffer(coder.encode(cut), "<u4").tolist() == lib_ids(path, t)
+    assert coder.reused and coder.fresh
+
+
+def test_lowered_texts_are_what_the_normalizer_leaves():
+    """Every character that the way past the normalizer takes, by itself and between letters."""
+    plain, special = tokens.unnormalized(WORD)
+    taken = 0
+    for c in map(chr, range(0x2000)):
+        for t in (c, f"a{c}B", f"{c} {c}"):
+            low = tokens.lowered(t, special)
+            if low is not None:
+                taken += 1
+                assert low.split() == tokens.library(WORD).normalizer.normalize_str(t).split()
+                assert plain.encode(low, add_special_tokens=False).ids == lib_ids(WORD, t)
+    assert taken > 1000 and tokens.lowered("x<|ENDOFTEXT|>", special) is None and tokens.unnormalized(BYTE) is None
+
+
+def test_disagreeing_joins_are_widened():
+    """Chunks whose join the library encodes otherwise are joined until it agrees, whatever was in the table."""
+    coder = bpe.ChunkCoder(WORD)
+    parts = [b"ab", b"cd ef", b"gh ij", b" kl"]  # cut within words
+    cut = [(p, coder._encode(p), k in (0, 3)) for k, p in enumerate(parts)]
+    assert np.frombuffer(coder.encode(cut), "<u4").tolist() == lib_ids(WORD, "abcd efgh ij kl")
+    coder._check([(b"ab", b"cd"), (b"ef", b" kl")], [(coder._encode(b"x ab"), coder._encode(b"cd ef")), (coder._encode(b"ef"), coder._encode(b" kl"))])
+    assert list(coder.joins.values()) == [False, True]
+
+
 def test_chunks_are_reused(odd_texts):
     coder = bpe.ChunkCoder(WORD)
     text = " ".join(f"word{i} alpha" for i in range(500))
@@ -121,6 +160,26 @@ def test_pack_group_covers_every_id_once(cut):
             assert len(windows) == -(-sum(sizes) // 2048)
 
 
+def test_window_count_rises_over_capacity():
+    """Tails that don't fit in the least count of windows: none is cut, windows are added until all fit."""
+    assert len(packing.pack_group([1100] * 10, 2048, cut=False)) == 10
+    assert len(packing.pack_group([1500, 1400, 600, 500], 2048, cut=False)) == 2
+    r = random.Random(6)
+    for _ in range(20):
+        sizes = [min(2047, int(r.lognormvariate(6.3, 0.9)) + 1) for _ in range(1500)]
+        windows = packing.pack_group(sizes, 2048, cut=False)
+        assert sorted((d, a, n) for w in windows for d, a, n in w) == [(i, 0, n) for i, n in enumerate(sizes)]
+        assert max(sum(p[2] for p in w) for w in windows) <= 2048
+        assert sum(sizes) >= 0.95 * 2048 * len(windows)
+
+
+def test_packing_cuts_only_long_documents_and_pads_little(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    pieces = packing.pack(docs.coalesce(1), BYTE).collect()
+    assert all((p.doc_tokens > 2048) or p.length == p.doc_tokens for p in pieces)
+    assert sum(p.length for p in pieces) >= 0.97 * 2048 * len({p.sequence_id for p in pieces})
+
+
 def test_pack_rows(odd_docs, corpus):
     for df in (odd_docs, corpus):
         texts = {r.doc_id: r.text for r in df.collect()}
