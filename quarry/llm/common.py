@@ -34,11 +34,14 @@ def fold(col: str, parts: int, rest: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, local mode) a temporary folder is set.
+    Only where that is unset in local mode (tests) a temporary folder is set; on a
+    cluster executors would write to their own disks, so that is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(where)
     return where

@@ -40,7 +40,7 @@ def _grams_of(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the statistics of the text, from ``n_words`` on, to every row."""
+    """Adds the statistics of the text, from ``n_words`` on, to every row; columns of their names (and of the names of steps, which begin with ``_``) are replaced."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.array_remove(F.split(text, SPACE), "")
@@ -170,7 +170,7 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """Every row with its statistics, ``base_failed``, ``rule`` (the first that holds) and ``kept``."""
+    """Every row with its statistics, ``base_failed``, ``rule`` (the first that holds) and ``kept``; columns of these names are replaced."""
     out = statistics(docs, text_col).withColumns({"base_failed": base_failed(), "rule": expression(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
@@ -180,10 +180,10 @@ def learned(docs: DataFrame, labels: DataFrame, **options) -> list[Rule]:  # noq
 
 
 def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows that ``judge`` keeps, with its columns.
+    """The rows that ``judge`` keeps, with the columns of ``docs`` as they are.
 
     The row number holds the filter above the projections: pushed below, it would
     be written out in terms of the text and compute every statistic many times.
     """
-    out = judge(docs, rules, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return out.where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
+    out = judge(docs.select(docs[text_col].alias("text"), F.struct("*").alias("row")), rules).withColumn("number", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")

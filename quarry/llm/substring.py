@@ -10,6 +10,12 @@ far as those windows reach. Documents meet on anchors:
 * an anchor with different extensions is compared window by window, by the runs
   that stand, to find how far each match reaches.
 
+An anchor that is frequent in a sample of the documents (a stock phrase in ever new
+surroundings) isn't met by itself, for all its runs would land in one task: its runs
+meet by anchor and extension, and all that stand are compared window by window. That
+is what their meeting would have led to, so the sample decides where rows go and
+changes no result.
+
 Neighbouring repeats join into the maximal ones. Rows meet by key through one
 window function each, after each batch of documents has kept only its own least
 document for every key, so an extremely common passage sends a row for each batch
@@ -35,6 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, mix, slices, utf8, written
 
+#: Documents looked at for frequent anchors, the least count there, and the most anchors kept.
+SAMPLED, FREQUENT, MOST = 20_000, 20, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -112,6 +120,26 @@ def _least_first(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def frequent_anchors(texts: DataFrame, length: int, anchor: int, id_col: str, text_col: str) -> np.ndarray:
+    """Anchors of at least ``FREQUENT`` documents of a sample, in order."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for batch in slices(batches, 4000):
+            doc, _, _, key, _ = runs(*_batch(utf8(batch.column(0)), hasher), length, anchor)
+            if len(doc):
+                first = np.lexsort([doc, key])
+                new = np.concatenate([[True], (key[first][1:] != key[first][:-1]) | (doc[first][1:] != doc[first][:-1])])
+                h, c = np.unique(key[first][new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    each = -(-texts.count() // SAMPLED)
+    if each > 1:
+        texts = texts.where(F.pmod(F.xxhash64(id_col), F.lit(each)) == 0)
+    counts = texts.select(text_col).mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    return np.sort(counts.orderBy(F.desc("c"), "h").limit(MOST).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
 def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, at long): stretches of windows that also start in a document of smaller id, packed as in ``_packed``."""
     if not 0 < anchor < length <= anchor + 16:
@@ -127,10 +155,12 @@ def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "d
                 continue
             own = ids[doc]
             done = _least_first([key, span], own) < own  # a smaller id of this batch has the same run
+            often = np.isin(key, sent.value) & ~done
+            key = np.where(often, mix(key * _BASE + span), key)
             key = np.where(done, mix(own.view(np.uint64) * _BASE + start.astype(np.uint64)), key)  # these no longer need to meet
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(own), pa.array(_packed(start, windows, marks[doc])), pa.array(done)],
-                ["anchor", "span", "doc", "at", "done"],
+                [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(own), pa.array(_packed(start, windows, marks[doc])), pa.array(np.where(done, 1, np.where(often, 2, 0)).astype(np.int8))],
+                ["anchor", "span", "doc", "at", "flag"],
             )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +183,13 @@ def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(start << 20 | mark), pa.array(done)], ["key", "doc", "at", "done"])
 
     texts = _texts(docs, id_col, text_col)
-    seeds = texts.mapInArrow(seed, "anchor long, span long, doc long, at long, done boolean")
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(texts, length, anchor, id_col, text_col))
+    seeds = texts.mapInArrow(seed, "anchor long, span long, doc long, at long, flag byte")
     by_anchor = Window.partitionBy("anchor").orderBy("span", "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_span = Window.partitionBy("anchor", "span").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = seeds.withColumns({"low": F.min("span").over(by_anchor), "high": F.max("span").over(by_anchor), "n": F.count("*").over(by_anchor)}).where("n > 1 or done")
+    met = seeds.withColumns({"low": F.min("span").over(by_anchor), "high": F.max("span").over(by_anchor), "n": F.count("*").over(by_anchor)}).where("n > 1 or flag > 0")
     met = met.withColumn("first", F.min("doc").over(by_span))
-    met = met.select("doc", "at", (F.col("done") | (F.col("first") < F.col("doc"))).alias("repeat"), (F.col("low") != F.col("high")).alias("open"))
+    met = met.select("doc", "at", ((F.col("flag") == 1) | (F.col("first") < F.col("doc"))).alias("repeat"), ((F.col("flag") == 2) | (F.col("low") != F.col("high"))).alias("open"))
     met = written(met.where("repeat or open"), "runs")
 
     standing = met.where("not repeat").groupBy("doc").agg(F.collect_set("at").alias("at"))
@@ -207,25 +238,26 @@ def remove_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: s
 
 
 def cut_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every column; texts that lose words have the others joined by a space, the rest stay as they are."""
+    """``docs`` with every column and ``n_removed`` (one of that name is replaced); texts that lose words have the others joined by a space, the rest stay as they are."""
     from pyspark.sql.types import LongType, StringType, StructType
 
-    at = repeats(docs, length, anchor, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("_at")).withColumnRenamed("doc", "_doc")
-    joined = docs.join(at, docs[id_col] == F.col("_doc"), "left").drop("_doc")
-    place = docs.columns.index(text_col)
+    docs = docs.drop("n_removed")
+    at = repeats(docs, length, anchor, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("at"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), F.struct("*").alias("row"))
+    joined = rows.join(at, rows["id"] == at["doc"], "left").select("text", "at", "row")
+    columns, place = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, counts = [], []
-            for text, raw, packed in zip(batch.column(place).to_pylist(), utf8(batch.column(place)), batch.column(len(columns)).to_pylist(), strict=True):
+            for text, raw, packed in zip(batch.column(0).to_pylist(), utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = raw.split() if packed else []
                 gone = covered(len(words), packed, _mark(raw), length)
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() if gone.any() else text)
                 counts.append(int(gone.sum()))
-            cols = list(batch.columns[: len(columns)])
+            cols = batch.column(2).flatten()
             cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], [*columns, "n_removed"])
 
-    columns = docs.columns
     fields = [f if f.name != text_col else type(f)(f.name, StringType()) for f in docs.schema.fields]
     return joined.mapInArrow(cut, StructType(fields).add("n_removed", LongType()))

@@ -7,8 +7,9 @@ zero, so what is broadcast is a short list of places and weights, at most
 ``2**bits`` of them.
 
 The model is fitted on a bounded sample of labelled rows (``most_rows``, those of
-least id hash, and ``most_features`` in all); features are made where the texts
-are and learning runs in one task over that sample. Every text is scored whole.
+least id hash, as far as ``most_features`` go in that order); features are made where
+the texts are and learning runs in one task over that sample, so a table gives the same
+model however it is partitioned. Every text is scored whole.
 
 Null text counts as empty; a text without words gets the model's bias. Several
 labels of one id: the greatest counts. Rows without id or label aren't learned
@@ -98,12 +99,13 @@ def fit(
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes]] = []
         room = most_features
-        for batch in batches:
+        for batch in batches:  # in order of the id's hash
             for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 room -= len(row[2]) // 4
-                if room < 0:
-                    break
-                rows.append(row)
+                if room >= 0:
+                    rows.append(row)
+            if room < 0:
+                break
         rows.sort()
         y = np.array([r[1] for r in rows], np.float64)
         if not len(y) or y.min() == y.max():
@@ -113,7 +115,8 @@ def fit(
             model = ftrl([np.frombuffer(r[2], np.int32) for r in rows], y, bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.place.tobytes()], pa.binary()), pa.array([model.weight.tobytes()], pa.binary())], ["bias", "place", "weight"])
 
-    got = texts.mapInArrow(featured, "id long, y int, x binary").repartition(1).mapInArrow(learned, "bias double, place binary, weight binary").first()
+    ordered = texts.mapInArrow(featured, "id long, y int, x binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "x")
+    got = ordered.mapInArrow(learned, "bias double, place binary, weight binary").first()
     if got is None:  # no row reached the task
         return Model(bits, float(np.log(1e-9)), np.zeros(0, np.int32), np.zeros(0, np.float32))
     return Model(bits, got.bias, np.frombuffer(got.place, np.int32), np.frombuffer(got.weight, np.float32))

@@ -31,6 +31,6 @@ def clashing(odd_docs):
     from pyspark.sql import functions as F
 
     out = odd_docs
-    for c in ("ids", "n_tokens", "words", "anchor", "score", "fingerprint", "component_id", "start", "kept", "label", "held_out"):
+    for c in ("ids", "n_tokens", "words", "anchor", "score", "fingerprint", "component_id", "start", "kept", "label", "held_out", "n_removed", "_doc", "_at", "doc", "at", "id", "row", "rule", "n_words", "_row", "_words", "h", "c", "node", "uid"):
         out = out.withColumn(c, F.lit("clash"))
     return out

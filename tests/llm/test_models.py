@@ -146,6 +146,43 @@ def test_toxicity_held_out(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def plain_ftrl(rows, labels, order, alpha=1.0, beta=1.0, l1=6.0, l2=0.1):
+    """FTRL-proximal coordinate by coordinate, with dictionaries."""
+    n, z, bias = Counter(), Counter(), [0.0, 0.0]
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for i in order:
+        b = -bias[1] / ((beta + math.sqrt(bias[0])) / alpha)
+        w = {j: weight(j) for j in rows[i]}
+        p = 1 / (1 + math.exp(-(sum(w.values()) + b)))
+        g = p - labels[i]
+        for j, wj in w.items():
+            z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / alpha * wj
+            n[j] += g * g
+        bias[1] += g - (math.sqrt(bias[0] + g * g) - math.sqrt(bias[0])) / alpha * b
+        bias[0] += g * g
+    return {i: weight(i) for i in z if weight(i)}, b
+
+
+def test_ftrl_steps():
+    r = np.random.default_rng(2)
+    rows = [np.unique(r.integers(0, 60, 8)).astype(np.int32) for _ in range(300)]
+    labels = np.array([float(3 in x or 7 in x) for x in rows])
+    model = toxicity.ftrl(rows, labels, 6, l1=0.5, epochs=3, seed=11)
+    order = np.random.default_rng(11)
+    want, bias = plain_ftrl([x.tolist() for x in rows], labels, [i for _ in range(3) for i in order.permutation(300)], l1=0.5)
+    got = dict(zip(model.place.tolist(), model.weight.tolist(), strict=True))
+    assert got.keys() == want.keys() and 0 < len(got) < 60
+    assert all(got[i] == pytest.approx(want[i], rel=1e-5) for i in want) and model.bias == pytest.approx(bias, rel=1e-9)
+    assert sorted(got, key=got.get)[-2:] in ([3, 7], [7, 3])
+
+
+def test_toxicity_bound_takes_the_same_rows_however_dealt(spark, sf):
+    """Where ``most_features`` cuts the sample, the model doesn't depend on the order in which rows arrive."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    models = [toxicity.fit(docs.repartition(k).sortWithinPartitions(order), labels, most_features=6000) for k, order in ((1, "doc_id"), (5, F.desc("doc_id")))]
+    assert models[0].bias == models[1].bias and (models[0].place == models[1].place).all() and (models[0].weight == models[1].weight).all()
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs, clashing):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(17)] + [(None, 1, 1), (3, 1, None), (5, 1, 1), (5, 1, 0)], LABELS)
     for df in (odd_docs, clashing):

@@ -156,3 +156,34 @@ def test_repeats_planted(spark, words):
             w += [r.choice(vocab) for _ in range(r.randint(0, 25))] + r.choice(passages)
         rows.append((r.choice([d, d, d, None, d - 1]), " ".join(w)))
     check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
+def test_cut_repeats_keeps_clashing_columns(spark, clashing, odd_docs, no_docs):
+    plain = {r.doc_id: (r.text, r.n_removed) for r in substring.cut_repeats(odd_docs).collect()}
+    out = substring.cut_repeats(clashing)
+    assert out.columns == [*(c for c in clashing.columns if c != "n_removed"), "n_removed"]
+    rows = out.collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in rows} == plain
+    assert all(r._doc == r._at == r.doc == r.row == "clash" for r in rows)
+    assert substring.cut_repeats(no_docs).collect() == []
+
+
+def test_frequent_anchors_change_no_result(spark, monkeypatch):
+    """A stock phrase in ever new surroundings, with longer passages around it in some documents: met by extension it gives the same."""
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    phrase, passage = "all of these rights are reserved", words(20)
+    texts = []
+    for i in range(120):
+        around = words(20) if i % 4 else passage
+        texts.append(f"{words(30)} {around} {phrase} {passage if i % 3 == 0 else words(9)} {words(15)}")
+    df = spark.createDataFrame(rows_of(texts), DOCS).repartition(5)
+    want = sorted(substring.remove_repeats(df).collect())
+    assert sum(x.n_removed for x in want) > 500
+    seen = []
+    one = substring.frequent_anchors
+    monkeypatch.setattr(substring, "frequent_anchors", lambda *a: seen.append(one(*a)) or seen[-1])
+    monkeypatch.setattr(substring, "FREQUENT", 2)
+    assert sorted(substring.remove_repeats(df).collect()) == want and len(seen[0]) > 0
+    monkeypatch.setattr(substring, "FREQUENT", 1)  # all of them
+    assert sorted(substring.remove_repeats(df).collect()) == want

@@ -4,13 +4,11 @@ from collections import defaultdict
 
 import corpus_pipeline as cp
 import pytest
-from conftest_rows import DOCS
+from conftest_rows import DOCS, MEDIUM as SF
 from quarry.llm import queries
 from test_neighbours import plain_repeats
 from test_similar import shingles
 
-SF = "/root/testdata/sf0.01"
-
 
 def similar_pairs(texts):
     """Jaccard similarity of every pair of texts that share a five-word shingle."""

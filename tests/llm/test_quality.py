@@ -54,8 +54,8 @@ def test_learn_without_both_kinds():
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
-    d = "/root/testdata/sf0.01"
+def tables(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
@@ -76,3 +76,11 @@ def test_no_labels(spark, odd_docs):
     rules = quality.learned(odd_docs, empty)
     assert rules == []
     assert all(r.kept == (not r.base_failed) for r in quality.judge(odd_docs.select("doc_id", "text"), rules).collect())
+
+
+def test_keep_leaves_columns_alone(clashing, odd_docs):
+    kept = quality.keep(clashing, [])
+    assert kept.columns == clashing.columns
+    rows = kept.collect()
+    assert all(r.rule == r.kept == r.n_words == r._row == r._words == "clash" for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in quality.judge(odd_docs, []).collect() if r.kept)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest_rows import DOCS, rows_of
+from conftest_rows import DOCS, MEDIUM, rows_of
 from quarry.llm import simhash_similar as s
 
 
@@ -90,7 +90,7 @@ def test_links_are_those_of_all_pairs(spark):
     """The components on a table are those of exact similarity over all pairs."""
     from test_pipeline import similar_pairs
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     root = {d: d for d in texts}
 
