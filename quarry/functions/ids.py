@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,20 +34,38 @@ def collection_name(project: Column, domain: Column, model: Column, dim: Column,
     return F.concat_ws("_", project, domain, model, dim.cast("string"), backend)
 
 
+def fnv1a(values: pa.Array, start: int, prime: int) -> np.ndarray:
+    """FNV-1a of the bytes of every value (empty for null) in 64-bit arithmetic, one place of all values at a time."""
+    raw = values.cast(pa.binary()).fill_null(b"")
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data, at, length = np.frombuffer(raw.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
+    h, left = np.full(len(raw), start, np.uint64), np.flatnonzero(length)
+    j = 0
+    while len(left):
+        h[left] = (h[left] ^ data[at[left] + j]) * np.uint64(prime)
+        j += 1
+        left = left[length[left] > j]
+    return h
+
+
 def fnv64(text: Column) -> Column:
-    """FNV-1a of 64 bits as hex: wraps around, so it runs in Python on Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(s):  # noqa: ANN001, ANN202
-        def one(x: str | None) -> str | None:
-            if x is None:
-                return None
-            h = 0xCBF29CE484222325
-            for b in x.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
-
-        return s.map(one)
+    """FNV-1a of 64 bits as hex. The product wraps around, which SQL arithmetic doesn't, so it runs in numpy on Arrow batches."""
+
+    @F.arrow_udf("string")
+    def run(v: pa.Array) -> pa.Array:
+        h = fnv1a(v, 0xCBF29CE484222325, 0x100000001B3)
+        return pa.array([f"{x:016x}" for x in h.tolist()], pa.string(), mask=v.is_null().to_numpy(zero_copy_only=False))
+
+    return run(text)
+
+
+def fnv32_mod(text: Column, modulus: int) -> Column:
+    """FNV-1a of 32 bits modulo ``modulus``: the low half of the 64-bit product is that of the 32-bit one."""
+
+    @F.arrow_udf("int")
+    def run(v: pa.Array) -> pa.Array:
+        h = (fnv1a(v, 2166136261, 16777619) & np.uint64(0xFFFFFFFF)) % np.uint64(modulus)
+        return pa.array(h.astype(np.int32), mask=v.is_null().to_numpy(zero_copy_only=False))
 
     return run(text)
 

@@ -12,9 +12,13 @@ def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(points: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
-    """New rows replace those of the same key; only fresh keys are looked for, the rest isn't sorted."""
-    return points.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+def upsert(points: DataFrame, fresh: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
+    """New rows replace those of the same key; only fresh keys are looked for, the rest isn't sorted.
+
+    A key that comes several times leaves one row: the last by ``seq``, or any where no order is given.
+    """
+    fresh = latest(fresh, key, [F.desc(seq)]).select(*points.columns) if seq else fresh.dropDuplicates([key])
+    return points.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
 def update(points: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -74,3 +78,26 @@ def upload_batches(docs: DataFrame, group_col: str, key: str, size: int = 64) ->
     """Numbers batches of at most ``size`` rows within each group."""
     w = Window.partitionBy(group_col).orderBy(key)
     return docs.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+
+
+def points_per_file(points: DataFrame, file_col: str = "source_file") -> DataFrame:
+    """(file, points): how many points each file has."""
+    return points.groupBy(file_col).agg(F.count("*").alias("points"))
+
+
+def chunk_rows(points: DataFrame) -> DataFrame:
+    """Points as rows of a browser: empty names shown as such, line numbers from text (0 where they are none), sizes in bytes."""
+    shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(unknown)")).alias(c)
+    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("int"), F.lit(0)).alias(c)
+    return points.select("id", shown("source_file"), shown("language"), shown("symbol"), "name", number("start_line"), number("end_line"), F.octet_length("content").alias("size"))
+
+
+def hits_where(hits: DataFrame, points: DataFrame, condition: Column, key: str = "id") -> DataFrame:
+    """Hits of a search whose points meet a condition, with their columns; hits are a top-k, so they travel to the points."""
+    return points.where(condition).join(F.broadcast(hits), key)
+
+
+def seeded(rows: DataFrame, seed: DataFrame) -> DataFrame:
+    """The rows, or the seed where there are none."""
+    empty = rows.limit(1).agg((F.count("*") == 0).alias("_empty"))
+    return rows.unionByName(seed.crossJoin(F.broadcast(empty)).where("_empty").drop("_empty"))

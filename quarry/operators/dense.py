@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,38 +37,49 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, id_col: str, vector_col: str, keys: list[str], per: int) -> DataFrame:
-    """Packs rows into blocks of at most ``per``: ids, keys and a matrix in one row each; no shuffle."""
+    """Packs rows into blocks of at most ``per``: ids, their common keys and a matrix in one row each; no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), per):
-                part = f.iloc[at : at + per]
-                x = np.array(part[vector_col].tolist(), np.float64)
-                yield pd.DataFrame({"ids": [part[id_col].tolist()], "tags": [[str(tuple(t)) for t in part[keys].itertuples(index=False)] if keys else [""] * len(part)], "m": [x.tobytes()], "n": [len(part)]})
+            width = f[vector_col].map(len)
+            tag = pd.Series([json.dumps(list(t)) for t in f[keys].itertuples(index=False)] if keys else "", index=f.index)
+            for (of, _), same in f.groupby([tag, width], sort=False):
+                for at in range(0, len(same), per):
+                    part = same.iloc[at : at + per]
+                    x = np.array(part[vector_col].tolist(), np.float64)
+                    yield pd.DataFrame({"ids": [part[id_col].tolist()], "tag": [of], "m": [x.tobytes()], "n": [len(part)]})
 
-    return rows.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, *keys).mapInPandas(run, "ids array<long>, tags array<string>, m binary, n int")
+    named = [F.col(c).cast("string").alias(f"_key{i}") for i, c in enumerate(keys)]
+    keys = [f"_key{i}" for i in range(len(keys))]
+    return rows.where(F.size(vector_col) > 0).select(id_col, vector_col, *named).mapInPandas(run, "ids array<long>, tag string, m binary, n int")
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "cosine", least: float | None = None, same: tuple[str, ...] = (),
-    id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding", digits: int = 6, per: int = 2048,
+    id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding", digits: int = 6, per: int = 2048, group_col: str | None = None,
 ) -> DataFrame:
     """Exact search of a stated query set against all vectors, in blocks.
 
     A block of queries meets a block of vectors in one matrix product and sends on
     only its own k best of each query (or those of at least ``least``), so nothing
-    of the size of their product is ever stored. ``same`` asks for equal columns.
+    of the size of their product is ever stored. ``same`` asks for equal columns:
+    blocks hold one value each and only those of equal values meet. With ``group_col``
+    the k best of each query and each value of that column (null is one) are found,
+    and the column comes too. Vectors of another length than the query's are not met.
     """
-    q = _blocks(queries, query_col, vector_col, list(same), per).toDF("q_ids", "q_tags", "q", "q_n")
-    v = _blocks(vectors, id_col, vector_col, list(same), per)
+    for c in same:  # a null equals nothing
+        queries, vectors = queries.where(F.col(c).isNotNull()), vectors.where(F.col(c).isNotNull())
+    q = _blocks(queries, query_col, vector_col, list(same), per).toDF("q_ids", "q_tag", "q", "q_n")
+    v = _blocks(vectors, id_col, vector_col, [group_col] if group_col else list(same), per)
+    met = v.join(q, F.col("tag") == F.col("q_tag")) if same else v.crossJoin(q)  # blocks, not rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 a, b = np.frombuffer(r.q).reshape(r.q_n, -1), np.frombuffer(r.m).reshape(r.n, -1)
+                if a.shape[1] != b.shape[1]:
+                    continue
                 s = np.round(_scores(a, b, metric), digits) + 0.0
-                if same:
-                    s[np.array(r.q_tags)[:, None] != np.array(r.tags)[None]] = -np.inf
                 if least is not None:
                     s[s < least] = -np.inf
                 ids, qid = np.array(r.ids), np.array(r.q_ids)
@@ -77,12 +89,15 @@ def search(
                     order = np.broadcast_to(np.arange(s.shape[1]), s.shape)
                 got = np.take_along_axis(s, order, axis=1)
                 row, col = np.nonzero(np.isfinite(got))
-                yield pd.DataFrame({query_col: qid[row], id_col: ids[order[row, col]], "score": got[row, col]})
+                yield pd.DataFrame({query_col: qid[row], id_col: ids[order[row, col]], "score": got[row, col], "tag": r.tag})
 
-    met = v.crossJoin(q).mapInPandas(run, f"{query_col} long, {id_col} long, score double")  # blocks, not rows
+    met = met.mapInPandas(run, f"{query_col} long, {id_col} long, score double, tag string")
+    if group_col:
+        met = met.withColumn(group_col, F.get(F.from_json("tag", "array<string>"), F.lit(0)).cast(vectors.schema[group_col].dataType))
+    met = met.drop("tag")
     if k is None:
         return met
-    w = Window.partitionBy(query_col).orderBy(F.desc("score"), F.asc(id_col))
+    w = Window.partitionBy(query_col, *([group_col] if group_col else [])).orderBy(F.desc("score"), F.asc(id_col))
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -100,10 +115,10 @@ class Ivf:
     def __init__(self, vectors: DataFrame, lists: int = 16, sample_rows: int = 20_000, rounds: int = 12, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"):
         self.id_col, self.vector_col = id_col, vector_col
         some = vectors.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(vector_col).toPandas()
-        x = np.array(some[vector_col].tolist(), np.float64)
+        x = np.array(some[vector_col].tolist(), np.float64) if len(some) else np.zeros((0, 1))  # an empty table has no centres
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         self.centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
-        for _ in range(rounds):
+        for _ in range(rounds if len(x) else 0):
             near = (x @ self.centres.T).argmax(axis=1)
             for c in range(len(self.centres)):
                 if (near == c).any():

@@ -149,15 +149,109 @@ def must(conditions: dict[str, object]) -> Column:
     return out
 
 
-def store_filter(text: str) -> Column:
-    """A store's filter text as an expression: string literals in double quotes become single-quoted, ``&&``, ``||`` and ``==`` their SQL forms."""
-    out, i = [], 0
-    for m in re.finditer(r'"((?:[^"\\]|\\.)*)"', text):
-        out.append(_operators(text[i : m.start()]))
-        out.append("'" + m[1].replace('\\"', '"').replace("'", "\\'") + "'")
-        i = m.end()
-    return F.expr("".join([*out, _operators(text[i:])]))
+_TOKEN = re.compile(r'\s*(?:(?P<text>"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')|(?P<number>-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)|(?P<op>&&|\|\||==|!=|<>|<=|>=|[=<>!(),])|(?P<word>[A-Za-z_][\w.]*))')
+
+
+class _Filter:
+    """Recursive descent over: or := and (OR and)*; and := not (AND not)*; not := [NOT] ('(' or ')' | test)."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens, at = text, [], 0
+        while at < len(text.rstrip()):
+            m = _TOKEN.match(text, at)
+            if not m:
+                raise ValueError(f"filter {text!r}: unexpected {text[at:].strip()[:20]!r}")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+        self.at = 0
+
+    def next(self, *wanted: str) -> str | None:
+        """The next token if it is one of these operators or words (in any case)."""
+        if self.at < len(self.tokens):
+            kind, value = self.tokens[self.at]
+            if kind in ("op", "word") and value.lower() in wanted:
+                self.at += 1
+                return value.lower()
+        return None
+
+    def take(self, *kinds: str) -> tuple[str, str]:
+        if self.at >= len(self.tokens) or self.tokens[self.at][0] not in kinds:
+            raise ValueError(f"filter {self.text!r}: a {' or '.join(kinds)} is missing")
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def either(self) -> Column:
+        out = self.both()
+        while self.next("or", "||"):
+            out = out | self.both()
+        return out
+
+    def both(self) -> Column:
+        out = self.one()
+        while self.next("and", "&&"):
+            out = out & self.one()
+        return out
+
+    def one(self) -> Column:
+        if self.next("not", "!"):
+            return ~self.one()
+        if self.next("("):
+            out = self.either()
+            if not self.next(")"):
+                raise ValueError(f"filter {self.text!r}: a bracket isn't closed")
+            return out
+        return self.test()
+
+    def value(self) -> Column:
+        kind, value = self.take("text", "number", "word")
+        if kind == "text":
+            return F.lit(re.sub(r"\\(.)", r"\1", value[1:-1]))
+        if kind == "number":
+            return F.lit(float(value) if re.search(r"[.eE]", value) else int(value))
+        if value.lower() not in ("true", "false"):
+            raise ValueError(f"filter {self.text!r}: {value} is no literal")
+        return F.lit(value.lower() == "true")
+
+    def test(self) -> Column:
+        column = F.col(f"`{self.take('word')[1]}`")
+        if self.next("is"):
+            negated = self.next("not")
+            if not self.next("null"):
+                raise ValueError(f"filter {self.text!r}: null is missing")
+            return column.isNotNull() if negated else column.isNull()
+        negated = self.next("not")
+        if self.next("in"):
+            if not self.next("("):
+                raise ValueError(f"filter {self.text!r}: a list is missing")
+            values = [self.value()]
+            while self.next(","):
+                values.append(self.value())
+            if not self.next(")"):
+                raise ValueError(f"filter {self.text!r}: a list isn't closed")
+            out = column.isin(*values)
+        elif self.next("like"):
+            out = F.like(column, self.value())
+        elif self.next("between"):
+            low = self.value()
+            if not self.next("and"):
+                raise ValueError(f"filter {self.text!r}: a range isn't closed")
+            out = column.between(low, self.value())
+        else:
+            op, value = self.next("=", "==", "!=", "<>", "<", "<=", ">", ">="), None
+            if negated or not op:
+                raise ValueError(f"filter {self.text!r}: a comparison is missing")
+            value = self.value()
+            return {"=": column == value, "==": column == value, "!=": column != value, "<>": column != value, "<": column < value, "<=": column <= value, ">": column > value, ">=": column >= value}[op]
+        return ~out if negated else out
 
 
-def _operators(text: str) -> str:
-    return text.replace("&&", " AND ").replace("||", " OR ").replace("==", "=")
+def store_filter(text: str) -> Column:
+    """A store's filter text as a predicate: comparisons of columns with literals, IN, LIKE, BETWEEN, IS NULL, AND, OR, NOT and brackets.
+
+    The text is parsed, so it reaches no function and names columns only; anything else is a ValueError.
+    """
+    parsed = _Filter(text)
+    out = parsed.either()
+    if parsed.at < len(parsed.tokens):
+        raise ValueError(f"filter {text!r}: unexpected {parsed.tokens[parsed.at][1]!r}")
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,10 @@ def apply(before: DataFrame, now: DataFrame, files: DataFrame, key: str = "path"
     return before.join(handled, key, "left_anti").unionByName(now.join(handled, key, "left_semi"))
 
 
-def plan(differences: DataFrame, points: int, async_files: int = 200, sync_changes: int = 50, group: list[str] | None = None) -> DataFrame:
+def plan(differences: DataFrame, points: int | Column, async_files: int = 200, sync_changes: int = 50, group: list[str] | None = None) -> DataFrame:
     """One row: counts and ``mode`` (none, delta or full; ``sync`` or not).
 
-    Full where the store is empty or over half of the files changed.
+    Full where the store is empty (``points`` is 0; a column tells it for each group) or over half of the files changed.
     """
     n = lambda what: F.count(F.when(F.col("change") == what, 1))
     counts = differences.groupBy(*(group or [])).agg(n("added").alias("added"), n("modified").alias("modified"), n("deleted").alias("deleted"), n("unchanged").alias("unchanged"))

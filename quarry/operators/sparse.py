@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
@@ -19,17 +20,18 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if few else docs
 
 
-def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term): a row for each kept token."""
-    runs = spread(docs.select(id_col, text_col)).select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(T.RUNS), F.lit(1))).alias("run"))
+def tokens(docs: DataFrame, id_col: str, text_col: str, by_id: bool = False) -> DataFrame:
+    """(id, term): a row for each kept token. With ``by_id`` texts are dealt by id, so what is grouped by id next needs no shuffle of tokens."""
+    rows = docs.select(id_col, text_col)
+    rows = rows.repartition(id_col) if by_id else spread(rows)
+    runs = rows.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(T.RUNS), F.lit(1))).alias("run"))
     return runs.select(id_col, F.explode(F.split("run", T.CAMEL)).alias("term")).select(id_col, F.lower("term").alias("term")).where(T.kept_term(F.col("term")))
 
 
 def frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term_hash, tf). Hashes are made once for each distinct term, not for each token."""
-    by_term = tokens(docs, id_col, text_col).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    hashes = by_term.select("term").distinct().withColumn("term_hash", T.term_hash("term"))
-    return by_term.join(hashes, "term").groupBy(id_col, "term_hash").agg(F.sum("n").alias("tf"))
+    """(id, term_hash, tf), partitioned by id: the texts cross the network once, tokens never."""
+    by_term = tokens(docs, id_col, text_col, by_id=True).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    return by_term.select(id_col, ids.fnv32_mod(F.col("term"), T.TERM_SPACE).alias("term_hash"), "n").groupBy(id_col, "term_hash").agg(F.sum("n").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -55,15 +57,16 @@ class Bm25:
 
     def postings(self) -> DataFrame:
         """(id, term_hash, weight): BM25 weights of documents; terms without positive idf are left out."""
-        length = self.tf.groupBy(self.id_col).agg(F.sum("tf").alias("dl"))
-        rows = self.tf.join(length, self.id_col).join(self.df, "term_hash").crossJoin(F.broadcast(self.stats))
+        # partitioned by id already; df has at most TERM_SPACE rows
+        sized = self.tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(self.id_col)))
+        rows = sized.join(F.broadcast(self.df), "term_hash").crossJoin(F.broadcast(self.stats))
         rate = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
         value = idf(F.col("n"), F.col("df"))
         return rows.where(value > 0).select(self.id_col, "term_hash", (value * F.col("tf") * (K1 + 1) / rate).alias("weight"))
 
     def query(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
         """(query_id, term_hash, weight): the idf of each token, summed; 0.1 for terms the corpus lacks."""
-        q = frequencies(queries, id_col, text_col).join(self.df, "term_hash", "left").crossJoin(F.broadcast(self.stats))
+        q = frequencies(queries, id_col, text_col).join(F.broadcast(self.df), "term_hash", "left").crossJoin(F.broadcast(self.stats))
         return q.select(id_col, "term_hash", (F.col("tf") * F.when(F.col("df").isNull(), F.lit(UNKNOWN)).otherwise(idf(F.col("n"), F.col("df")))).alias("weight"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, manifest, render, sparse
+from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, render, sparse
 from ..sources import embed
 from ..streaming import watch
 
@@ -76,7 +76,7 @@ def _bm25(spark: SparkSession, d: str) -> tuple[sparse.Bm25, DataFrame]:
 
 @query(f"WITH {_tok('tok', 'documents', 'doc_id')} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY ALL")
 def tok_count(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.tokens(_t(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "term").count().groupBy("doc_id").agg(F.sum("count").alias("n_tokens"), F.count("*").alias("n_terms"))
+    return sparse.tokens(_t(spark, d, "documents"), "doc_id", "text", by_id=True).groupBy("doc_id", "term").count().groupBy("doc_id").agg(F.sum("count").alias("n_tokens"), F.count("*").alias("n_terms"))
 
 
 @query(f"WITH {_tok('tok', 'documents', 'doc_id')} SELECT term, count(*) AS n FROM tok GROUP BY ALL ORDER BY n DESC, term LIMIT 100")
@@ -199,10 +199,7 @@ def knn_truncated_dim(spark: SparkSession, d: str) -> DataFrame:
 )
 def knn_group_by(spark: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(spark, d)
-    # the best three of each label and query: one search for each label, all in one pass over the vectors
-    labels = [r[0] for r in v.where("label is not null").select("label").distinct().orderBy("label").collect()]
-    hits = reduce(DataFrame.unionByName, [dense.search(v.where(F.col("label") == x), q, k=3).withColumn("label", F.lit(x)) for x in labels])
-    return dense.group_top(hits, "label", 3, 4).select("query_id", "label", "vec_id", "score", "in_group", "group_rank")
+    return dense.group_top(dense.search(v, q, k=3, group_col="label"), "label", 3, 4).select("query_id", "label", "vec_id", "score", "in_group", "group_rank")
 
 
 @query()
@@ -284,10 +281,32 @@ def split_oversized(spark: SparkSession, d: str) -> DataFrame:
     return chunk.split_oversized(_t(spark, d, "documents"), "doc_id", "text", 400)
 
 
-@query()
+_CODE = {
+    "py": "import os\n\n@cached\ndef first_{}(x):\n    return x\n\nclass Second:\n    def inner(self):\n        pass\n",
+    "go": "package main\n\nfunc (r *Row) First() int {{\n\treturn {}\n}}\n\ntype Second struct {{\n\tx int\n}}",
+    "sql": "create table first_{} (\n  x int\n);\nselect 1;",
+    "txt": "no code {}\nat all",
+}
+_PARTS = {  # language, symbol, name, first and last line
+    "py": [("python", "function", "'first_' || page_id", 3, 5), ("python", "class", "'Second'", 7, 9)],
+    "go": [("go", "func", "'First'", 3, 5), ("go", "type", "'Second'", 7, 9)],
+    "sql": [("sql", "create", "'first_' || page_id", 1, 3), ("sql", "select", "''", 4, 4)],
+    "txt": [("txt", "chunk", "page_id || '.txt:1-2'", 1, 2)],
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 'p/' || page_id || '.{x}' AS path, '{lang}' AS language, '{symbol}' AS symbol, {name} AS name, {a} AS start_line, {b} AS end_line, 0 AS part, array_to_string(string_split(replace('{_CODE[x].format('#')}', '#', page_id::VARCHAR), chr(10))[{a}:{b}], chr(10)) AS chunk FROM pages WHERE page_id % 4 = {k}"
+        for k, x in enumerate(_CODE) for lang, symbol, name, a, b in _PARTS[x]
+    )
+)
 def ast_chunks(spark: SparkSession, d: str) -> DataFrame:
-    files = _t(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return chunk.chunks(files)
+    """A file for each page, of one of four kinds by its id; definitions of the three languages, packed lines of the other."""
+    page = F.col("page_id")
+    extension = F.element_at(F.array(*map(F.lit, _CODE)), (page % 4 + 1).cast("int"))
+    content = F.element_at(F.array(*[F.replace(F.lit(c.format("#")), F.lit("#"), page.cast("string")) for c in _CODE.values()]), (page % 4 + 1).cast("int"))
+    return chunk.chunks(_t(spark, d, "pages").select(F.concat(F.lit("p/"), page.cast("string"), F.lit("."), extension).alias("path"), content.alias("content")))
 
 
 _UUID = (
@@ -404,12 +423,14 @@ def skip_unchanged(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {_SNAP}, {_DIFF}, c AS (SELECT split_part(path, '/', 1) AS project, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change = 'unchanged') AS unchanged FROM dif GROUP BY ALL), "
-    "m AS (SELECT *, added + modified + deleted AS changes, CASE WHEN added + modified + deleted = 0 THEN 'none' WHEN (added + modified + deleted) * 2 > added + modified + unchanged THEN 'full' ELSE 'delta' END AS mode FROM c) "
+    "m AS (SELECT *, added + modified + deleted AS changes, CASE WHEN project IN ('src3', 'src4') THEN 'full' WHEN added + modified + deleted = 0 THEN 'none' WHEN (added + modified + deleted) * 2 > added + modified + unchanged THEN 'full' ELSE 'delta' END AS mode FROM c) "
     "SELECT *, CASE WHEN mode = 'full' THEN added + modified + unchanged <= 200 ELSE changes <= 50 END AS sync FROM m"
 )
 def reindex_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Two projects' stores have lost their points, so they are read anew."""
     now, was = _snapshots(spark, d)
-    return manifest.plan(manifest.diff(now, was).withColumn("project", F.split("path", "/")[0]), 1, group=["project"])
+    points = F.when(F.col("project").isin("src3", "src4"), 0).otherwise(1)
+    return manifest.plan(manifest.diff(now, was).withColumn("project", F.split("path", "/")[0]), points, group=["project"])
 
 
 @query(f"WITH {_SNAP} SELECT * FROM was WHERE path NOT IN (SELECT path FROM now_) OR path LIKE '%.de' UNION ALL SELECT * FROM now_ WHERE path NOT LIKE '%.de'")
@@ -579,11 +600,52 @@ def changed_union(spark: SparkSession, d: str) -> DataFrame:
     return t.where("lang = 'en'").union(t.where("source in ('src1', 'src2')")).select("doc_id", "source").distinct()
 
 
-@query("SELECT source AS name, lang AS owner, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)) WHERE k = 1")
+@query("WITH c AS (SELECT DISTINCT source AS name, 'curated' AS origin FROM documents WHERE lang = 'en'), l AS (SELECT DISTINCT source AS name, 'live' AS origin FROM documents) SELECT * FROM c UNION ALL SELECT * FROM l WHERE name NOT IN (SELECT name FROM c)")
 def merge_priority(spark: SparkSession, d: str) -> DataFrame:
-    """One owner for each name, by priority."""
-    n = _t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return collection.latest(n, "source", [F.desc("n"), F.asc("lang")]).select(F.col("source").alias("name"), F.col("lang").alias("owner"), "n")
+    """Curated names first, then live ones of other names; live names come many times."""
+    t = _t(spark, d, "documents")
+    curated = t.where("lang = 'en'").select(F.col("source").alias("name"), F.lit("curated").alias("origin")).distinct()
+    return catalog.merge_models(curated, t.select(F.col("source").alias("name"), F.lit("live").alias("origin")))
+
+
+@query(f"WITH {_FILES} SELECT id, source_file FROM files WHERE (language IN ('en', 'fr') OR source_file LIKE 'src1%') AND NOT (id >= 20 AND id < 400) AND content IS NOT NULL AND project <> 'it''s && x'")
+def store_filter_parsed(spark: SparkSession, d: str) -> DataFrame:
+    text = """(language in ("en", 'fr') || source_file LIKE "src1%") and not (id >= 20 && id < 4e2) AND content is not null AND project != "it's && x" """
+    return _files(spark, d).where(filters.store_filter(text)).select("id", "source_file")
+
+
+@query(f"WITH {_FILES} SELECT project AS source_file, count(*) AS points FROM files GROUP BY ALL")
+def points_per_file(spark: SparkSession, d: str) -> DataFrame:
+    return collection.points_per_file(_files(spark, d).select("id", F.col("project").alias("source_file")))
+
+
+@query(f"WITH {_FILES} SELECT id, source_file, CASE WHEN id % 5 = 0 THEN '(unknown)' ELSE language END AS language, symbol, name, CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS INTEGER) AS start_line, 0 AS end_line, CAST(octet_length(encode(content)) AS INTEGER) AS size FROM files")
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d).withColumns({"language": F.when(F.col("id") % 5 == 0, "").otherwise(F.col("language")), "start_line": F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("id").cast("string")), "end_line": F.lit(None).cast("string")})
+    return collection.chunk_rows(f)
+
+
+@query(_knn(_COS, extra="TRUE", k="rank <= 200 AND label = 3", cols="query_id, vec_id, score"))
+def semantic_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The best 200 hits of each query, then those that meet a filter."""
+    v, q = _vectors(spark, d)
+    hits = dense.search(v, q, k=200).select("query_id", "vec_id", "score")
+    return collection.hits_where(hits, v.select("vec_id", "label"), F.col("label") == 3, "vec_id").select("query_id", "vec_id", "score")
+
+
+@query("SELECT user_id AS id, max(value) AS value FROM events GROUP BY ALL")
+def upsert_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Every event writes its user's point; of several writes of one key the one of greatest ``value`` counts."""
+    fresh = _t(spark, d, "events").where("value is not null").select(F.col("user_id").alias("id"), "value")
+    return collection.upsert(fresh.where("id % 2 = 0").dropDuplicates(["id"]), fresh, seq="value")
+
+
+@query("SELECT r_regionkey AS id, r_name AS name FROM region")
+def seed_if_empty(spark: SparkSession, d: str) -> DataFrame:
+    """An empty table takes the seed, the full one doesn't take a second."""
+    seed = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    once = collection.seeded(seed.where("id < 0"), seed)
+    return collection.seeded(once, seed.withColumn("name", F.lit("again")))
 
 
 @query("SELECT vec_id, CAST(list_max(list_transform(embedding, lambda x: abs(x))) AS DOUBLE) AS largest, label, (label = (SELECT max(label) FROM embeddings)) AS is_active FROM embeddings")
@@ -599,7 +661,14 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return embed.hash_embedding(_t(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_PADS = [bytes(x ^ p for x in b"machine-id".ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
+_BYTE = "(instr('0123456789ABCDEF', substr(hex(encode(url)), CAST(i * 2 + {} AS INTEGER), 1)) - 1)"
+
+
+@query(
+    f"SELECT page_id, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(url)))) AS hmac, "
+    f"lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(generate_series(0, octet_length(encode(url)) - 1), lambda i: CAST({_BYTE.format(1)} * 16 + {_BYTE.format(2)} AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)), 16, '0')) AS fnv64 FROM pages"
+)
 def keyed_ids(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", ids.keyed_hash(F.col("url"), "machine-id").alias("hmac"), ids.fnv64(F.col("url")).alias("fnv64"))
 
@@ -610,3 +679,21 @@ def rendered_context(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), T.one_line(F.col("text")).alias("content"))
     rows = hits.join(docs, "doc_id")
     return render.context(rows, render.context_line(F.col("score"), F.col("file"), F.lit(1), F.lit(1), F.lit("chunk")), F.col("content"))
+
+
+@query(
+    f"WITH {_SNAP}, f AS (SELECT * FROM files WHERE id % 11 <> 0), old AS (SELECT source_file AS path, len(string_split(content, chr(10))) AS n FROM files WHERE id % 10 <> 0), "
+    "same AS (SELECT n.path FROM now_ n JOIN was w ON n.path = w.path AND n.sha256 = w.sha256) "
+    "SELECT split_part(f.source_file, '/', 1) AS project, count(*) AS files, CAST(sum(CASE WHEN same.path IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS handled, CAST(sum(CASE WHEN same.path IS NULL THEN ceil(len(string_split(content, chr(10))) / 60) ELSE 1 END) AS BIGINT) AS points FROM f LEFT JOIN same ON f.source_file = same.path GROUP BY ALL"
+)
+def index_run(spark: SparkSession, d: str) -> DataFrame:
+    """A delta run over a store that held one point of each file of the earlier snapshot: points that stay and points made anew."""
+    now, was = _snapshots(spark, d)
+    files = _files(spark, d).where("id % 11 <> 0").select(F.col("source_file").alias("path"), "content").join(now, "path")
+    stored = was.select(ids.point_id(F.split("path", "/")[0], F.col("path"), F.lit(1)).alias("id"), F.col("path").alias("source_file"), F.lit(1).alias("start_line"), F.lit(60).alias("end_line"), F.lit("was").alias("content"))
+    run = index.delta(files, was, stored, F.split("path", "/")[0])
+    project = F.split("source_file", "/")[0].alias("project")
+    handled = run.handled.withColumnRenamed("path", "source_file").groupBy(project).agg(F.count("*").alias("handled"))
+    points = run.points.groupBy(project).agg(F.count("*").alias("points"))
+    files = run.snapshot.withColumnRenamed("path", "source_file").groupBy(project).agg(F.count("*").alias("files"))
+    return files.join(handled, "project", "left").join(points, "project", "left").select("project", "files", F.coalesce("handled", F.lit(0)).alias("handled"), "points")

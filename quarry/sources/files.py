@@ -14,6 +14,8 @@ def walk(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude:
     """Source files below ``root``: path, size, mtime (and content, sha256).
 
     Without content the files' bytes are never read: the column is pruned from the scan.
+    Files over ``FILE_BYTES`` are left out, as are blank ones. Bytes that are no UTF-8
+    are read as U+FFFD; the digest is that of the bytes.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
@@ -24,7 +26,7 @@ def walk(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude:
     cols = [F.col("rel").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
     if not content:
         return rows.select(*cols)
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return rows.select(*cols, text.alias("content"), F.sha2("content", 256).alias("sha256")).where(F.trim("content") != "")
 
 
