@@ -72,3 +72,51 @@ def delete_project(projects: DataFrame, points: DataFrame, name: str) -> tuple[D
     if projects.where(F.col("name") == name).limit(1).isEmpty():
         raise KeyError(name)
     return projects.where(F.col("name") != name), points.where(F.col("project") != name)
+
+
+def _row(table: DataFrame, row: dict) -> DataFrame:
+    return table.sparkSession.createDataFrame([tuple(row.get(c) for c in table.columns)], table.schema)
+
+
+def insert_model(models: DataFrame, row: dict) -> DataFrame:
+    """A new model under the next free id."""
+    last = models.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return models.unionByName(_row(models, row | {"id": last + 1}))
+
+
+def update_model(models: DataFrame, row: dict) -> DataFrame:
+    """The model of that id with the given values; an unknown id is an error."""
+    if models.where(F.col("id") == row["id"]).limit(1).isEmpty():
+        raise KeyError(row["id"])
+    given = {c: v for c, v in row.items() if c in models.columns and c != "id"}
+    kind = dict(models.dtypes)
+    return models.select(*[F.when(F.col("id") == row["id"], F.lit(given[c]).cast(kind[c])).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in models.columns])
+
+
+def set_active(models: DataFrame, settings: DataFrame, model: int) -> DataFrame:
+    """The settings with this model active; it must exist."""
+    if models.where(F.col("id") == model).limit(1).isEmpty():
+        raise KeyError(model)
+    return settings.where("key <> 'active_model_id'").unionByName(_row(settings, {"key": "active_model_id", "value": str(model)}))
+
+
+def delete_model(models: DataFrame, settings: DataFrame, model: int) -> DataFrame:
+    """Without the model; the active one can't be deleted, and an unknown id is an error."""
+    found = with_active(models.where(F.col("id") == model), settings).select("is_active").first()
+    if found is None:
+        raise KeyError(model)
+    if found[0]:
+        raise ValueError(f"model {model} is active")
+    return models.where(F.col("id") != model)
+
+
+def key_identity(key: Column) -> Column:
+    """The first eight characters of a key, for logs; short keys as a whole."""
+    return F.left(key, F.lit(8))
+
+
+def admitted(requests: DataFrame, keys: DataFrame, header: str = "authorization") -> DataFrame:
+    """Requests whose bearer key is on the list (trimmed, empty ones don't count), with ``key_id``. Keys meet by digest only."""
+    bearer = F.regexp_extract(F.col(header), r"^Bearer\s+(\S+)\s*$", 1)
+    known = keys.select(F.trim("key").alias("_key")).where("_key <> ''").select(F.sha2("_key", 256).alias("_digest")).distinct()
+    return requests.withColumns({"_digest": F.sha2(bearer, 256), "key_id": key_identity(bearer)}).join(known, "_digest").drop("_digest")

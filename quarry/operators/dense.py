@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -36,6 +37,11 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return q @ v.T
 
 
+def _dtype(rows: DataFrame, vector_col: str) -> type:
+    """How a block stores components: 8-bit vectors stay 8-bit on their way."""
+    return np.int8 if isinstance(rows.schema[vector_col].dataType.elementType, ByteType) else np.float64
+
+
 def _blocks(rows: DataFrame, id_col: str, vector_col: str, keys: list[str], per: int) -> DataFrame:
     """Packs rows into blocks of at most ``per``: ids, their common keys and a matrix in one row each; no shuffle."""
 
@@ -46,9 +52,10 @@ def _blocks(rows: DataFrame, id_col: str, vector_col: str, keys: list[str], per:
             for (of, _), same in f.groupby([tag, width], sort=False):
                 for at in range(0, len(same), per):
                     part = same.iloc[at : at + per]
-                    x = np.array(part[vector_col].tolist(), np.float64)
+                    x = np.array(part[vector_col].tolist(), dtype)
                     yield pd.DataFrame({"ids": [part[id_col].tolist()], "tag": [of], "m": [x.tobytes()], "n": [len(part)]})
 
+    dtype = _dtype(rows, vector_col)
     named = [F.col(c).cast("string").alias(f"_key{i}") for i, c in enumerate(keys)]
     keys = [f"_key{i}" for i in range(len(keys))]
     return rows.where(F.size(vector_col) > 0).select(id_col, vector_col, *named).mapInPandas(run, "ids array<long>, tag string, m binary, n int")
@@ -71,12 +78,14 @@ def search(
         queries, vectors = queries.where(F.col(c).isNotNull()), vectors.where(F.col(c).isNotNull())
     q = _blocks(queries, query_col, vector_col, list(same), per).toDF("q_ids", "q_tag", "q", "q_n")
     v = _blocks(vectors, id_col, vector_col, [group_col] if group_col else list(same), per)
+    q_type, v_type = _dtype(queries, vector_col), _dtype(vectors, vector_col)
     met = v.join(q, F.col("tag") == F.col("q_tag")) if same else v.crossJoin(q)  # blocks, not rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                a, b = np.frombuffer(r.q).reshape(r.q_n, -1), np.frombuffer(r.m).reshape(r.n, -1)
+                a, b = np.frombuffer(r.q, q_type).reshape(r.q_n, -1), np.frombuffer(r.m, v_type).reshape(r.n, -1)
+                a, b = a.astype(np.float64, copy=False), b.astype(np.float64, copy=False)
                 if a.shape[1] != b.shape[1]:
                     continue
                 s = np.round(_scores(a, b, metric), digits) + 0.0
@@ -110,11 +119,20 @@ def group_top(hits: DataFrame, group_col: str, per_group: int, groups: int, quer
 
 
 class Ivf:
-    """An inverted file: k-means centres fitted on a bounded sample, every row filed under its nearest."""
+    """An inverted file: k-means centres fitted on a bounded sample, every row filed under its nearest.
+
+    The number of lists is the square root of the number of rows (at most ``most_lists``)
+    unless given, so lists stay of a size that grows slowly. ``probes`` is the least
+    number of lists that finds ``recall`` of the ten nearest on the sample, by exact search there.
+    """
 
-    def __init__(self, vectors: DataFrame, lists: int = 16, sample_rows: int = 20_000, rounds: int = 12, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"):
+    def __init__(
+        self, vectors: DataFrame, lists: int | None = None, sample_rows: int = 20_000, rounds: int = 12, seed: int = 5, recall: float = 0.97, most_lists: int = 4096,
+        id_col: str = "vec_id", vector_col: str = "embedding",
+    ):
         self.id_col, self.vector_col = id_col, vector_col
-        some = vectors.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(vector_col).toPandas()
+        lists = lists or max(1, min(most_lists, int(vectors.count() ** 0.5)))
+        some = vectors.where(F.size(vector_col) > 0).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(vector_col).toPandas()
         x = np.array(some[vector_col].tolist(), np.float64) if len(some) else np.zeros((0, 1))  # an empty table has no centres
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         self.centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
@@ -124,8 +142,19 @@ class Ivf:
                 if (near == c).any():
                     m = x[near == c].sum(axis=0)
                     self.centres[c] = m / max(np.linalg.norm(m), 1e-300)
+        self.probes = self._measured(x, recall)
         self.rows = self.filed(vectors, 1)
 
+    def _measured(self, x: np.ndarray, recall: float, asked: int = 200, k: int = 10) -> int:
+        """The least number of lists that holds ``recall`` of the nearest rows of some of the sample."""
+        if not len(x):
+            return 1
+        home, q = (x @ self.centres.T).argmax(axis=1), x[:asked]
+        nearest = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+        order = np.argsort(np.argsort(-(q @ self.centres.T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(np.take_along_axis(order, home[nearest], axis=1).ravel())
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
     def filed(self, rows: DataFrame, lists: int) -> DataFrame:
         """Rows with ``list_id``, one for each of their nearest lists."""
         centres = self.centres
@@ -135,17 +164,12 @@ class Ivf:
             x = np.array(v.tolist(), np.float64)
             return pd.Series(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :lists].tolist())
 
-        return rows.where(F.col(self.vector_col).isNotNull()).withColumn("list_id", F.explode(near(self.vector_col)))
-
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 12, query_col: str = "query_id") -> DataFrame:
-        """Each query looks into its nearest lists only; vectors are compared where their list is asked for.
+        return rows.where(F.size(self.vector_col) > 0).withColumn("list_id", F.explode(near(self.vector_col)))
 
-        Twelve of sixteen lists find 95 % of the ten nearest of the test tables' vectors, which hardly cluster.
-        """
-        q = self.filed(queries.select(query_col, self.vector_col), probes).withColumnRenamed(self.vector_col, "q")
-        met = self.rows.join(q, "list_id").select(query_col, self.id_col, F.round(cosine(F.col(self.vector_col), F.col("q")), 6).alias("score"))
-        w = Window.partitionBy(query_col).orderBy(F.desc("score"), F.asc(self.id_col))
-        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, query_col: str = "query_id") -> DataFrame:
+        """Each query looks into its nearest lists only: blocks of one list meet blocks of the queries that ask for it."""
+        q = self.filed(queries.select(query_col, self.vector_col), probes or self.probes)
+        return search(self.rows, q, k, same=("list_id",), id_col=self.id_col, query_col=query_col, vector_col=self.vector_col)
 
 
 def quantise(vector: Column) -> Column:

@@ -255,3 +255,95 @@ def store_filter(text: str) -> Column:
     if parsed.at < len(parsed.tokens):
         raise ValueError(f"filter {text!r}: unexpected {parsed.tokens[parsed.at][1]!r}")
     return out
+
+
+_QUERY = re.compile(r'\s*(?:"(?P<phrase>[^"]*)"|(?P<op>[()+-])|(?P<word>[^\s()"]+))')
+
+
+def text_query(text: str, terms: Column) -> Column:
+    """A boolean text query over the array ``terms`` of a text's tokens, in order.
+
+    Words side by side or joined by OR: any; AND: both; NOT or ``-``: none; ``+``: wanted beside
+    others; quotes: tokens in this order; brackets. Words are tokenized as the texts are, and
+    one that leaves no token is left out.
+    """
+    from ..functions import text as T
+
+    parts, at = [], 0
+    while at < len(text.rstrip()):
+        m = _QUERY.match(text, at)
+        if not m:
+            raise ValueError(f"query {text!r}: unexpected {text[at:].strip()[:20]!r}")
+        parts.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    at = 0
+
+    def peek(*values: str) -> bool:
+        return at < len(parts) and parts[at][0] != "phrase" and parts[at][1] in values
+
+    def run_of(words: str) -> Column:
+        found = T.tokenize(F.lit(words))
+        joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+        return F.when(F.size(found) > 0, F.contains(joined(terms), joined(found)))
+
+    def atom() -> Column:
+        nonlocal at
+        if at >= len(parts):
+            raise ValueError(f"query {text!r}: a word is missing")
+        kind, value = parts[at]
+        at += 1
+        if (kind, value) == ("op", "("):
+            out = either()
+            if not peek(")"):
+                raise ValueError(f"query {text!r}: a bracket isn't closed")
+            at += 1
+            return out
+        if kind == "op":
+            raise ValueError(f"query {text!r}: unexpected {value!r}")
+        return run_of(value)
+
+    def both() -> Column:
+        nonlocal at
+        out = unary()
+        while peek("AND"):
+            at += 1
+            out = _all(out, unary())
+        return out
+
+    def unary() -> Column:
+        nonlocal at
+        if peek("NOT"):
+            at += 1
+            return ~unary()
+        return atom()
+
+    def either() -> Column:
+        nonlocal at
+        some, needed, barred = [], [], []
+        while at < len(parts) and not peek(")"):
+            if peek("OR"):
+                at += 1
+            elif peek("+", "-"):
+                into = needed if parts[at][1] == "+" else barred
+                at += 1
+                into.append(atom())
+            else:
+                some.append(both())
+        out = F.lit(None).cast("boolean")
+        for c in some if not needed else ():
+            out = F.coalesce(out | c, out, c)
+        for c in needed:
+            out = _all(out, c)
+        for c in barred:
+            out = _all(out, ~c)
+        return out
+
+    out = either()
+    if at < len(parts):
+        raise ValueError(f"query {text!r}: a bracket is closed that none opened")
+    return F.coalesce(out, F.lit(False))
+
+
+def _all(a: Column, b: Column) -> Column:
+    """Both; a part without tokens (null) asks for nothing."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a & b)

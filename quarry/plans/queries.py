@@ -697,3 +697,24 @@ def index_run(spark: SparkSession, d: str) -> DataFrame:
     points = run.points.groupBy(project).agg(F.count("*").alias("points"))
     files = run.snapshot.withColumnRenamed("path", "source_file").groupBy(project).agg(F.count("*").alias("files"))
     return files.join(handled, "project", "left").join(points, "project", "left").select("project", "files", F.coalesce("handled", F.lit(0)).alias("handled"), "points")
+
+
+_ORDERED = f"o AS (SELECT doc_id, ' ' || array_to_string(list_filter(flatten(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+'), lambda w: list_transform(string_split(regexp_replace(w, '(\\P{{Lu}})(\\p{{Lu}})', '\\1 \\2', 'g'), ' '), lambda x: lower(x)))), lambda t: octet_length(encode(t)) >= 2 AND t NOT IN ({_STOP})), ' ') || ' ' AS t FROM documents)"
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id FROM o WHERE (contains(t, ' und der ') OR contains(t, ' que ')) AND NOT contains(t, ' die ')")
+def text_boolean(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase or a word, and not another."""
+    return _t(spark, d, "documents").where(filters.text_query('("und der" OR que) AND NOT die', T.tokenize(F.col("text")))).select("doc_id")
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id FROM o WHERE contains(t, ' und ') AND contains(t, ' der ') AND NOT contains(t, ' ge ')")
+def text_wanted(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where(filters.text_query("+und +der -ge die", T.tokenize(F.col("text")))).select("doc_id")
+
+
+@query("SELECT page_id, left('key-' || page_id || '-secret', 8) AS key_id FROM pages WHERE page_id % 3 = 0")
+def admitted_keys(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "pages").withColumn("key", F.concat(F.lit("key-"), F.col("page_id").cast("string"), F.lit("-secret")))
+    asked = p.select("page_id", F.concat(F.when(F.col("page_id") % 6 == 1, "Basic ").otherwise("Bearer "), F.col("key")).alias("authorization"))
+    return catalog.admitted(asked, p.where("page_id % 3 = 0").select(F.concat(F.lit(" "), F.col("key")).alias("key"))).select("page_id", "key_id")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -75,3 +77,76 @@ def _hashing(dim: int = 64) -> Embedder:
 
 
 register("hashing", _hashing)
+
+
+@dataclass(frozen=True)
+class Service:
+    """How an embedding service is asked: its path, the field that holds the texts, fixed fields, and texts a call."""
+
+    path: str
+    texts: str = "input"
+    fixed: tuple[tuple[str, str], ...] = ()
+    most: int = 256
+    dim_field: str | None = None  # the field that asks for a dimension
+
+
+#: Paths, fields and limits of the public services' interfaces.
+SERVICES = {
+    "llama": Service("/v1/embeddings"),
+    "openai": Service("/v1/embeddings", dim_field="dimensions"),
+    "openrouter": Service("/v1/embeddings", dim_field="dimensions"),
+    "ollama": Service("/v1/embeddings", dim_field="dimensions"),
+    "cohere": Service("/v1/embed", "texts", (("input_type", "search_document"),), 96),
+    "voyage": Service("/v1/embeddings", "input", (("input_type", "document"),), 128),
+}
+
+
+def _over_http(service: Service, endpoint: str, model: str, api_key: str = "", dim: int = 0, timeout: float = 60, tries: int = 3, wait: float = 0.5) -> Embedder:
+    """An embedder that asks a service; calls that fail for a passing reason (429, 5xx, no connection) are tried again."""
+    import json
+    import time
+    import urllib.error
+    import urllib.request
+
+    def ask(texts: list[str]) -> dict:
+        body = {"model": model, service.texts: texts, **dict(service.fixed)}
+        if dim and service.dim_field:
+            body[service.dim_field] = dim
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+        for left in range(tries - 1, -1, -1):
+            try:
+                request = urllib.request.Request(endpoint.rstrip("/") + service.path, json.dumps(body).encode(), headers)
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    return json.load(answer)
+            except urllib.error.HTTPError as e:
+                if not left or (e.code != 429 and e.code < 500):
+                    raise RuntimeError(f"embedding service answered {e.code}: {e.read(200).decode(errors='replace')}") from None
+            except urllib.error.URLError:
+                if not left:
+                    raise
+            time.sleep(wait * 2 ** (tries - 1 - left))
+        raise AssertionError
+
+    def run(texts: list[str]) -> np.ndarray:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), service.most):
+            some = texts[at : at + service.most]
+            answer = ask(some)
+            rows = answer["embeddings"] if "embeddings" in answer else [d["embedding"] for d in sorted(answer["data"], key=lambda d: d.get("index", 0))]
+            if len(rows) != len(some):
+                raise ValueError(f"{len(rows)} vectors for {len(some)} texts")
+            if dim and rows and len(rows[0]) != dim:
+                raise ValueError(f"vectors of length {len(rows[0])}, not {dim}")
+            out += rows
+        return np.array(out, np.float32)
+
+    return run
+
+
+for _name, _service in SERVICES.items():
+    register(_name, partial(_over_http, _service))
+
+
+def discovered(names: list[str]) -> list[str]:
+    """Of a service's model names those that seem to be embedding models, once each, in order."""
+    return list(dict.fromkeys(n for n in names if any(x in n.lower() for x in ("embed", "voyage", "bge"))))

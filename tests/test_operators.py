@@ -8,7 +8,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.operators import catalog, chunk, collection, dense, evaluate, fusion, manifest, render, sparse
+from quarry.functions import ids
+from quarry.operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, render, sparse
 from quarry.sources import embed, files
 from quarry.streaming import watch
 
@@ -149,7 +150,7 @@ def test_dense(spark):
 
 
 def test_index_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     best = {(r.query_id, r.vec_id) for r in dense.search(v, q).collect()}
     index = dense.Ivf(v)
@@ -222,3 +223,139 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     seen = []
     watch.into_batches(stream, lambda df, _: seen.append(df.count()), str(tmp_path / "ck2")).awaitTermination()
     assert sum(seen) == events.count()
+
+
+@pytest.mark.parametrize("text", ["java_method('java.lang.System', 'exit')", "a = upper(b)", "a =", "a = 1 b", "(a = 1", "a in ()", "a like", "a = b", "not", "a between 1", "a ; b", "reflect('x','y') = 1", "a is 3"])
+def test_store_filter_takes_no_functions(spark, text):
+    with pytest.raises(ValueError, match="filter"):
+        filters.store_filter(text)
+
+
+def test_store_filter_rows(spark):
+    df = spark.createDataFrame([(1, "x && y", None), (2, 'say "hi"', True), (3, "z", False)], "a int, b string, c boolean")
+    ask = lambda text: sorted(r.a for r in df.where(filters.store_filter(text)).collect())
+    assert ask('b = "x && y"') == [1] and ask(r'b = "say \"hi\""') == [2] and ask("c is null || c == true") == [1, 2]
+    assert ask("a > 1 and not b like 'z%'") == [2] and ask("a between 2 and 3 and a not in (3)") == [2] and ask("!(a = -1) and a != 2") == [1, 3]
+
+
+def test_text_query(spark):
+    df = spark.createDataFrame([(1, "red green blue"), (2, "green red"), (3, "blue sky"), (4, None)], "i int, t string").withColumn("w", F.split("t", " "))
+    ask = lambda text: sorted(r.i for r in df.where(filters.text_query(text, F.col("w"))).collect())
+    assert ask("red sky") == [1, 2, 3] and ask('"red green"') == [1] and ask("red AND NOT blue") == [2] and ask("(sky OR red) AND green") == [1, 2]
+    assert ask("+green -blue sky") == [2] and ask("the AND red") == [1, 2] and ask("the") == [] and ask("") == []
+    for bad in ("(red", "red)", "red AND", "+"):
+        with pytest.raises(ValueError, match="query"):
+            filters.text_query(bad, F.col("w"))
+
+
+def test_walk_reads_invalid_bytes(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x = 1 # \xff\n")
+    (tmp_path / "b.py").write_bytes("é = 2\n".encode())
+    got = {r.path: r.content for r in files.walk(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": "x = 1 # \ufffd\n", "b.py": "é = 2\n"}
+
+
+def test_search_on_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], None), (2, [0.0, 1.0], 7), (3, [1.0], 7), (4, None, 7), (5, [], 7), (6, [1.0, 1.0], None)], "vec_id long, embedding array<double>, label int")
+    q = v.where("vec_id in (1, 3)").withColumnRenamed("vec_id", "query_id")
+    assert sorted((r.query_id, r.vec_id) for r in dense.search(v, q).collect()) == [(1, 1), (1, 2), (1, 6), (3, 3)]
+    assert sorted((r.query_id, r.vec_id) for r in dense.search(v, q, same=("label",)).collect()) == [(3, 3)]
+    got = sorted((r.query_id, r.label or 0, r.vec_id) for r in dense.search(v, q, k=1, group_col="label").collect())
+    assert got == [(1, 0, 1), (1, 7, 2), (3, 7, 3)]
+    assert dense.Ivf(v.limit(0)).search(q.limit(0)).collect() == []
+
+
+def test_fnv(spark):
+    def plain(x, h, prime, mask):
+        for b in x.encode():
+            h = (h ^ b) * prime & mask
+        return h
+
+    texts = ["", "a", "naïve", "x" * 300, None, "日本"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ids.fnv64(F.col("t")).alias("a"), ids.fnv32_mod(F.col("t"), 65536).alias("b")).collect()
+    for r in rows:
+        assert (r.a, r.b) == ((None, None) if r.t is None else (f"{plain(r.t, 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1):016x}", plain(r.t, 2166136261, 16777619, (1 << 32) - 1) % 65536))
+
+
+def test_upsert_of_repeated_keys(spark):
+    points = spark.createDataFrame([(1, "old"), (9, "stays")], "id int, v string")
+    fresh = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id int, v string, seq int")
+    assert sorted(map(tuple, collection.upsert(points, fresh, seq="seq").collect())) == [(1, "b"), (2, "c"), (9, "stays")]
+    assert collection.upsert(points, fresh.drop("seq")).count() == 3
+
+
+def test_model_writes(spark):
+    models = spark.createDataFrame([(1, "one", 64), (2, "two", 32)], "id long, name string, dim int")
+    settings = spark.createDataFrame([("active_model_id", "1"), ("other", "x")], "key string, value string")
+    assert sorted(r.id for r in catalog.insert_model(models, {"name": "three", "dim": 8}).collect()) == [1, 2, 3]
+    assert {r.id: r.dim for r in catalog.update_model(models, {"id": 2, "dim": 99}).collect()} == {1: 64, 2: 99}
+    moved = catalog.set_active(models, settings, 2)
+    assert sorted(map(tuple, moved.collect())) == [("active_model_id", "2"), ("other", "x")]
+    assert [r.id for r in catalog.delete_model(models, settings, 2).collect()] == [1]
+    with pytest.raises(ValueError, match="active"):
+        catalog.delete_model(models, moved, 2)
+    for act in (lambda: catalog.update_model(models, {"id": 7}), lambda: catalog.set_active(models, settings, 7), lambda: catalog.delete_model(models, settings, 7)):
+        with pytest.raises(KeyError):
+            act()
+
+
+def test_index_runs(spark):
+    rows = lambda *x: spark.createDataFrame([(p, c, f"sha{c}") for p, c in x], "path string, content string, sha256 string")
+    project = F.lit("p")
+    first = index.full(rows(("a.py", "1\n" * 61), ("b.py", "2"), ("c.py", " ")), project)
+    assert sorted((r.source_file, r.start_line, r.end_line) for r in first.points.collect()) == [("a.py", 1, 60), ("a.py", 61, 62), ("b.py", 1, 1)]
+    second = index.delta(rows(("a.py", "new"), ("c.py", " "), ("d.py", "4")), first.snapshot, first.points, project)
+    assert sorted((r.source_file, r.content) for r in second.points.collect()) == [("a.py", "new"), ("d.py", "4")]
+    assert sorted(r.path for r in second.handled.collect()) == ["a.py", "d.py"] and [r.path for r in second.removed.collect()] == ["b.py"]
+    assert sorted(r.path for r in second.snapshot.collect()) == ["a.py", "c.py", "d.py"]
+
+
+@pytest.fixture
+def service():
+    """A local embedding service: vectors of a text's length, out of order, with one passing failure."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append((self.path, body, self.headers.get("Authorization")))
+            if len(calls) == 1 or body["model"] == "bad":
+                self.send_response(503 if len(calls) == 1 else 400)
+                self.end_headers()
+                return
+            texts = body.get("texts") or body["input"]
+            vectors = [[float(len(t)), 1.0] for t in texts]
+            out = {"embeddings": vectors} if "texts" in body else {"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", calls
+    server.shutdown()
+
+
+@pytest.mark.parametrize("name", ["llama", "openai", "cohere", "voyage"])
+def test_embedding_services(service, name):
+    where, calls = service
+    texts = ["x" * k for k in range(200)]
+    got = embed.embedder(name, endpoint=where + "/", model="m", api_key="k", wait=0.01)(texts)
+    assert got[:, 0].tolist() == list(range(200))
+    assert calls[0][2] == "Bearer k" and max(len(c[1].get("texts") or c[1]["input"]) for c in calls) <= embed.SERVICES[name].most
+    with pytest.raises(RuntimeError, match="400"):
+        embed.embedder(name, endpoint=where, model="bad")(["x"])
+    with pytest.raises(ValueError, match="length 2"):
+        embed.embedder(name, endpoint=where, model="m", dim=3)(["x"])
+
+
+def test_unknown_embedder():
+    with pytest.raises(ValueError, match="cohere"):
+        embed.embedder("nothing")
+    assert embed.discovered(["gpt", "text-embed-1", "BGE-m3", "text-embed-1"]) == ["text-embed-1", "BGE-m3"]
