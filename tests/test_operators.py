@@ -149,7 +149,7 @@ def test_dense(spark):
     assert all(g.vec_id % 3 == g.query_id % 3 for g in dense.search(v, q, k=7, same=("label",)).collect())
 
 
-def test_index_recall(spark):
+def test_index_recall(spark, sf):
     v = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     best = {(r.query_id, r.vec_id) for r in dense.search(v, q).collect()}
