@@ -81,6 +81,71 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_html_extraction, op4_substring, op5_token_output, op6_lm_score, op7_quality, op8_bpe, op9_embedding_dedup, op10_packing)}
-
-ORACLES: dict[str, str] = {}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import config_lp
+
+    return config_lp.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ALL = (
+    op1_toxicity, op2_simhash, op3_html_extraction, op4_substring, op5_token_output, op6_lm_score, op7_quality, op8_bpe,
+    op9_embedding_dedup, op10_packing, op11_best_fit_packing, op12_whitening, op13_prefix_trie,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
+
+#: The trie in SQL: crc32 by a table made from its polynomial, prefixes as digests of the turns so far.
+TRIE_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), lens AS (
+  SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h
+  FROM lens, crc
+), convs AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS taken, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS len
+  FROM hashed c LEFT JOIN lens b ON b.conv_id = c.base
+), turns AS (
+  SELECT c.conv_id, o.pos AS depth, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.taken
+  UNION ALL
+  SELECT c.conv_id, c.taken + o.pos - c.h, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS depth, '' AS path, '' AS above, 0::BIGINT AS bytes FROM convs
+  UNION ALL
+  SELECT s.conv_id, t.depth, sha256(s.path || ':' || strlen(t.role) || ':' || t.role || t.text), s.path, strlen(t.text)
+  FROM steps s JOIN turns t ON t.conv_id = s.conv_id AND t.depth = s.depth + 1
+), nodes AS (
+  SELECT depth, path, any_value(above) AS above, min(s.conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    coalesce(string_agg(CASE WHEN len = depth THEN s.conv_id::VARCHAR END, ',' ORDER BY s.conv_id), '') AS ends
+  FROM steps s JOIN convs c ON c.conv_id = s.conv_id GROUP BY depth, path
+), kids AS (
+  SELECT depth - 1 AS depth, above AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), pairs AS (
+  SELECT DISTINCT a.depth, a.path, b.depth AS d, b.path AS p FROM steps a JOIN steps b ON b.conv_id = a.conv_id AND b.depth >= a.depth
+), sums AS (
+  SELECT q.depth, q.path, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.bytes)::BIGINT AS saved_tokens
+  FROM pairs q JOIN nodes x ON x.depth = q.d AND x.path = q.p LEFT JOIN kids k ON k.depth = q.d AND k.path = q.p GROUP BY ALL
+)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.depth = x.depth - 1 AND y.path = x.above LEFT JOIN kids k ON k.depth = x.depth AND k.path = x.path
+JOIN sums s ON s.depth = x.depth AND s.path = x.path
+"""
+
+ORACLES: dict[str, str] = {"op13_prefix_trie": TRIE_SQL}
