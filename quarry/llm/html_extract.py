@@ -2,7 +2,9 @@
 
 A page is read once as a row of text blocks; tags only end blocks and open or
 close containers. Each block has its words and link density, those of the blocks
-before and after it, and what its containers say (article, boilerplate, heading).
+before and after it, its number of links and their mean length, whether it reads as an
+imprint, and what its containers say (article, boilerplate, heading). Signs that stand alone
+between links (``|``, ``·``) are no words of a block.
 A decision tree (CART, Gini), trained on the labelled pages below, keeps or drops
 it: pages without an ``article`` are told by words, links and neighbours alone.
 
@@ -39,6 +41,9 @@ _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(?<![a-z-])([a-z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _QUOTED, _HIDDEN = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
 _LONG_NUMBER = re.compile(r"&#(\d{8}|[xX][0-9a-fA-F]{8})[0-9a-fA-F]+;?")
+_SIGNS = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
+#: Beginnings of lines of imprint; within an article they may be quoted.
+_IMPRINT = re.compile(r"©|\(c\)|copyright\b", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements whose content is no markup.
 _RAW = frozenset("script style textarea title iframe noframes xmp".split())
@@ -90,6 +95,7 @@ class Block:
     article: int
     heading: int
     layout: int = 0  # the innermost layout container, 0 is none
+    links: int = 0
 
 
 @dataclass
@@ -148,7 +154,7 @@ class _Page:
         self.page, self.out, self.stack = page, [], _Stack()
         self.parts: list[str] = []
         self.links: list[str] = []
-        self.in_link = self.heading = 0
+        self.in_link = self.heading = self.n_links = 0
         self.parents, self.words = [0], [0]  # of layout containers, by number
         self.quoted = True  # quotes hide ``>``
         self.last = {c: page.rfind(c) for c in ">\"'"}
@@ -161,12 +167,14 @@ class _Page:
             if text:
                 e = self.stack.items[-1]
                 words = text.count(" ") + 1
+                if self.n_links > 1:
+                    words = max(1, words - len(_SIGNS.findall(text)))
                 linked = min(words, len(_decoded(" ".join(self.links)).split()))
-                self.out.append(Block(text, words, linked, e.dropped, e.article, self.heading, e.layout))
+                self.out.append(Block(text, words, linked, e.dropped, e.article, self.heading, e.layout, self.n_links))
                 self.words[e.layout] += 0 if e.dropped else words - linked
             self.parts.clear()
             self.links.clear()
-        self.in_link = 0
+        self.in_link = self.n_links = 0
 
     def text(self, a: int, b: int) -> None:
         if b > a:
@@ -240,6 +248,7 @@ class _Page:
     def opening(self, tag: str, inside: str) -> None:
         if tag == "a":
             self.in_link = 1
+            self.n_links += 1
             return
         if tag == "br":
             self.parts.append(" ")
@@ -304,10 +313,15 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
-    """For each block: words, link density, both of the blocks before and after, boilerplate, article, heading."""
+    """For each block: words, link density, both of the blocks before and after, boilerplate, article, heading, links, words a link, imprint."""
     flat = [(float(b.words), b.linked / b.words) for b in found]
     none = (0.0, 0.0)
-    return [(*own, *(flat[i - 1] if i else none), *(flat[i + 1] if i + 1 < len(flat) else none), float(b.boiler), float(b.article), float(b.heading)) for i, (own, b) in enumerate(zip(flat, found, strict=True))]
+    out = []
+    for i, b in enumerate(found):
+        before, after = flat[i - 1] if i else none, flat[i + 1] if i + 1 < len(flat) else none
+        imprint = not b.article and b.words <= 40 and _IMPRINT.match(b.text) is not None
+        out.append((*flat[i], *before, *after, float(b.boiler), float(b.article), float(b.heading), float(b.links), b.linked / b.links if b.links else 0.0, float(imprint)))
+    return out
 
 
 def labelled_pages() -> list[str]:
@@ -326,6 +340,9 @@ def labelled_pages() -> list[str]:
     def title(n: int) -> str:
         return f"<h1>{text('m', n)}</h1>"
 
+    def bar(n: int, tag: str, sign: str, words: int = 1) -> str:
+        return f"<{tag}>" + sign.join(f"<a>{text('x', 1 + (k + words) % 3)}</a>" for k in range(n)) + f"</{tag}>"
+
     pages = []
     sizes = (1, 2, 4, 8, 15, 30, 60, 150)
     for i, a in enumerate(sizes):
@@ -347,6 +364,20 @@ def labelled_pages() -> list[str]:
             # the same with labels between menus, a line of imprint after links, and prose that is rich in links
             imprint = f"<div>{text('x', 2 + i)}</div>"
             pages.append(f"<div>{text('x', 1 + j % 3)}</div>{around}<div>{text('x', 1 + i % 4)}</div>{menu(2, i)}<div>{prose}{p(35 + a, (35 + a) * (1 + j % 3) // 8)}</div>{menu(2 + k, j)}{imprint}")
+            # flat bars of links, with and without signs between, around and within content; rights at the end
+            n = (2, 3, 4, 6, 8, 15, 25, 40)
+            top, low = bar(n[i], ("div", "p")[j % 2], (" ", " | ", " &middot; ", "")[k], j), bar(n[j], ("p", "div")[i % 2], ("", " / ", " ", " | ")[k], i)
+            rights = f"<div>&copy; {text('x', 1 + i)}</div>" if j % 2 else f"<p>Copyright {text('x', 2 + j)}</p>"
+            brief = "".join(p(1 + (a + b + s) % 9) for s in range(1 + (i + k) % 5))
+            pages.append(f"{top}<article>{body}</article>{low}{rights if k else ''}")
+            pages.append(f"{top}<article>{title(3 + a // 10)}{p(b)}{low}{p(a)}</article>{bar(n[-1 - i], 'div', ' ')}")
+            pages.append(f"{top}<div>{prose}</div>{low if k < 3 else ''}{rights if k != 1 else ''}")
+            uneven = "".join(p((9 + (a + s) % 25, 1 + (b + s) % 5)[s % 3 > 0]) for s in range(2 + (i + j) % 6))
+            one = p(10 + (17 * i + 29 * j) % 100)
+            pages += [f"{bars}{'<div>' if j % 2 else ''}{one}{'</div>' if j % 2 else ''}{end}" for bars in (top, low, top + low, menu(1 + j, i)) for end in ("", rights, bar(n[k + 2], "div", " "))]
+            pages.append(f"{top}<div>{brief}</div>{low}{rights if k == 2 else ''}")
+            pages.append(f"{top}<div>{uneven}</div>{low if k else ''}{rights if k % 2 else ''}")
+            pages.append(f"{top}{low}<div>{title(2 + j % 4) if k else ''}{p(a)}</div>{low if k % 2 else ''}{rights if i % 2 else ''}")
             # short pages: a block or two that no link is near; lists of links alone
             pages.append(p(a) if j % 2 else f"{text('m', a)}")
             pages.append(title(1 + i) + p(b) if i % 2 else p(a) + p(b))

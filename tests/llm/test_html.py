@@ -144,3 +144,82 @@ def test_columns_and_empty_table(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.text, r.n_chars) for r in out.collect()) == [("", 0), ("x", 1), ("x", 1)]
     assert h.extract(df.limit(0)).collect() == []
+
+
+WORDS = "river stone light carry under north window paper train seven quiet market letter summer engine".split()
+
+
+def link_bar(r, n, style):
+    say = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(1, 3)))
+    sign = r.choice([" ", "\n", " | ", " · ", " &raquo; ", " / "])
+    links = sign.join(f'<a href="/{i}">{say()}</a>' for i in range(n))
+    return (f"<div>{links}</div>", f"<p>{links}</p>", f"<div><div>{links}</div></div>", f"<p class='x'>{links}</p>")[style]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 8, 15, 40])
+@pytest.mark.parametrize("style", [0, 1, 2])
+def test_flat_link_bars_are_no_text(n, style):
+    r = random.Random(n)
+    bar = link_bar(r, n, style)
+    for page in (f"{bar}{ARTICLE}", f"{ARTICLE}{bar}", f"{bar}<main><p>{PROSE}</p></main>{bar}", f"{bar}<p>{PROSE}</p>{bar}", f"{bar}<div><p>{PROSE}</p><p>{PROSE}</p></div>{bar}"):
+        assert h.main_text(page) == (PROSE + " " + PROSE if page.count(PROSE) == 2 else PROSE)
+    if n > 3:
+        assert h.main_text(f"<article><p>{PROSE}</p>{bar}<p>{PROSE}</p></article>") == PROSE + " " + PROSE
+    assert h.main_text(f"{bar}<p>{PROSE}</p><div>Copyright 2020 Example Corp. All rights reserved.</div>") == PROSE
+    assert h.main_text(f"<p>{PROSE}</p><div>Copyright 2020 Example Corp. All rights reserved.</div>") == PROSE
+
+
+def random_page(r, kind):
+    """A page and its main text; shares nothing with the labelled pages of the library."""
+    say = lambda lo, hi: " ".join(r.choice(WORDS) for _ in range(r.randint(lo, hi)))
+    inner, want = [], []
+
+    def put(tag, text, shown=None):
+        inner.append(f"<{tag}>{shown or text}</{tag}>")
+        want.append(text)
+
+    if kind == "short":
+        for _ in range(r.randint(2, 9)):
+            put("p", say(3, 12))
+    elif kind == "terms":
+        for _ in range(r.randint(2, 6)):
+            put("dt", say(1, 3))
+            put("dd", say(6, 30))
+    elif kind == "table":
+        put("p", say(10, 30))
+        inner.append("<table>")
+        for _ in range(r.randint(2, 5)):
+            inner.append("<tr>")
+            put("td", say(1, 4))
+            put("td", say(2, 9))
+            inner.append("</tr>")
+        inner.append("</table>")
+        put("p", say(10, 30))
+    elif kind == "questions":
+        for _ in range(r.randint(2, 5)):
+            put("h3", say(4, 8) + "?")
+            put("p", say(8, 40))
+    elif kind == "links":
+        for _ in range(r.randint(2, 5)):
+            plain, marked = [], []
+            for _ in range(r.randint(2, 5)):
+                x, y = say(4, 12), say(1, 3)
+                plain += [x, y]
+                marked += [x, f'<a href="/q">{y}</a>']
+            z = say(3, 9)
+            put("p", " ".join([*plain, z]), " ".join([*marked, z]))
+    else:
+        put("p", say(20, 90))
+    body = "".join(inner)
+    bar = lambda: link_bar(r, r.randint(2, 40), r.randrange(4))
+    imprint = r.choice(["", f"<div>Copyright {r.randint(1999, 2024)} {say(1, 3)}. All rights reserved.</div>", f"<p>&copy; 2020 {say(1, 3)}</p>"])
+    page = r.choice([f"{bar()}<article>{body}</article>{bar()}{imprint}", f"{bar()}<main>{body}</main>{imprint}", f"{bar()}<div>{body}</div>{bar()}{imprint}", f"{bar()}{bar()}<div><div>{body}</div></div>{imprint}"])
+    return f"<body>{page}</body>", " ".join(want)
+
+
+def test_random_pages_with_link_bars():
+    r, kinds, wrong = random.Random(12), ("short", "terms", "table", "questions", "links", "one"), 0
+    for i in range(1800):
+        page, want = random_page(r, kinds[i % 6])
+        wrong += h.main_text(page) != want
+    assert wrong <= 3
