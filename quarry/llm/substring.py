@@ -90,13 +90,8 @@ def runs(grams: Grams, bounds: np.ndarray, length: int, anchor: int) -> tuple[np
     return doc[starts], starts - bounds[doc[starts]], windows, gram[where[starts]], grams(starts, starts + windows + length - 1)
 
 
-def _packed(start: np.ndarray, windows: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    return start << 20 | mark << 4 | (windows - 1)
-
-
-def _mark(text: bytes) -> int:
-    """16 bits of the text's hash: tells apart different texts of one id."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "big")
+def _packed(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return start << 4 | (windows - 1)
 
 
 def _batch(texts: list[bytes], hasher: WordHash) -> tuple[Grams, np.ndarray]:
@@ -141,15 +136,14 @@ def frequent_anchors(texts: DataFrame, length: int, anchor: int, id_col: str, te
 
 
 def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at long): stretches of windows that also start in a document of smaller id, packed as in ``_packed``."""
+    """(doc, mark, at): stretches of windows that also start in a document of smaller id, packed as in ``_packed``; ``mark`` is the text's hash."""
     if not 0 < anchor < length <= anchor + 16:
         raise ValueError("a run holds at most 16 windows")
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for batch in slices(batches, 4000):
-            texts, ids = utf8(batch.column(1)), batch.column(0).to_numpy()
-            marks = np.array([_mark(t) for t in texts], np.int64)
+            texts, ids, marks = utf8(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy()
             doc, start, windows, key, span = runs(*_batch(texts, hasher), length, anchor)
             if not len(doc):
                 continue
@@ -159,59 +153,63 @@ def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "d
             key = np.where(often, mix(key * _BASE + span), key)
             key = np.where(done, mix(own.view(np.uint64) * _BASE + start.astype(np.uint64)), key)  # these no longer need to meet
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(own), pa.array(_packed(start, windows, marks[doc])), pa.array(np.where(done, 1, np.where(often, 2, 0)).astype(np.int8))],
-                ["anchor", "span", "doc", "at", "flag"],
+                [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(own), pa.array(marks[doc]), pa.array(_packed(start, windows)), pa.array(np.where(done, 1, np.where(often, 2, 0)).astype(np.int8))],
+                ["anchor", "span", "doc", "mark", "at", "flag"],
             )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for batch in slices(batches, 4000):
-            texts, ids = utf8(batch.column(1)), batch.column(0).to_numpy()
-            grams, bounds = _batch(texts, hasher)
+            ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            grams, bounds = _batch(utf8(batch.column(1)), hasher)
             rows = []
-            for k, (text, packed) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
+            for k, packed in enumerate(batch.column(3).to_pylist()):
                 p = np.array(packed, np.int64)
-                p = p[(p >> 4 & 0xFFFF) == _mark(text)]
                 n = (p & 15) + 1
-                first = np.repeat(p >> 20, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows.append((np.full(len(first), k), first, np.repeat(p & ~np.int64(15), n) & 0xFFFF0))
-            doc, start, mark = (np.concatenate(x) for x in zip(*rows, strict=True))
+                first = np.repeat(p >> 4, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows.append((np.full(len(first), k), first))
+            doc, start = (np.concatenate(x) for x in zip(*rows, strict=True))
             key = grams(start + bounds[doc], start + bounds[doc] + length)
             own = ids[doc]
             done = _least_first([key], own) < own
             key = np.where(done, mix(own.view(np.uint64) * _BASE + start.astype(np.uint64)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(start << 20 | mark), pa.array(done)], ["key", "doc", "at", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(marks[doc]), pa.array(start << 4), pa.array(done)], ["key", "doc", "mark", "at", "done"])
 
     texts = _texts(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(texts, length, anchor, id_col, text_col))
-    seeds = texts.mapInArrow(seed, "anchor long, span long, doc long, at long, flag byte")
+    seeds = texts.mapInArrow(seed, "anchor long, span long, doc long, mark long, at long, flag byte")
     by_anchor = Window.partitionBy("anchor").orderBy("span", "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     by_span = Window.partitionBy("anchor", "span").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = seeds.withColumns({"low": F.min("span").over(by_anchor), "high": F.max("span").over(by_anchor), "n": F.count("*").over(by_anchor)}).where("n > 1 or flag > 0")
     met = met.withColumn("first", F.min("doc").over(by_span))
-    met = met.select("doc", "at", ((F.col("flag") == 1) | (F.col("first") < F.col("doc"))).alias("repeat"), ((F.col("flag") == 2) | (F.col("low") != F.col("high"))).alias("open"))
+    met = met.select("doc", "mark", "at", ((F.col("flag") == 1) | (F.col("first") < F.col("doc"))).alias("repeat"), ((F.col("flag") == 2) | (F.col("low") != F.col("high"))).alias("open"))
     met = written(met.where("repeat or open"), "runs")
 
-    standing = met.where("not repeat").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    opened = texts.join(standing, texts[id_col] == standing["doc"]).select(id_col, text_col, "at")
-    parts = opened.mapInArrow(extend, "key long, doc long, at long, done boolean")
+    opened = _with(texts, met.where("not repeat"), id_col, "inner").select(id_col, text_col, "mark", "at")
+    parts = opened.mapInArrow(extend, "key long, doc long, mark long, at long, done boolean")
     by_key = Window.partitionBy("key").orderBy("doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = parts.withColumn("first", F.min("doc").over(by_key)).where("done or first < doc")
-    return met.where("repeat").select("doc", "at").union(parts.select("doc", "at"))
+    return met.where("repeat").select("doc", "mark", "at").union(parts.select("doc", "mark", "at"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col)).where(F.col(id_col).isNotNull())
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias(id_col), text.alias(text_col), F.xxhash64(text).alias("mark")).where(F.col(id_col).isNotNull())
+
 
+def _with(texts: DataFrame, stretches: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``texts`` (id, text's 64-bit mark, ...) with an array ``at`` of its stretches; a mark tells apart the texts of one id."""
+    at = stretches.groupBy("doc", F.col("mark").alias("of")).agg(F.collect_set("at").alias("at"))
+    return texts.join(at, (texts[id_col] == at["doc"]) & (texts["mark"] == at["of"]), how)
 
-def covered(n: int, packed: list[int] | None, mark: int, length: int) -> np.ndarray:
+
+def covered(n: int, packed: list[int] | None, length: int) -> np.ndarray:
     """Which of a document's ``n`` words lie in a repeated window."""
     edge = np.zeros(n + 1, np.int64)
     if packed:
         p = np.array(packed, np.int64)
-        p = p[(p >> 4 & 0xFFFF) == mark]
-        np.add.at(edge, p >> 20, 1)
-        np.add.at(edge, (p >> 20) + (p & 15) + length, -1)
+        np.add.at(edge, p >> 4, 1)
+        np.add.at(edge, (p >> 4) + (p & 15) + length, -1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -224,15 +222,13 @@ def remove_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: s
             rows = []
             for text, packed in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
-                gone = covered(len(words), packed, _mark(text), length) if packed else np.zeros(0, bool)
+                gone = covered(len(words), packed, length) if packed else np.zeros(0, bool)
                 left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if packed else words)
                 rows.append((len(words), int(gone.sum()), hashlib.sha256(left).hexdigest() if digest else left.decode()))
             counts, removed, texts = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], [id_col, "n_words", "n_removed", kept])
 
-    at = repeats(docs, length, anchor, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("at"))
-    texts = _texts(docs, id_col, text_col)
-    joined = texts.join(at, texts[id_col] == at["doc"], "left").select(id_col, text_col, "at")
+    joined = _with(_texts(docs, id_col, text_col), repeats(docs, length, anchor, id_col, text_col), id_col, "left").select(id_col, text_col, "at")
     unnamed = docs.where(docs[id_col].isNull()).select(F.lit(None).cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col), F.lit(None).cast("array<long>").alias("at"))
     return joined.union(unnamed).mapInArrow(cut, f"{id_col} long, n_words long, n_removed long, {kept} string")
 
@@ -242,9 +238,9 @@ def cut_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str
     from pyspark.sql.types import LongType, StringType, StructType
 
     docs = docs.drop("n_removed")
-    at = repeats(docs, length, anchor, id_col, text_col).groupBy("doc").agg(F.collect_set("at").alias("at"))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), F.struct("*").alias("row"))
-    joined = rows.join(at, rows["id"] == at["doc"], "left").select("text", "at", "row")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"), F.struct("*").alias("row"))
+    joined = _with(rows, repeats(docs, length, anchor, id_col, text_col), "id", "left").select("text", "at", "row")
     columns, place = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +248,7 @@ def cut_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str
             texts, counts = [], []
             for text, raw, packed in zip(batch.column(0).to_pylist(), utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = raw.split() if packed else []
-                gone = covered(len(words), packed, _mark(raw), length)
+                gone = covered(len(words), packed, length)
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode() if gone.any() else text)
                 counts.append(int(gone.sum()))
             cols = batch.column(2).flatten()

@@ -187,3 +187,16 @@ def test_frequent_anchors_change_no_result(spark, monkeypatch):
     assert sorted(substring.remove_repeats(df).collect()) == want and len(seen[0]) > 0
     monkeypatch.setattr(substring, "FREQUENT", 1)  # all of them
     assert sorted(substring.remove_repeats(df).collect()) == want
+
+
+def test_repeats_of_one_id_with_very_many_texts(spark):
+    """2,000 texts under one id, of which only some repeat a passage of a smaller id."""
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = words(40)
+    rows = [(1, " ".join(words(5) + passage))]
+    rows += [(2, " ".join(words(r.randint(0, 60)) + (passage[r.randint(0, 20) :] if i % 3 == 0 else words(100)) + words(2))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check_repeats(df)
+    got = sorted((r.doc_id, r.n_removed) for r in substring.cut_repeats(df).collect())
+    assert got == sorted((d, n) for d, _, n, _ in plain_repeats(rows))
