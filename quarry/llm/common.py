@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java regex of white space between words.
@@ -75,6 +75,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bounded_ids(docs: DataFrame, chosen: DataFrame, most_rows: int, id_col: str, most_copies: int = 100) -> DataFrame:
+    """Of ``chosen`` (a bounded table of ids) those, by hash, that name at most ``most_rows`` rows of ``docs``; ids of more than ``most_copies`` rows are left out."""
+    held = docs.select(id_col).join(F.broadcast(chosen.select(id_col)), id_col).groupBy(id_col).agg(F.count("*").alias("_n")).where(F.col("_n") <= most_copies)
+    so_far = F.sum("_n").over(Window.orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, 0))
+    return chosen.join(held.withColumn("_n", so_far).where(F.col("_n") <= most_rows).select(id_col), id_col)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of at most ``rows`` rows and about ``size`` bytes (one row at least)."""
     for batch in batches:

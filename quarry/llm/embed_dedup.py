@@ -229,7 +229,9 @@ def near_duplicates(
     """A row for each vector: id, n_links, component_id (least id reachable), kept (it is that one)."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("long").alias("label"), vectors[vector_col].cast("array<double>").alias("vector"))
+    whole = vectors.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long", "boolean")
+    label = F.when(vectors[label_col].isNotNull(), vectors[label_col].cast("long") if whole else F.xxhash64(vectors[label_col]))  # labels of other types by their hash
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), label.alias("label"), vectors[vector_col].cast("array<double>").alias("vector"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     rows = rows.withColumns({"node": F.when(F.col("sound"), F.xxhash64("label", "vector")), "check": F.when(F.col("sound"), F.xxhash64(F.lit("check"), "vector", "label"))})
@@ -239,6 +241,7 @@ def near_duplicates(
     counts = met.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(met.where("b is not null"))
     known = classes.select("node", "check", "copies", "least").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = written(known, "classes")  # read from files, a root of very many classes can be split in the join
     group = known.groupBy("root").agg(F.min("least").alias("component"))
     known = known.join(group, "root").select("node", "check", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component")
     out = rows.select("id", "node", "check").join(known, ["node", "check"], "left")

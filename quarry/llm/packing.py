@@ -8,9 +8,11 @@ ceil(total / capacity). Nearly full windows stand, the tails of the others are d
 again; where no window is nearly full, K rises whenever one is over capacity, until
 all fit. So only documents longer than a window are ever cut.
 
-On the test tables this pads about 1 of 100 places. Where documents may be cut anywhere
-(``cut=True``, not the default) what lies over capacity moves to windows with room
-instead, and all windows of a group but one end exactly full.
+On the test tables this pads about 1 of 100 places. Lengths of which no few fill a window
+(all a little over half of it) would pad nearly half: with ``most_padding`` K rises by that
+part at most, and what is over capacity even then is cut and moves to windows with room. Where
+documents may be cut anywhere (``cut=True``) K doesn't rise at all, and all windows of a group
+but one end exactly full.
 
 Null, empty: one end id alone. Repeated rows and ids: each row is packed. Very
 long texts: cut at window boundaries. An empty table gives no rows. Groups are
@@ -87,7 +89,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return groups + [[] for _ in range(k - len(groups))]
 
 
-def pack_group(sizes: list[int], capacity: int, cut: bool = True) -> list[list[Piece]]:
+def pack_group(sizes: list[int], capacity: int, cut: bool = True, most_padding: float | None = None) -> list[list[Piece]]:
     """Windows, as lists of pieces, of documents with these token counts."""
     windows: list[list[Piece]] = []
     tails: list[Piece] = []
@@ -101,11 +103,11 @@ def pack_group(sizes: list[int], capacity: int, cut: bool = True) -> list[list[P
     if cut:
         lengths = [t[2] for t in tails]
         return windows + _level([[tails[i] for i in g] for g in difference(lengths, -(-sum(lengths) // capacity))], capacity)
-    return windows + _settled(tails, capacity)
+    return windows + _settled(tails, capacity, most_padding)
 
 
-def _settled(tails: list[Piece], capacity: int) -> list[list[Piece]]:
-    """Windows of uncut tails. Nearly full ones stand, the others' tails are dealt again; where none is, the window count rises until all fit."""
+def _settled(tails: list[Piece], capacity: int, most_padding: float | None) -> list[list[Piece]]:
+    """Windows of uncut tails. Nearly full ones stand, the others' tails are dealt again; where none is, the window count rises until all fit, or by ``most_padding``."""
     done: list[list[Piece]] = []
     while tails:
         lengths = [t[2] for t in tails]
@@ -114,16 +116,44 @@ def _settled(tails: list[Piece], capacity: int) -> list[list[Piece]]:
         loads = [sum(lengths[i] for i in g) for g in groups]
         full = [capacity - capacity // NEARLY <= x <= capacity for x in loads]
         if not any(full):
-            while max(loads) > capacity:
-                k += max(1, (max(loads) - capacity) * k // (2 * capacity))
+            most = len(lengths) if most_padding is None else max(k + 1, int(k * (1 + most_padding)))
+            while max(loads) > capacity and k < most:
+                k = min(most, k + max(1, (max(loads) - capacity) * k // (2 * capacity)))
                 groups = difference(lengths, k)
                 loads = [sum(lengths[i] for i in g) for g in groups]
+            if max(loads) > capacity:
+                return done + _shed([[tails[i] for i in g] for g in groups], capacity)
             full = [True] * len(groups)
         done += [[tails[i] for i in g] for g, f in zip(groups, full, strict=True) if f and g]
         tails = [tails[i] for g, f in zip(groups, full, strict=True) if not f for i in g]
     return done
 
 
+def _shed(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
+    """Cuts what lies over capacity and moves it to windows with room; there is room for all of it."""
+    pool: list[Piece] = []
+    rooms = []
+    for w in windows:
+        room = capacity - sum(p[2] for p in w)
+        while room < 0:
+            doc, at, n = w.pop()
+            keep = max(0, n + room)
+            if keep:
+                w.append((doc, at, keep))
+            pool.append((doc, at + keep, n - keep))
+            room += n - keep
+        rooms.append(room)
+    for w, room in sorted(zip(windows, rooms, strict=True), key=lambda x: -x[1]):
+        while room > 0 and pool:
+            doc, at, n = pool.pop()
+            take = min(n, room)
+            w.append((doc, at, take))
+            if n > take:
+                pool.append((doc, at + take, n - take))
+            room -= take  # noqa: PLW2901
+    return [w for w in windows if w]
+
+
 def _level(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
     """Moves what lies over capacity, then pieces of the emptiest window, to windows with room."""
     loads = [sum(p[2] for p in w) for w in windows]
@@ -153,13 +183,14 @@ def _level(windows: list[list[Piece]], capacity: int) -> list[list[Piece]]:
 
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    cut: bool = False, group_tokens: int = 2_000_000, with_ids: bool = False,
+    cut: bool = False, group_tokens: int = 2_000_000, with_ids: bool = False, most_padding: float | None = None,
 ) -> DataFrame:
     """A row for each piece: where it lies in its document and in its window.
 
     ``sequence_id`` joins the input partition and a counter, so it is unique and
     needs no shuffle. With ``with_ids`` the piece's ids come too (uint32, little
-    endian). Only documents over capacity are cut, unless ``cut`` is set.
+    endian). Only documents over capacity are cut, unless ``cut`` is set or, with ``most_padding``,
+    windows would be emptier than that.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +202,7 @@ def pack(
         def flush() -> pa.RecordBatch:
             nonlocal names, held, total, serial
             rows: list[tuple] = []
-            for w in pack_group([len(x) for x in held], capacity, cut):
+            for w in pack_group([len(x) for x in held], capacity, cut, most_padding):
                 offset = 0
                 for doc, at, n in w:
                     raw = held[doc][at : at + n].tobytes()

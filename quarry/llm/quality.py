@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, bounded_ids
 
 #: Statistics that rules may test.
 FEATURES = ("n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "exclaim_ratio", "distinct_ratio")
@@ -149,9 +149,9 @@ def _log(x: float) -> float:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[dict]:
-    """Statistics of at most ``sample_rows`` labelled documents, those of least id hash: plain numbers, no texts."""
+    """Statistics of at most ``sample_rows`` labelled rows, those of least id hash (none of ids with more than 100 rows): plain numbers, no texts."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
+    chosen = bounded_ids(docs, chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows), sample_rows, id_col)
     rows = statistics(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col)
     got = rows.select(id_col, (F.col("_label") == 0).cast("int").alias("bad"), *FEATURES).collect()
     return [r.asDict() for r in sorted(got, key=lambda r: (r[id_col], r.n_words, r.mean_word))]

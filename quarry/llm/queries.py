@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import fold, table
 from .tokens import public_path
 
+#: The window count of op10 rises by this part at most; beyond it documents are cut.
+MOST_PADDING = 1 / 64
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -78,7 +80,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE))
+    return packing.pack(table(spark, sf_dir, "documents"), public_path(BYTE_BPE), most_padding=MOST_PADDING)
 
 
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

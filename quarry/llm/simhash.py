@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(fps, radius)).withColumnRenamed("node", "fp")
     rooted = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "rooted")  # read from files, a root of very many fingerprints can be split in the join
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(group, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

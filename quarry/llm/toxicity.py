@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, slices, utf8
+from .common import WordHash, bounded_ids, mix, slices, utf8
 
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -83,11 +83,12 @@ def fit(
     docs: DataFrame, labels: DataFrame, usable: Column | None = None, bits: int = 20, most_rows: int = 16_000, most_features: int = 40_000_000,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
-    """A model learned from labelled rows where ``usable`` (a condition on the id) holds."""
+    """A model learned from at most ``most_rows`` labelled rows where ``usable`` (a condition on the id) holds; ids of more than 100 rows aren't learned from."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if usable is not None:
         chosen = chosen.where(usable)
     chosen = chosen.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
+    chosen = bounded_ids(docs, chosen, most_rows, id_col)
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col(id_col)).select(F.col("_id").cast("long"), "_text", "_y")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

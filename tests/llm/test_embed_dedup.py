@@ -86,3 +86,12 @@ def test_recall_on_larger_table(spark):
     here = np.array([got[i] for i, _, _ in rows])
     assert len(got) == len(rows) and (here <= n).all()
     assert n.sum() > 1000 and here.sum() >= 0.97 * n.sum()
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7]), ("string", ["left", "right"]), ("boolean", [True, False])])
+def test_labels_of_other_types_are_compared_as_they_are(spark, kind, labels):
+    v = [0.5, 1.0, -2.0, 0.25]
+    rows = [(0, v, labels[0]), (1, v, labels[1]), (2, v, labels[0]), (3, v, None), (4, v, labels[1])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 0, 3), (4, 1, 1)]
