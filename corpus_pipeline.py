@@ -44,7 +44,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all that is left into windows of 2048 ids: a row for each piece."""
-    return packing.pack(docs, public_path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), most_padding=1 / 64)
 
 
 STAGES = [
