@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -260,8 +260,8 @@ def store_filter(text: str) -> Column:
 _QUERY = re.compile(r'\s*(?:"(?P<phrase>[^"]*)"|(?P<op>[()+-])|(?P<word>[^\s()"]+))')
 
 
-def text_query(text: str, terms: Column) -> Column:
-    """A boolean text query over the array ``terms`` of a text's tokens, in order.
+def text_query(text: str, terms: Column | Callable[[str], Column]) -> Column:
+    """A boolean text query over the array ``terms`` of a text's tokens, in order, or over a function of words that tells whether they stand in the text (null: no token).
 
     Words side by side or joined by OR: any; AND: both; NOT or ``-``: none; ``+``: wanted beside
     others; quotes: tokens in this order; brackets. Words are tokenized as the texts are, and
@@ -282,6 +282,8 @@ def text_query(text: str, terms: Column) -> Column:
         return at < len(parts) and parts[at][0] != "phrase" and parts[at][1] in values
 
     def run_of(words: str) -> Column:
+        if callable(terms) and not isinstance(terms, Column):
+            return terms(words)
         found = T.tokenize(F.lit(words))
         joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
         return F.when(F.size(found) > 0, F.contains(joined(terms), joined(found)))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, render, sparse
-from ..sources import embed
+from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, postings, render, sparse
+from ..sources import embed, stored
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,9 +69,20 @@ _QRY = f"""{_tf("qtf", "benchmark", "item_id")}, qry AS (SELECT item_id, term_ha
 _DOT = "hit AS (SELECT item_id, doc_id, sum(p.weight * q.weight) AS score, count(*) AS matched FROM post p JOIN qry q USING (term_hash) GROUP BY ALL)"
 
 
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> postings.Index:
+    """The stored keyword index of ``documents``: built by the first query that asks for it, read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.Index.build(_t(spark, d, "documents"), stored.scratch(spark, "index"), "doc_id", "text")
+    return _INDEXES[key]
+
+
 def _bm25(spark: SparkSession, d: str) -> tuple[sparse.Bm25, DataFrame]:
-    model = sparse.Bm25(_t(spark, d, "documents"), "doc_id", "text")
-    return model, model.query(_t(spark, d, "benchmark"), "item_id", "text")
+    index = _index(spark, d)
+    return index.bm25(), index.asked(_t(spark, d, "benchmark"), "item_id", "text")
 
 
 @query(f"WITH {_tok('tok', 'documents', 'doc_id')} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY ALL")
@@ -705,13 +716,44 @@ _ORDERED = f"o AS (SELECT doc_id, ' ' || array_to_string(list_filter(flatten(lis
 @query(f"WITH {_ORDERED} SELECT doc_id FROM o WHERE (contains(t, ' und der ') OR contains(t, ' que ')) AND NOT contains(t, ' die ')")
 def text_boolean(spark: SparkSession, d: str) -> DataFrame:
     """A phrase or a word, and not another."""
-    return _t(spark, d, "documents").where(filters.text_query('("und der" OR que) AND NOT die', T.tokenize(F.col("text")))).select("doc_id")
+    return _index(spark, d).boolean('("und der" OR que) AND NOT die').select("doc_id")
 
 
 @query(f"WITH {_ORDERED} SELECT doc_id FROM o WHERE contains(t, ' und ') AND contains(t, ' der ') AND NOT contains(t, ' ge ')")
 def text_wanted(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").where(filters.text_query("+und +der -ge die", T.tokenize(F.col("text")))).select("doc_id")
+    return _index(spark, d).boolean("+und +der -ge die").select("doc_id")
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id FROM o WHERE NOT contains(t, ' und ') AND NOT contains(t, ' que ')")
+def text_barred(spark: SparkSession, d: str) -> DataFrame:
+    """Words that must not stand there: documents without any term are among the hits."""
+    return _index(spark, d).boolean("NOT und AND NOT que").select("doc_id")
+
+
+def _phrase(words: str) -> str:
+    w = words.split()
+    return f"len(list_filter(range(1, len(l) + 1), lambda i: l[i:i + {len(w) - 1}] = [{', '.join(repr(x) for x in w)}]))"
+
+
+_LISTED = _ORDERED + ", l AS (SELECT doc_id, CASE WHEN trim(t) = '' THEN [] ELSE string_split(trim(t), ' ') END AS l FROM o)"
+_PHRASES = ("und der", "que", "la le")
+
+
+@query(
+    f"WITH {_LISTED}, f AS (SELECT doc_id, len(l) AS dl, {_phrase('die')} AS no, {', '.join(f'{_phrase(p)} AS f{i}' for i, p in enumerate(_PHRASES))} FROM l), "
+    f"s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (WHERE f{i} > 0) AS d{i}' for i in range(3))} FROM f), "
+    f"r AS (SELECT doc_id, round({' + '.join(f'CASE WHEN d{i} > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5) + 1) ELSE 0 END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))' for i in range(3))}, 6) AS score FROM f, s WHERE no = 0 AND f0 + f1 + f2 > 0) "
+    "SELECT doc_id, score FROM r WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100"
+)
+def phrase_topk(spark: SparkSession, d: str) -> DataFrame:
+    """A top-100 report: phrases ranked as terms, over stored positions."""
+    return _index(spark, d).ranked('("und der" OR que OR "la le") AND NOT die', 100).select("doc_id", "score")
+
 
+@query(f"WITH {_tok('tok', 'documents', 'doc_id')}, n AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(max(tf) AS BIGINT) AS most FROM n GROUP BY ALL")
+def postings_terms(spark: SparkSession, d: str) -> DataFrame:
+    """What the stored index holds of each term."""
+    return _index(spark, d).table.where("term_hash >= 0").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("most"))
 
 @query("SELECT page_id, left('key-' || page_id || '-secret', 8) AS key_id FROM pages WHERE page_id % 3 = 0")
 def admitted_keys(spark: SparkSession, d: str) -> DataFrame:
