@@ -122,11 +122,81 @@ _STARTS = {
 }
 
 
+_QUOTED, _CHAR, _BLOCK, _SLASHES = r'"(?:\\.|[^"\\])*"?', r"'(?:\\.|[^'\\\n])*'?", r"/\*.*?(?:\*/|\Z)", r"//[^\n]*"
+_HEREDOC = r"<<[-~]?(?P<q>['\"]?)(?P<tag>[A-Za-z_]\w*)(?P=q)[^\n]*\n.*?(?:^[ \t]*(?P=tag)\b|\Z)"
+_HASH = r"(?<![$\w{])#[^\n]*"
+#: What is no code in each language: comments and literals, the longer forms first.
+_NO_CODE = {
+    x: re.compile("|".join(parts), re.S | re.M)
+    for names, parts in (
+        ("go", (_BLOCK, _SLASHES, r"`[^`]*`?", _QUOTED, _CHAR)),
+        ("javascript typescript", (_BLOCK, _SLASHES, r"`(?:\\.|[^`\\])*`?", _QUOTED, _CHAR)),
+        ("java kotlin scala swift", (_BLOCK, _SLASHES, r'""".*?(?:"""|\Z)', _QUOTED, _CHAR)),
+        ("rust", (_BLOCK, _SLASHES, r'\br(?P<n>#*)".*?(?:"(?P=n)|\Z)', _QUOTED, r"'(?:\\[^\n']+|[^'\\\n])'")),
+        ("csharp", (_BLOCK, _SLASHES, r'\$?@\$?"(?:""|[^"])*"?', _QUOTED, _CHAR)),
+        ("cpp protobuf", (_BLOCK, _SLASHES, r'\bR"(?P<d>[^(\s]*)\(.*?(?:\)(?P=d)"|\Z)', _QUOTED, _CHAR)),
+        ("php", (_BLOCK, _SLASHES, _HASH, r"<<<['\"]?(?P<tag>\w+)['\"]?\n.*?(?:^[ \t]*(?P=tag)\b|\Z)", _QUOTED, r"'(?:\\.|[^'\\])*'?")),
+        ("css", (_BLOCK, _QUOTED, _CHAR)),
+        ("bash hcl", (_HEREDOC, _HASH, _QUOTED, r"'[^']*'?")),
+        ("ruby", (r"^=begin\b.*?(?:^=end\b|\Z)", _HEREDOC, _HASH, _QUOTED, r"'(?:\\.|[^'\\])*'?")),
+        ("lua", (r"--\[(?P<c>=*)\[.*?(?:\](?P=c)\]|\Z)", r"--[^\n]*", r"\[(?P<s>=*)\[.*?(?:\](?P=s)\]|\Z)", _QUOTED, _CHAR)),
+        ("sql", (_BLOCK, r"--[^\n]*", r"\$(?P<tag>\w*)\$.*?(?:\$(?P=tag)\$|\Z)", r"'(?:''|[^'])*'?", r'"[^"]*"?')),
+    )
+    for x in names.split()
+}
+#: Where a line's end may close a definition that opened no bracket.
+_BY_LINE = frozenset("go javascript typescript kotlin scala swift hcl".split())
+_GOES_ON_AFTER, _GOES_ON_BEFORE = re.compile(r"[,=+\-*/&|.<(?:]\s*$|=>\s*$"), re.compile(r"\s*[{.?:|&=+]")
+#: Words that open and close what ``end`` closes.
+_OPENS = {
+    "ruby": re.compile(r"^[ \t]*(?:class|module|if|unless|while|until|case|for|begin|def(?![^\n]*\)?[ \t]=[ \t]))\b|(?<=[=(,])[ \t]*(?:if|unless|case|begin|while)\b|\bdo\b(?=[ \t]*+(?:\|[^|\n]*\|)?[ \t]*+$)|^[\w@, \t]+=[ \t]*+(?:if|case|begin)\b", re.M),
+    "lua": re.compile(r"\b(?:function|do|repeat|if)\b"),
+}
+_CLOSES = {"ruby": re.compile(r"(?<![\w.:@])end\b(?![?!:])"), "lua": re.compile(r"\b(?:end|until)\b")}
+
+
+def code_only(text: str, language: str) -> str:
+    """The text with comments, strings and heredocs made blank, each line where it was; one pass."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    return _NO_CODE[language].sub(blank, text) if language in _NO_CODE else text
+
+
+def _depths(code: str, language: str) -> list[int]:
+    """Open brackets (or blocks) before each line."""
+    out, depth = [], 0
+    for line in code.split("\n"):
+        out.append(depth)
+        if language in _OPENS:
+            line = line.strip()  # noqa: PLW2901
+            depth += len(_OPENS[language].findall(line)) - len(_CLOSES[language].findall(line))
+        else:
+            depth += sum(line.count(c) for c in "{([") - sum(line.count(c) for c in "})]")
+        depth = max(0, depth)
+    return [*out, depth]
+
+
+def _last_line(lines: list[str], depths: list[int], first: int, language: str) -> int:
+    """The line (from 0) that ends the definition begun on ``first``, at depth 0."""
+    for i in range(first, len(lines)):
+        if depths[i + 1]:
+            continue
+        line = lines[i].rstrip()
+        if language in _OPENS or line.endswith(";") or "}" in line:
+            return i
+        after = next((x for x in lines[i + 1 :] if x.strip()), "")
+        if language in _BY_LINE and line and not _GOES_ON_AFTER.search(line) and not _GOES_ON_BEFORE.match(after):
+            return i
+    return len(lines) - 1
+
+
 def definitions(text: str, language: str | None) -> list[tuple[str, str, int, int]]:
     """Top-level definitions: (kind, name, first line, last line).
 
-    Python is parsed; other languages are found by how a definition begins at the
-    left margin, and it ends before the next one. Unparsable or without any: empty.
+    Python is parsed. Other languages are scanned once: comments, strings and heredocs are
+    blanked, brackets (in Ruby and Lua the words that ``end`` closes) are counted, and a
+    definition goes from where its beginning is read outside all of them to the bracket,
+    semicolon or line that closes it. SQL statements end at their semicolon, a Dockerfile's
+    instructions at a line that isn't continued. Unparsable or without any: empty.
     """
     lines = text.split("\n")
     if language == "python":
@@ -139,17 +209,40 @@ def definitions(text: str, language: str | None) -> list[tuple[str, str, int, in
     pattern = _STARTS.get(language or "")
     if not pattern:
         return []
-    at = [(i, m) for i, line in enumerate(lines) if (m := re.match(pattern, line))]
-    out = []
-    for k, (i, m) in enumerate(at):
-        end = at[k + 1][0] if k + 1 < len(at) else len(lines)
-        while end > i + 1 and not lines[end - 1].strip():
+    code = code_only(text, language).split("\n")
+    depths = _depths("\n".join(code), language)
+    out, i = [], 0
+    while i < len(lines):
+        m = re.match(pattern, lines[i]) if depths[i] == 0 and code[i].strip() else None
+        if m is None:
+            i += 1
+            continue
+        if language == "dockerfile":
+            end = next((j for j in range(i, len(lines)) if not lines[j].rstrip().endswith("\\")), len(lines) - 1)
+        elif language == "sql":
+            end = next((j for j in range(i, len(lines)) if depths[j + 1] == 0 and code[j].rstrip().endswith(";")), len(lines) - 1)
+        else:
+            end = _last_line(code, depths, i, language)
+        while end > i and not lines[end].strip():
             end -= 1
         g = m.groupdict()
-        out.append((g.get("kind") or "definition", (g.get("name") or g.get("name2") or "").strip(), i + 1, end))
+        out.append((g.get("kind") or "definition", (g.get("name") or g.get("name2") or "").strip(), i + 1, end + 1))
+        i = end + 1
     return out
 
 
+def defined(files: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(path, language, symbol, name, start_line, end_line): the definitions of every file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, lang, *d) for p, t, lang in zip(f[path_col], f[text_col], f["_language"], strict=True) for d in definitions(t or "", lang)]
+            yield pd.DataFrame(rows, columns=[path_col, "language", "symbol", "name", "start_line", "end_line"])
+
+    chosen = files.select(path_col, text_col, language_of(F.col(path_col)).alias("_language"))
+    return chosen.mapInPandas(run, f"{path_col} string, language string, symbol string, name string, start_line int, end_line int")
+
+
 def chunk_file(text: str, path: str, language: str | None) -> list[tuple[str, str, str, int, int, int, str]]:
     """(language, symbol, name, start, end, part, content): definitions, or packed lines where there are none."""
     base = path.rsplit("/", 1)[-1]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import evaluate
+
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row for each key, the first by ``order``."""
@@ -75,9 +77,13 @@ def info(points: DataFrame, vector_col: str) -> DataFrame:
 
 
 def upload_batches(docs: DataFrame, group_col: str, key: str, size: int = 64) -> DataFrame:
-    """Numbers batches of at most ``size`` rows within each group."""
-    w = Window.partitionBy(group_col).orderBy(key)
-    return docs.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """Numbers batches of at most ``size`` rows within each group, by key.
+
+    Rows are dealt by ranges of (group, key), so a group of any size is spread; each is numbered
+    within its range, and a range's rows go after those of the ranges before it.
+    """
+    place = evaluate.placed(docs, [group_col], [key])
+    return place.withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def points_per_file(points: DataFrame, file_col: str = "source_file") -> DataFrame:
@@ -93,8 +99,8 @@ def chunk_rows(points: DataFrame) -> DataFrame:
 
 
 def hits_where(hits: DataFrame, points: DataFrame, condition: Column, key: str = "id") -> DataFrame:
-    """Hits of a search whose points meet a condition, with their columns; hits are a top-k, so they travel to the points."""
-    return points.where(condition).join(F.broadcast(hits), key)
+    """Hits of a search whose points meet a condition, with their columns; which side travels is the planner's choice by size, for hits may outnumber points."""
+    return points.where(condition).join(hits, key)
 
 
 def seeded(rows: DataFrame, seed: DataFrame) -> DataFrame:

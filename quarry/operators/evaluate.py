@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stored
+
 
 def recall(hits: DataFrame, truth: DataFrame, query_col: str = "query_id", id_col: str = "id") -> DataFrame:
     """recall of each query: found relevant over all relevant; queries without hits count 0."""
@@ -28,17 +30,35 @@ def percentile(values: Column, p: int, rule: str = "nearest") -> Column:
     return _at(values, place)
 
 
+def placed(rows: DataFrame, group: list[str], order: list[str], weight: str | None = None) -> DataFrame:
+    """``rows`` with ``_place``: the rank within the group by ``order``, or the running sum of ``weight``.
+
+    A range partitioning by group and order gives each task a stretch of groups; what a group
+    has in earlier tasks is added from one row for each task and group. No group has to fit a task.
+    """
+    stretch = rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
+    stretch = stored.written(stretch, "ranges")
+    here = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    one = F.col(weight) if weight else F.lit(1)
+    sums = stretch.groupBy("_part", *group).agg(F.sum(one).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_part", *group)]
+    joined = stretch.withColumn("_in", F.sum(one).over(here)).alias("s").join(before.alias("b"), same)
+    return joined.select("s.*", (F.col("_in") + F.col("_before")).alias("_place")).drop("_part", "_in")
+
+
 def latencies(rows: DataFrame, value: str, group: list[str], points: tuple[int, ...] = (50, 95, 99), rule: str = "nearest") -> DataFrame:
     """Percentiles by rank within each group.
 
     Ranks come from counts of equal values, so a group's values are aggregated
-    before any of them meet; nothing collects a group.
+    before any of them meet, and running sums from ranges of values: a group is spread
+    over tasks, nothing collects it.
     """
-    from pyspark.sql import Window
-
     counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value)
-    ranked = counted.withColumns({"_to": F.sum("_n").over(w), "_all": F.sum("_n").over(Window.partitionBy(*group))})
+    running = placed(counted, group, [value], "_n").withColumnRenamed("_place", "_to")
+    running = stored.written(running, "ranks")
+    totals = running.groupBy(*group).agg(F.max("_to").alias("_all"))
+    ranked = running.alias("r").join(totals.alias("t"), [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in group]).select("r.*", "_all")
     place = lambda p: {
         "nearest": F.ceil(F.col("_all") * p / 100) - 1, "coded": F.floor((F.col("_all") * p + 99) / 100), "floor": F.floor((F.col("_all") - 1) * p / 100),
     }[rule]

@@ -602,7 +602,7 @@ def progress_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
 def batch64(spark: SparkSession, d: str) -> DataFrame:
-    return collection.upload_batches(_t(spark, d, "documents"), "source", "doc_id").select("doc_id", "source", "batch")
+    return collection.upload_batches(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE lang = 'en' UNION SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2')")

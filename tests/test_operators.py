@@ -1,6 +1,7 @@
 """Operators on small frames: chunks, collection, manifest, catalog, fusion, evaluation, streams."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -359,3 +360,26 @@ def test_unknown_embedder():
     with pytest.raises(ValueError, match="cohere"):
         embed.embedder("nothing")
     assert embed.discovered(["gpt", "text-embed-1", "BGE-m3", "text-embed-1"]) == ["text-embed-1", "BGE-m3"]
+
+
+def test_ranks_of_one_large_group(spark):
+    """Running sums over ranges equal those of one window, with a group of nearly all rows, null groups and ties."""
+    r = random.Random(4)
+    rows = [(None if r.random() < 0.01 else "big" if r.random() < 0.95 else f"g{r.randrange(3)}", r.randrange(50), r.randrange(3)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x int, n int").groupBy("g", "x").agg(F.sum("n").alias("n"))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted(((x.g, x.x, x._place) for x in evaluate.placed(df, ["g"], ["x"], "n").collect()), key=str)
+        parts = df.repartitionByRange("g", "x").select(F.spark_partition_id().alias("p"), "g").where("g = 'big'").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    want, run = [], {}
+    for x in sorted(df.collect(), key=lambda x: x.x):
+        run[x.g] = run.get(x.g, 0) + x.n
+        want.append((x.g, x.x, run[x.g]))
+    assert got == sorted(want, key=str) and parts > 1
+    batches = collection.upload_batches(df.select("g", "x"), "g", "x", 7).collect()
+    for g in {b.g for b in batches}:
+        mine = sorted((b.x, b.batch) for b in batches if b.g == g)
+        assert [b for _, b in mine] == [i // 7 for i in range(len(mine))]
