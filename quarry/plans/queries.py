@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, postings, render, sparse
+from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, postings, render, sparse, vectors
 from ..sources import embed, stored
 from ..streaming import watch
 
@@ -224,6 +224,26 @@ def knn_quantised(spark: SparkSession, d: str) -> DataFrame:
     return dense.quantised_search(*_vectors(spark, d)).select(*_HITS)
 
 
+@query(_knn("list_inner_product(q.e, v.e)"))
+def knn_mips(spark: SparkSession, d: str) -> DataFrame:
+    """Largest inner products, found as nearest neighbours."""
+    return vectors.inner_products(*_vectors(spark, d)).select(*_HITS)
+
+
+@query(_knn(_COS, k="score >= 0.6", cols="query_id, vec_id, score"))
+def knn_radius_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A radius search on stored lists; those that can hold no such row aren't read."""
+    v, q = _vectors(spark, d)
+    return vectors.Lists.build(v, stored.scratch(spark, "lists")).radius(q, 0.6).select("query_id", "vec_id", "score")
+
+
+@query()
+def knn_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by four bits for two components, ranked again by vectors."""
+    v, q = _vectors(spark, d)
+    return vectors.Codes.build(v, stored.scratch(spark, "codes")).search(q).select(*_HITS)
+
+
 def _hybrid(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
     model, q = _bm25(spark, d)
     n = fusion.prefetch(k)
