@@ -104,6 +104,17 @@ class Lists:
         of_width = queries.where(F.size(self.vector_col) == self.centres.shape[1])
         return of_width.select(query_col, self.vector_col, F.explode(near(self.vector_col)).alias("list_id"))
 
+    def nearest(self, rows: DataFrame, lists: int) -> DataFrame:
+        """Rows with ``list_id``, one for each of their nearest lists."""
+        centres = self.centres
+
+        @F.pandas_udf("array<int>")
+        def near(v: pd.Series) -> pd.Series:
+            d = distances(unit(np.array(v.tolist(), np.float64)), centres)
+            return pd.Series(np.argsort(d, axis=1, kind="stable")[:, :lists].tolist())
+
+        return rows.where(F.size(self.vector_col) == centres.shape[1]).withColumn("list_id", F.explode(near(self.vector_col)))
+
     def radius(self, queries: DataFrame, least: float, query_col: str = "query_id", digits: int = 6) -> DataFrame:
         """(query, id, score): every row of at least this cosine, as an exact scan finds it."""
         reach = (2 - 2 * (least - 0.5 * 10**-digits)) ** 0.5  # scores are rounded before they are compared

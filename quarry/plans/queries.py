@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, index, manifest, postings, render, sparse, vectors
+from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, graph, index, manifest, postings, render, sparse, vectors
 from ..sources import embed, stored
 from ..streaming import watch
 
@@ -237,6 +237,13 @@ def knn_radius_lists(spark: SparkSession, d: str) -> DataFrame:
     return vectors.Lists.build(v, stored.scratch(spark, "lists")).radius(q, 0.6).select("query_id", "vec_id", "score")
 
 
+@query()
+def knn_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest neighbours by a search of the neighbour graph."""
+    v, q = _vectors(spark, d)
+    return graph.Graph.build(v, stored.scratch(spark, "graph")).search(q).select(*_HITS)
+
+
 @query()
 def knn_codes(spark: SparkSession, d: str) -> DataFrame:
     """Candidates by four bits for two components, ranked again by vectors."""

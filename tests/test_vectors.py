@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dense, vectors
+from quarry.operators import dense, graph, vectors
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +69,27 @@ def test_codes(spark, table, tmp_path):
     few = odd.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding")
     codes = vectors.Codes.build(odd, str(tmp_path / "d"))
     assert {r[0] for r in codes.rows.select(F.length("code")).distinct().collect()} == {2} and len(codes.search(few, 5).collect()) == 15
+
+
+def test_graph(spark, table, tmp_path):
+    """Nine of ten nearest are found, and fewer rows are compared than lists would ask for."""
+    v, q = table
+    best = {(a, b) for a, b, _ in pairs(dense.search(v, q))}
+    g = graph.Graph.build(v, str(tmp_path / "g"))
+    assert g.rows.count() == v.count() and g.edges.where("size(near) <> 16 or array_contains(near, node)").isEmpty()
+    found = {(r.query_id, r.vec_id) for r in g.search(q).collect()}
+    assert len(best & found) >= 0.9 * len(best) and len(found) == len(best)
+    compared = g.search(q, seen=True).count() / q.count()
+    ivf = dense.Ivf(v)
+    asked = ivf.filed(q, ivf.probes).join(ivf.rows.groupBy("list_id").count(), "list_id").agg(F.sum("count")).first()[0] / q.count()
+    assert compared < asked
+
+
+def test_graph_on_odd_rows(spark, tmp_path):
+    v = clustered(spark, 200, 4)
+    copies = v.union(v.where("vec_id < 60").withColumn("vec_id", F.col("vec_id") + 1000))
+    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = graph.Graph.build(copies, str(tmp_path / "g"), degree=6).search(q, 3).collect()
+    assert len(got) == 15 and all(r.score == 1 for r in got if r["rank"] <= 2)
+    none = v.limit(0)
+    assert graph.Graph.build(none, str(tmp_path / "e")).search(q, 3).collect() == []
