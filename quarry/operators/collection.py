@@ -23,6 +23,21 @@ def upsert(points: DataFrame, fresh: DataFrame, key: str = "id", seq: str | None
     return points.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
+def written(points: DataFrame, fresh: DataFrame, valid: Column | None = None, key: str = "id", seq: str | None = None) -> DataFrame:
+    """``fresh`` with ``outcome``, what ``upsert`` makes of each row: inserted, updated, superseded (by a later row of its key, by ``seq``) or rejected (no key, or not ``valid``). One join."""
+    sound = F.col(key).isNotNull() & (F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True))
+    rows = fresh.withColumn("_sound", sound)
+    if seq:
+        later = Window.partitionBy(key, "_sound").orderBy(F.desc(seq))
+        rows = rows.withColumn("_last", F.row_number().over(later) == 1)
+    else:
+        rows = rows.withColumn("_last", F.lit(True))
+    held = points.select(F.col(key).alias("_key")).where("_key is not null").distinct()
+    joined = rows.join(held, rows[key] == held["_key"], "left")
+    outcome = F.when(~F.col("_sound"), "rejected").when(~F.col("_last"), "superseded").when(F.col("_key").isNull(), "inserted").otherwise("updated")
+    return joined.select(*fresh.columns, outcome.alias("outcome"))
+
+
 def update(points: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Columns that a change gives replace the old ones; null keeps them; unknown keys are left out."""
     given = [c for c in changes.columns if c != key]

@@ -70,6 +70,20 @@ class Bm25:
         return q.select(id_col, "term_hash", (F.col("tf") * F.when(F.col("df").isNull(), F.lit(UNKNOWN)).otherwise(idf(F.col("n"), F.col("df")))).alias("weight"))
 
 
+def shifted(df: DataFrame, stats: DataFrame, gone: DataFrame, fresh: DataFrame, rows: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Document frequencies (term_hash, df) and size (n, total) after a change, without a fit of what stays.
+
+    ``gone`` and ``fresh`` are the counts (id, term_hash, tf) of the documents that leave, as they
+    were, and of those that come; ``rows`` is how many more documents there are now. Only these
+    and the frequencies, of which there are ``TERM_SPACE`` at most, are read.
+    """
+    moved = gone.select("term_hash", F.lit(-1).alias("df"), (-F.col("tf")).alias("tf")).union(fresh.select("term_hash", F.lit(1).alias("df"), "tf"))
+    moved = moved.groupBy("term_hash").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    after = df.select("term_hash", "df").union(moved.select("term_hash", "df")).groupBy("term_hash").agg(F.sum("df").alias("df")).where("df > 0")
+    change = moved.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tf"))
+    return after, stats.crossJoin(F.broadcast(change)).select((F.col("n") + rows).alias("n"), (F.col("total") + F.col("tf")).alias("total"))
+
+
 def top_k(scored: DataFrame, k: int, query_col: str, id_col: str, digits: int = 6) -> DataFrame:
     """The k best ids of each query: rounded score, ties by id; the limit reaches below the shuffle."""
     rounded = scored.withColumn("score", F.round("score", digits))

@@ -777,6 +777,45 @@ def phrase_topk(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).ranked('("und der" OR que OR "la le") AND NOT die', 100).select("doc_id", "score")
 
 
+_LATER = "later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN left(text, 200) || ' changed thing' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)"
+
+
+@query(
+    f"WITH {_LATER}, {_tf('tf', 'later', 'doc_id')}, d AS (SELECT term_hash, count(*) AS df FROM tf GROUP BY ALL), s AS (SELECT (SELECT count(*) FROM later) AS n, (SELECT CAST(sum(tf) AS BIGINT) FROM tf) AS total) "
+    "SELECT term_hash, df, n, total FROM d, s"
+)
+def bm25_kept_up(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics after documents came, changed and went, from those before and the change alone."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    left = F.col("doc_id") % 10
+    before = docs.where(left != 1)
+    tf = sparse.frequencies(before, "doc_id", "text")
+    stats = before.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.sum("tf").alias("total")))
+    gone = docs.where(left.isin(2, 3))
+    fresh = docs.where(left.isin(1, 2)).withColumn("text", F.when(left == 2, F.concat(F.left("text", F.lit(200)), F.lit(" changed thing"))).otherwise(F.col("text")))
+    df, size = sparse.shifted(tf.groupBy("term_hash").agg(F.count("*").alias("df")), stats, sparse.frequencies(gone, "doc_id", "text"), sparse.frequencies(fresh, "doc_id", "text"), fresh.count() - gone.count(), "doc_id")
+    return df.crossJoin(F.broadcast(size)).select("term_hash", "df", "n", "total")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR text IS NULL OR text = '' THEN 'rejected' WHEN doc_id % 2 = 0 THEN 'updated' ELSE 'inserted' END AS outcome FROM documents WHERE doc_id % 3 <> 0 "
+    "UNION ALL SELECT doc_id, 'superseded' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 = 0 AND text <> '' UNION ALL SELECT doc_id, 'rejected' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0 AND (doc_id % 7 = 0 OR text IS NULL OR text = '')"
+)
+def write_results(spark: SparkSession, d: str) -> DataFrame:
+    """What a write makes of each row; every fifth document is written twice, every seventh without a key."""
+    docs = _t(spark, d, "documents").select("doc_id", "text").withColumn("id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    fresh = docs.where("doc_id % 3 <> 0").withColumn("seq", F.lit(2))
+    fresh = fresh.union(fresh.where("doc_id % 5 = 0").withColumn("seq", F.lit(1)))
+    return collection.written(docs.where("doc_id % 2 = 0"), fresh, F.col("text") != "", seq="seq").select("doc_id", "outcome")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_id BETWEEN 1000 AND 1200 AND value > 10 OR event_id IN (5, 17, 400)")
+def store_filter_files(spark: SparkSession, d: str) -> DataFrame:
+    """A store's filter text against files laid out by range: those that can hold no such row aren't read."""
+    events = stored.laid_out(_t(spark, d, "events").select("event_id", "event_type", "value"), stored.scratch(spark, "points"), ["event_id"], ("event_type",))
+    return events.where(filters.store_filter("event_id BETWEEN 1000 AND 1200 AND value > 10 OR event_id IN (5, 17, 400)"))
+
+
 @query(f"WITH {_tok('tok', 'documents', 'doc_id')}, n AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(max(tf) AS BIGINT) AS most FROM n GROUP BY ALL")
 def postings_terms(spark: SparkSession, d: str) -> DataFrame:
     """What the stored index holds of each term."""

@@ -27,7 +27,7 @@ def walk(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude:
     if not content:
         return rows.select(*cols)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return rows.select(*cols, text.alias("content"), F.sha2("content", 256).alias("sha256")).where(F.trim("content") != "")
+    return rows.select(*cols, text.alias("content"), F.sha2("content", 256).alias("sha256")).where(F.col("content").rlike(r"\S"))
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:

@@ -55,6 +55,19 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def laid_out(df: DataFrame, path: str, order: list[str], named: tuple[str, ...] = (), files: int | None = None, group_bytes: int = 16 << 20) -> DataFrame:
+    """Writes ``df`` in files of one range of ``order`` each, sorted, so that their statistics tell ranges apart, and with bloom filters of the columns ``named``.
+
+    A filter on those columns then skips files and row groups that hold no such row.
+    """
+    rows = df.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
+    writer = rows.write.option("compression", "zstd").option("parquet.block.size", group_bytes).option("parquet.block.row.count.limit", 100_000)
+    for c in named:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, path: str, by: str, order: list[str], buckets: int) -> DataFrame:
     """Writes ``df`` in ``buckets`` files by the hash of a column, each in order, and reads it as a table that knows so."""
     spark = df.sparkSession
