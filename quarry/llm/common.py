@@ -47,6 +47,21 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+#: Where set, Spark removes an execution's shuffle files as it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Writes ``df`` as Parquet; the shuffle files behind it go, for its readers read the table."""
+    conf = df.sparkSession.conf
+    was = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, was)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again.
 
@@ -55,7 +70,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    save(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

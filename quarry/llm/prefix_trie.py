@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import save, scratch, written
 
 #: From this depth on, only the turns of live conversations are kept for the levels to come.
 DEEP = 16
@@ -96,7 +96,7 @@ def nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
     def put(df: DataFrame, name: str, level: int) -> DataFrame:
         path = f"{base}/{name}/level={level}"
-        df.write.option("compression", "zstd").parquet(path)
+        save(df, path)
         return spark.read.schema(df.schema).parquet(path)
 
     members = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("len").alias("len"))

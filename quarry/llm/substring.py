@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, mix, slices, utf8, written
@@ -135,8 +135,8 @@ def frequent_anchors(texts: DataFrame, length: int, anchor: int, id_col: str, te
     return np.sort(counts.orderBy(F.desc("c"), "h").limit(MOST).select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
-def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, mark, at): stretches of windows that also start in a document of smaller id, packed as in ``_packed``; ``mark`` is the text's hash."""
+def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text", marked: bool = True) -> DataFrame:
+    """(doc, mark, at): stretches of windows that also start in a document of smaller id, packed as in ``_packed``; ``mark`` is the text's hash, 0 unless ``marked``, which may only be unset where ids don't repeat."""
     if not 0 < anchor < length <= anchor + 16:
         raise ValueError("a run holds at most 16 windows")
 
@@ -175,7 +175,7 @@ def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "d
             key = np.where(done, mix(own.view(np.uint64) * _BASE + start.astype(np.uint64)), key)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(marks[doc]), pa.array(start << 4), pa.array(done)], ["key", "doc", "mark", "at", "done"])
 
-    texts = _texts(docs, id_col, text_col)
+    texts = _texts(docs, id_col, text_col, marked)
     sent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(texts, length, anchor, id_col, text_col))
     seeds = texts.mapInArrow(seed, "anchor long, span long, doc long, mark long, at long, flag byte")
     by_anchor = Window.partitionBy("anchor").orderBy("span", "doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -192,9 +192,19 @@ def repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str = "d
     return met.where("repeat").select("doc", "mark", "at").union(parts.select("doc", "mark", "at"))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def ids_repeat(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id has several rows; only ids travel."""
+    return not docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col].cast("long")).count().where("count > 1").isEmpty()
+
+
+def _mark(text: Column, marked: bool) -> Column:
+    """The text's hash, which tells apart the texts of one id; a constant, which costs no room, where ids don't repeat."""
+    return F.xxhash64(text) if marked else F.lit(0).cast("long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, marked: bool) -> DataFrame:
     text = docs[text_col].cast("string")
-    return docs.select(docs[id_col].cast("long").alias(id_col), text.alias(text_col), F.xxhash64(text).alias("mark")).where(F.col(id_col).isNotNull())
+    return docs.select(docs[id_col].cast("long").alias(id_col), text.alias(text_col), _mark(text, marked).alias("mark")).where(F.col(id_col).isNotNull())
 
 
 def _with(texts: DataFrame, stretches: DataFrame, id_col: str, how: str) -> DataFrame:
@@ -228,7 +238,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: s
             counts, removed, texts = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], [id_col, "n_words", "n_removed", kept])
 
-    joined = _with(_texts(docs, id_col, text_col), repeats(docs, length, anchor, id_col, text_col), id_col, "left").select(id_col, text_col, "at")
+    marked = ids_repeat(docs, id_col)
+    joined = _with(_texts(docs, id_col, text_col, marked), repeats(docs, length, anchor, id_col, text_col, marked), id_col, "left").select(id_col, text_col, "at")
     unnamed = docs.where(docs[id_col].isNull()).select(F.lit(None).cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col), F.lit(None).cast("array<long>").alias("at"))
     return joined.union(unnamed).mapInArrow(cut, f"{id_col} long, n_words long, n_removed long, {kept} string")
 
@@ -238,9 +249,9 @@ def cut_repeats(docs: DataFrame, length: int = 13, anchor: int = 6, id_col: str
     from pyspark.sql.types import LongType, StringType, StructType
 
     docs = docs.drop("n_removed")
-    text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"), F.struct("*").alias("row"))
-    joined = _with(rows, repeats(docs, length, anchor, id_col, text_col), "id", "left").select("text", "at", "row")
+    text, marked = docs[text_col].cast("string"), ids_repeat(docs, id_col)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), _mark(text, marked).alias("mark"), F.struct("*").alias("row"))
+    joined = _with(rows, repeats(docs, length, anchor, id_col, text_col, marked), "id", "left").select("text", "at", "row")
     columns, place = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
