@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def quiet_periods(events: DataFrame, gap: str = "5 seconds", late: str | None = None, key: str = "project", at: str = "ts", path: str = "path") -> DataFrame:
@@ -31,3 +34,70 @@ def into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], ch
     """Hands each micro-batch to ``handle``; the checkpoint makes a restart go on where it stopped."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+class Turns:
+    """One project's writer: a job at a time, begun once changes have paused for ``gap`` milliseconds; changes meanwhile wait for the next.
+
+    Events (time, kind, path) wait until the watermark has passed them, so they are taken in order of time.
+    """
+
+    def __init__(self, gap: int, saved: str | None = None):
+        self.gap = gap
+        held = json.loads(saved) if saved else {}
+        self.waiting: list[list] = held.get("waiting", [])
+        self.paths: list[str] = held.get("paths", [])
+        self.running: bool = held.get("running", False)
+        self.quiet: int = held.get("quiet", 0)  # when the pause, or the job before, is over
+        self.jobs: int = held.get("jobs", 0)
+
+    def saved(self) -> str:
+        return json.dumps({"waiting": self.waiting, "paths": self.paths, "running": self.running, "quiet": self.quiet, "jobs": self.jobs})
+
+    def next_at(self) -> int | None:
+        """When something may happen next, if no more events come."""
+        times = [self.waiting[0][0]] if self.waiting else []
+        if self.paths and not self.running:
+            times.append(self.quiet)
+        return min(times, default=None)
+
+    def take(self, events: list[list], upto: int) -> list[tuple[int, int, list[str]]]:
+        """Jobs (number, time, paths) that begin up to a time at which all earlier events are known."""
+        self.waiting = sorted(self.waiting + events)
+        begun = []
+        while (at := self.next_at()) is not None and at <= upto:
+            if self.waiting and self.waiting[0][0] == at:  # an event at the end of a pause comes first
+                _, kind, path = self.waiting.pop(0)
+                if kind == "done":
+                    if self.running:
+                        self.running, self.quiet = False, max(self.quiet, at)
+                else:
+                    self.paths = sorted({*self.paths, path})
+                    self.quiet = max(self.quiet, at + self.gap)
+            else:
+                self.jobs, self.running = self.jobs + 1, True
+                begun.append((self.jobs, at, self.paths))
+                self.paths = []
+        return begun
+
+
+def one_writer(events: DataFrame, gap_ms: int = 5000, late: str = "10 seconds", key: str = "project", at: str = "ts", kind: str = "kind", path: str = "path") -> DataFrame:
+    """Jobs (project, job, started, paths) of a stream of changes and of ends of jobs (``kind`` is ``done``): one at a time for each project.
+
+    What is held for a project are its waiting paths, whether a job runs and the events that the
+    watermark hasn't passed; a timer in event time begins a job when no more events come. Events
+    later than ``late`` are dropped.
+    """
+    rows = events.select(F.col(key).alias("project"), F.col(at).cast("timestamp").alias("ts"), F.col(kind).alias("kind"), F.coalesce(F.col(path), F.lit("")).alias("path")).where("project is not null and ts is not null").withWatermark("ts", late)
+
+    def run(name: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turns = Turns(gap_ms, state.get[0] if state.exists else None)
+        fresh = [[int(t.value // 1_000_000), str(k), p] for f in frames for t, k, p in zip(f["ts"], f["kind"], f["path"], strict=True)]
+        begun = turns.take(fresh, state.getCurrentWatermarkMs())
+        state.update((turns.saved(),))
+        due = turns.next_at()
+        if due is not None:
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"project": [name[0]] * len(begun), "job": [n for n, _, _ in begun], "started": pd.to_datetime([t for _, t, _ in begun], unit="ms"), "paths": [p for _, _, p in begun]})
+
+    return rows.groupBy("project").applyInPandasWithState(run, "project string, job int, started timestamp, paths array<string>", "saved string", "append", GroupStateTimeout.EventTimeTimeout)
