@@ -17,6 +17,14 @@ def latest_job(jobs: DataFrame, key: str, at: str, tie: str, limit: int = 1) ->
     return jobs.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
 
 
+def recent_jobs(jobs: DataFrame, key: str, state: str, at: str, tie: str, most: int = 50) -> DataFrame:
+    """The jobs that a project shows, with ``nth``: those that run, newest first, then the last ``most`` that have ended."""
+    ended = F.col(state).isin(*ENDED)
+    newest = Window.partitionBy(key, "_ended").orderBy(F.desc(at), F.desc(tie))
+    shown = jobs.withColumn("_ended", ended).withColumn("_n", F.row_number().over(newest)).where(~F.col("_ended") | (F.col("_n") <= most))
+    return shown.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("_ended", "_n"))).drop("_ended", "_n")
+
+
 def job_state(events: DataFrame, key: str, kind: str, at: str, tie: str) -> DataFrame:
     """The state of each job from its events: a cancel beats whatever ends it, an end beats progress."""
     seen = lambda x: F.max(F.when(F.col(kind) == x, 1)).alias(x)

@@ -28,10 +28,12 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.regexp_extract(base, r"\.([^.]*)$", 1)), F.when(base == "dockerfile", F.lit("dockerfile")))
 
 
-def by_lines(docs: DataFrame, id_col: str, text_col: str, most: int = MOST_LINES) -> DataFrame:
-    """Chunks of at most ``most`` lines: id, chunk_no, start_line, end_line, content."""
+def by_lines(docs: DataFrame, id_col: str, text_col: str, most: int = MOST_LINES, overlap: int = 0) -> DataFrame:
+    """Chunks of at most ``most`` lines: id, chunk_no, start_line, end_line, content; each begins with the last ``overlap`` lines of the one before."""
+    if not 0 <= overlap < most:
+        raise ValueError("the overlap must be shorter than a chunk")
     lines = docs.select(id_col, F.split(text_col, "\n").alias("_lines"))
-    starts = F.sequence(F.lit(0), F.size("_lines") - 1, F.lit(most))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_lines") - 1 - overlap), F.lit(most - overlap))
     out = lines.select(id_col, "_lines", F.posexplode(starts).alias("chunk_no", "_at"))
     part = F.slice("_lines", F.col("_at") + 1, most)
     return out.select(id_col, "chunk_no", (F.col("_at") + 1).alias("start_line"), (F.col("_at") + F.size(part)).alias("end_line"), F.array_join(part, "\n").alias("content"))

@@ -71,6 +71,11 @@ def facets(points: DataFrame, *columns: str) -> DataFrame:
     return points.select(pairs).select("f.*").where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def row_order(by_score: bool = False, score: str = "score", file: str = "source_file", line: str = "start_line", key: str = "id") -> list[Column]:
+    """The order of a browser's rows: by score if asked for, then file and line, then key."""
+    return [*([F.desc(score)] if by_score else []), F.asc(file), F.asc(line), F.asc(key)]
+
+
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """A page by position; numbers under 1 mean the first; past the end it is empty."""
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)

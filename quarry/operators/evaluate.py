@@ -19,6 +19,16 @@ def summary(per_query: DataFrame, value: str) -> DataFrame:
     return per_query.agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+def run_summary(per_query: DataFrame, recall_col: str, millis_col: str, failed: Column, group: list[str] | None = None) -> DataFrame:
+    """Of a benchmark run: queries, errors, and of those that didn't fail the recall's mean, least and most and the mean milliseconds, rounded down."""
+    ok = ~F.coalesce(failed, F.lit(False))
+    of = lambda c: F.when(ok, F.col(c))
+    return per_query.groupBy(*(group or [])).agg(
+        F.count("*").alias("queries"), F.sum((~ok).cast("long")).alias("errors"), F.round(F.avg(of(recall_col)), 6).alias("recall_mean"), F.min(of(recall_col)).alias("recall_least"),
+        F.max(of(recall_col)).alias("recall_most"), F.floor(F.sum(of(millis_col)) / F.count(of(millis_col))).alias("millis_mean"),
+    )
+
+
 def _at(values: Column, place: Column) -> Column:
     return F.get(values, F.least(F.greatest(place, F.lit(0)), F.size(values) - 1))
 

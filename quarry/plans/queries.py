@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -309,6 +309,15 @@ def chunk_lines_2(spark: SparkSession, d: str) -> DataFrame:
     return chunk.by_lines(_t(spark, d, "documents"), "doc_id", "text", 2)
 
 
+@query(
+    "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, ls, unnest(generate_series(0, greatest(0, len(ls) - 3), 3)) AS a0 FROM l) "
+    "SELECT doc_id, CAST(a0 // 3 AS INTEGER) AS chunk_no, CAST(a0 + 1 AS INTEGER) AS start_line, CAST(least(a0 + 5, len(ls)) AS INTEGER) AS end_line, array_to_string(ls[a0 + 1:a0 + 5], chr(10)) AS content FROM c"
+)
+def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Five lines a chunk, of which two are those of the chunk before."""
+    return chunk.by_lines(_t(spark, d, "documents"), "doc_id", "text", 5, 2)
+
+
 @query()
 def chunk_capped(spark: SparkSession, d: str) -> DataFrame:
     return chunk.capped(_t(spark, d, "documents"), "doc_id", "text")
@@ -777,6 +786,47 @@ def phrase_topk(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).ranked('("und der" OR que OR "la le") AND NOT die', 100).select("doc_id", "score")
 
 
+_STATES = {"signup": "running", "purchase": "succeeded", "error": "failed", "click": "cancelled", "view": "interrupted"}
+_STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.items()) + " END"
+
+
+@query(
+    f"WITH j AS (SELECT user_id % 7 AS project, event_id AS job, {_STATE} AS state, ts FROM events), k AS (SELECT *, state <> 'running' AS ended, row_number() OVER (PARTITION BY project, state <> 'running' ORDER BY ts DESC, job DESC) AS n FROM j) "
+    "SELECT project, job, state, CAST(row_number() OVER (PARTITION BY project ORDER BY ended, n) AS INTEGER) AS nth FROM k WHERE NOT ended OR n <= 50"
+)
+def recent_jobs(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    state = F.element_at(F.create_map(*[F.lit(x) for kv in _STATES.items() for x in kv]), F.col("event_type"))
+    jobs = e.select((F.col("user_id") % 7).alias("project"), F.col("event_id").alias("job"), state.alias("state"), "ts")
+    return catalog.recent_jobs(jobs, "project", "state", "ts", "job").drop("ts")
+
+
+@query(
+    "WITH r AS (SELECT event_type, event_id % 101 / 100.0::DOUBLE AS recall, CAST(floor(value) AS BIGINT) AS ms, event_id % 9 = 0 AS failed FROM events) SELECT event_type, count(*) AS queries, CAST(count(*) FILTER (WHERE failed) AS BIGINT) AS errors, "
+    "round(avg(recall) FILTER (WHERE NOT failed), 6) AS recall_mean, min(recall) FILTER (WHERE NOT failed) AS recall_least, max(recall) FILTER (WHERE NOT failed) AS recall_most, "
+    "CAST(sum(ms) FILTER (WHERE NOT failed) // count(ms) FILTER (WHERE NOT failed) AS BIGINT) AS millis_mean FROM r GROUP BY ALL"
+)
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select("event_type", "event_id", (F.col("event_id") % 101 / F.lit(100.0)).alias("recall"), F.floor("value").alias("ms"))
+    return evaluate.run_summary(e, "recall", "ms", F.col("event_id") % 9 == 0, ["event_type"])
+
+
+@query()
+def writer_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs of each user's writer: purchases end a job, all else are changes."""
+    e = _t(spark, d, "events").select(F.col("user_id").alias("project"), "ts", F.when(F.col("event_type") == "purchase", "done").otherwise("change").alias("kind"), F.col("event_type").alias("path"))
+    return watch.jobs(e, 3_600_000)
+
+
+@query(_knn(_COS, cols="query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(label AS VARCHAR), vec_id) AS INTEGER) AS at_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(label AS VARCHAR), vec_id) AS INTEGER) AS at_file"))
+def hits_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The places of hits in a browser ordered by score, and by file and line."""
+    v, q = _vectors(spark, d)
+    hits = dense.search(v, q).join(v.select("vec_id", F.col("label").cast("string").alias("source_file")), "vec_id").withColumn("start_line", F.col("vec_id"))
+    place = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(*collection.row_order(by, key="vec_id")))
+    return hits.select("query_id", "vec_id", "score", place(True).alias("at_score"), place(False).alias("at_file"))
+
+
 _LATER = "later AS (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN left(text, 200) || ' changed thing' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3)"
 
 

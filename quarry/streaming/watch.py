@@ -101,3 +101,24 @@ def one_writer(events: DataFrame, gap_ms: int = 5000, late: str = "10 seconds",
         yield pd.DataFrame({"project": [name[0]] * len(begun), "job": [n for n, _, _ in begun], "started": pd.to_datetime([t for _, t, _ in begun], unit="ms"), "paths": [p for _, _, p in begun]})
 
     return rows.groupBy("project").applyInPandasWithState(run, "project string, job int, started timestamp, paths array<string>", "saved string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def jobs(events: DataFrame, gap_ms: int = 5000, key: str = "project", at: str = "ts", kind: str = "kind", path: str = "path") -> DataFrame:
+    """The same of a whole table: events are dealt by project, sorted by time and taken one by one, so a task holds what waits and no project's events."""
+    rows = events.select(F.col(key).cast("string").alias("project"), F.unix_millis(F.col(at).cast("timestamp")).alias("ms"), F.col(kind).alias("kind"), F.coalesce(F.col(path), F.lit("")).alias("path")).where("project is not null and ms is not null")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, turns = None, Turns(gap_ms)
+        for f in frames:
+            out = []
+            for p, same in f.groupby("project", sort=False):
+                if p != name:
+                    out += [(name, *j) for j in turns.take([], 1 << 62)] if name is not None else []
+                    name, turns = p, Turns(gap_ms)
+                fresh = [[int(t), str(k), x] for t, k, x in zip(same["ms"], same["kind"], same["path"], strict=True)]
+                out += [(name, *j) for j in turns.take(fresh, fresh[-1][0] - 1)]
+            yield pd.DataFrame(out, columns=["project", "job", "started_ms", "paths"])
+        if name is not None:
+            yield pd.DataFrame([(name, *j) for j in turns.take([], 1 << 62)], columns=["project", "job", "started_ms", "paths"])
+
+    return rows.repartition("project").sortWithinPartitions("project", "ms").mapInPandas(run, "project string, job int, started_ms long, paths array<string>")

@@ -84,3 +84,14 @@ def test_stream_with_a_restart(spark, tmp_path):
     for r in spark.read.parquet(out).withColumn("ms", F.unix_millis("started")).collect():
         got[r.project].append((r.job, r.ms, list(r.paths)))
     assert {p: sorted(v) for p, v in got.items()} == {p: replay(es) for p, es in projects.items()}
+
+
+def test_batch_equals_a_replay(spark):
+    projects = {f"p{i}": made(200 + i, 60) for i in range(5)}
+    rows = [(t, p, k, f) for p, es in projects.items() for t, k, f in es] + [(None, "p0", "change", "x"), (5, None, "change", "x")]
+    df = spark.createDataFrame(rows, "ms long, project string, kind string, path string").withColumn("ts", F.timestamp_millis("ms")).repartition(3)
+    got = {p: [] for p in projects}
+    for r in watch.jobs(df, GAP).collect():
+        got[r.project].append((r.job, r.started_ms, list(r.paths)))
+    assert {p: sorted(v) for p, v in got.items()} == {p: replay(es) for p, es in projects.items()}
+    assert watch.jobs(df.limit(0), GAP).collect() == []
