@@ -121,17 +121,19 @@ def group_top(hits: DataFrame, group_col: str, per_group: int, groups: int, quer
 class Ivf:
     """An inverted file: k-means centres fitted on a bounded sample, every row filed under its nearest.
 
-    The number of lists is the square root of the number of rows (at most ``most_lists``)
-    unless given, so lists stay of a size that grows slowly. ``probes`` is the least
-    number of lists that finds ``recall`` of the ten nearest on the sample, by exact search there.
+    The number of lists is the square root of the number of rows unless given, so lists stay of
+    a size that grows slowly; the sample has four rows for each list, ``sample_rows`` at least.
+    ``probes`` is the least number of lists that finds ``recall`` of the ten nearest on the
+    sample, by exact search there.
     """
 
     def __init__(
-        self, vectors: DataFrame, lists: int | None = None, sample_rows: int = 20_000, rounds: int = 12, seed: int = 5, recall: float = 0.97, most_lists: int = 4096,
+        self, vectors: DataFrame, lists: int | None = None, sample_rows: int = 20_000, rounds: int = 12, seed: int = 5, recall: float = 0.97,
         id_col: str = "vec_id", vector_col: str = "embedding",
     ):
         self.id_col, self.vector_col = id_col, vector_col
-        lists = lists or max(1, min(most_lists, int(vectors.count() ** 0.5)))
+        lists = lists or max(1, int(vectors.count() ** 0.5))
+        sample_rows = max(sample_rows, 4 * lists)
         some = vectors.where(F.size(vector_col) > 0).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(vector_col).toPandas()
         x = np.array(some[vector_col].tolist(), np.float64) if len(some) else np.zeros((0, 1))  # an empty table has no centres
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
