@@ -10,14 +10,13 @@ replaced and counted as ``mended``; blank ones are counted as ``skipped``.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..sources import files, stored
 from . import index, postings
 
 
@@ -40,24 +39,17 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _state(self) -> dict | None:
-        at = self._fs_path(f"{self.path}/current")
-        if not self._fs.exists(at):
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/current").collect()))
+        self._pointer = stored.Pointer(spark, self.path)
 
     @property
     def version(self) -> int:
         """0 before the first run."""
-        state = self._state()
+        state = self._pointer.read()
         return state["version"] if state else 0
 
     @property
     def counts(self) -> Counts | None:
-        state = self._state()
+        state = self._pointer.read()
         return Counts(**state["counts"]) if state else None
 
     def _at(self, name: str, version: int | None = None) -> str:
@@ -77,9 +69,9 @@ class Store:
 
     def run(self, root: str, project: str, embed: Callable[[DataFrame], DataFrame] | None = None, **walk: tuple[str, ...]) -> Counts:
         """Brings the store to the state of the tree under ``root``."""
-        state = self._state()
+        state = self._pointer.read()
         version = (state["version"] if state else 0) + 1
-        self._fs.delete(self._fs_path(f"{self.path}/v{version}"), True)  # of a run that didn't end
+        self._pointer.drop(f"v{version}")  # of a run that didn't end
         found = files.walk(self.spark, root, **walk)
         found.write.option("compression", "zstd").parquet(self._at("files", version))  # the tree is read once
         tree = self.spark.read.schema(found.schema).parquet(self._at("files", version))
@@ -94,21 +86,10 @@ class Store:
         handled = done.handled.count()
         fresh = points.join(done.handled.withColumnRenamed("path", "source_file"), "source_file", "left_semi").count()
         counts = Counts(size.files, handled, size.files - handled, done.removed.count(), seen - size.files, size.mended or 0, fresh, points.count())
-        self._publish({"version": version, "counts": asdict(counts)})
+        self._pointer.replace({"version": version, "counts": asdict(counts)})
         return counts
 
-    def _publish(self, state: dict) -> None:
-        """Writes the pointer beside the old one and renames it into its place."""
-        fresh, at, old = (self._fs_path(f"{self.path}/{x}") for x in ("next", "current", "previous"))
-        self._fs.delete(fresh, True)
-        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.text(fresh.toString())
-        self._fs.delete(old, True)
-        if self._fs.exists(at):
-            self._fs.rename(at, old)
-        if not self._fs.rename(fresh, at):
-            raise OSError(f"{at.toString()} can't be replaced")
-
     def vacuum(self, keep: int = 2) -> None:
         """Removes versions before the last ``keep``."""
         for v in range(1, self.version - keep + 1):
-            self._fs.delete(self._fs_path(f"{self.path}/v{v}"), True)
+            self._pointer.drop(f"v{v}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -84,3 +85,32 @@ def opened(spark: SparkSession, path: str, like: DataFrame, by: str, order: list
     sorted_by = ", ".join(f"`{c}`" for c in order)
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{by}`) SORTED BY ({sorted_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
+
+
+class Pointer:
+    """A small state beside versions of tables: read as a whole, replaced by a rename, so readers see the old one or the new."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def read(self) -> dict | None:
+        """The state, or None before the first; after a crash between two renames it is the one before."""
+        for name in ("current", "previous"):
+            if self._fs.exists(self._path(f"{self.folder}/{name}")):
+                return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
+        return None
+
+    def replace(self, state: dict) -> None:
+        fresh, at, old = (self._path(f"{self.folder}/{x}") for x in ("next", "current", "previous"))
+        self._fs.delete(fresh, True)
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.text(fresh.toString())
+        if self._fs.exists(at):
+            self._fs.delete(old, True)
+            self._fs.rename(at, old)
+        if not self._fs.rename(fresh, at):
+            raise OSError(f"{at.toString()} can't be replaced")
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/{name}"), True)

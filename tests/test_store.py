@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import collection, filters, index, store
-from quarry.sources import files, stored
+from quarry.operators import catalog, collection, filters, index, store
+from quarry.sources import catalog_store, files, stored
 
 
 @pytest.fixture
@@ -89,3 +89,27 @@ def test_written(spark):
     fresh = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "z", 1), (None, "n", 1), (2, None, 1), (4, None, 1)], "id int, v string, seq int")
     got = {(r.id, r.v): r.outcome for r in collection.written(points, fresh, F.col("v") != "", seq="seq").collect()}
     assert got == {(1, "x"): "superseded", (1, "y"): "updated", (3, "z"): "inserted", (None, "n"): "rejected", (2, None): "rejected", (4, None): "rejected"}
+
+
+def test_catalog_is_opened_migrated_and_written(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    old = catalog_store.Catalog(spark, path, catalog_store.MIGRATIONS[:2])
+    assert old.migrated == 2 and old.names == ["jobs", "projects", "settings"]
+    old.write(projects=spark.createDataFrame([(1, "a", "/a")], "id long, name string, root_path string"))
+    new = catalog_store.Catalog(spark, path)
+    assert new.migrated == 4 and new.names == ["jobs", "models", "projects", "settings"]
+    assert [tuple(r) for r in new.table("projects").collect()] == [(1, "a", "/a", "", "code")]
+    new.write(projects=catalog.insert_project(new.table("projects"), {"id": 2, "name": "b", "root_path": "/b", "machine_id": "m"}), models=catalog.insert_model(new.table("models"), {"name": "x", "dim": 3}))
+    again = catalog_store.Catalog(spark, path)
+    assert again.table("projects").count() == 2 and again.table("models").first().id == 1
+    with pytest.raises(ValueError, match="columns"):
+        again.write(jobs=again.table("models"))
+    with pytest.raises(ValueError, match="later version"):
+        catalog_store.Catalog(spark, path, catalog_store.MIGRATIONS[:3])
+
+    def broken(session, tables):
+        return tables | {"models": tables["models"].withColumn("x", F.raise_error(F.lit("no such form")))}
+
+    with pytest.raises(Exception, match="no such form"):
+        catalog_store.Catalog(spark, path, (*catalog_store.MIGRATIONS, broken))
+    assert catalog_store.Catalog(spark, path).table("models").count() == 1
