@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import catalog, chunk, collection, dense, evaluate, filters, fusion, graph, index, manifest, postings, render, sparse, vectors
+from ..operators import catalog, chunk, chunkers, collection, dense, evaluate, filters, fusion, graph, index, manifest, postings, render, sparse, vectors
 from ..sources import embed, stored
 from ..streaming import watch
 
@@ -350,10 +350,49 @@ _PARTS = {  # language, symbol, name, first and last line
 )
 def ast_chunks(spark: SparkSession, d: str) -> DataFrame:
     """A file for each page, of one of four kinds by its id; definitions of the three languages, packed lines of the other."""
+    return chunk.chunks(_code_files(spark, d))
+
+
+@query(ORACLES["ast_chunks"])
+def chunks_by_function(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the table function, which looks the chunker up by language."""
+    return chunkers.applied(_code_files(spark, d))
+
+
+def _code_files(spark: SparkSession, d: str) -> DataFrame:
     page = F.col("page_id")
     extension = F.element_at(F.array(*map(F.lit, _CODE)), (page % 4 + 1).cast("int"))
     content = F.element_at(F.array(*[F.replace(F.lit(c.format("#")), F.lit("#"), page.cast("string")) for c in _CODE.values()]), (page % 4 + 1).cast("int"))
-    return chunk.chunks(_t(spark, d, "pages").select(F.concat(F.lit("p/"), page.cast("string"), F.lit("."), extension).alias("path"), content.alias("content")))
+    return _t(spark, d, "pages").select(F.concat(F.lit("p/"), page.cast("string"), F.lit("."), extension).alias("path"), content.alias("content"))
+
+
+_HELD = {  # language: what stands before and after a text that the language takes as no code
+    "go": ("package p\n\nfunc F#() string {\n\treturn `", "`\n}\nfunc Last() {}\n"), "js": ("const a = 1;\nfunction f#() {\n  /* ", " */\n}\nclass Last {}\n"),
+    "rb": ("def f#\n  x = <<~TEXT\n", "\n  TEXT\nend\nmodule Last\nend\n"), "sql": ("create function f#() returns text as $$\n", "\n$$ language sql;\nselect 1;\n"),
+}
+_FOUND = {"go": (("func", "F#", 3, 5), ("func", "Last", 6, 6)), "js": (("const", "a", 1, 1), ("function", "f#", 2, 4), ("class", "Last", 5, 5)), "rb": (("def", "f#", 1, 5), ("module", "Last", 6, 7)), "sql": (("create", "f#", 1, 3), ("select", "", 4, 4))}
+_INNER = "replace(replace(replace(text, '`', ''), '*/', ''), '$$', '')"
+_GROWS = {"go": 3, "js": 3, "rb": 3, "sql": 2}  # the line on which the text begins
+
+
+@query(
+    "WITH t AS (SELECT doc_id, doc_id % 4 AS kind, len(string_split("
+    + _INNER
+    + ", chr(10))) - 1 AS more FROM documents) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id || '.{x}' AS path, '{dict(go='go', js='javascript', rb='ruby', sql='sql')[x]}' AS language, '{symbol}' AS symbol, replace('{name}', '#', doc_id::VARCHAR) AS name, CAST({a}{' + more' if a > _GROWS[x] else ''} AS INTEGER) AS start_line, "
+        f"CAST({b}{' + more' if b > _GROWS[x] else ''} AS INTEGER) AS end_line FROM t WHERE kind = {k}"
+        for k, x in enumerate(_HELD)
+        for symbol, name, a, b in _FOUND[x]
+    )
+)
+def definitions_around_text(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of files that hold a document as a raw string, a comment, a heredoc or a quoted body: whatever it says, they end where they end."""
+    inner = F.replace(F.replace(F.replace("text", F.lit("`"), F.lit("")), F.lit("*/"), F.lit("")), F.lit("$$"), F.lit(""))
+    name = F.col("doc_id").cast("string")
+    of = lambda k: F.element_at(F.array(*[F.replace(F.lit(v[k]), F.lit("#"), name) for v in _HELD.values()]), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(name, F.lit("."), F.element_at(F.array(*map(F.lit, _HELD)), (F.col("doc_id") % 4 + 1).cast("int")))
+    return chunk.defined(_t(spark, d, "documents").select(path.alias("path"), F.concat(of(0), inner, of(1)).alias("content")))
 
 
 _UUID = (

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarry.operators import chunk
+from quarry.operators import chunk, chunkers
 
 CASES = {
     "go": (
@@ -68,3 +68,21 @@ def test_long_definitions_are_split_at_lines(spark):
     got = chunk.chunks(df).orderBy("start_line").collect()
     assert [r.name for r in got] == [f"Big (part {i + 1})" for i in range(len(got) - 1)] + ["Small"] and len(got) > 2
     assert got[0].start_line == 3 and got[-2].end_line == 404 and all(len(r.chunk.encode()) <= 3000 for r in got)
+
+
+def test_chunkers_by_name_and_language(spark, monkeypatch):
+    monkeypatch.setattr(chunkers, "CHUNKERS", dict(chunkers.CHUNKERS))
+    monkeypatch.setattr(chunkers, "BY_LANGUAGE", {})
+    df = spark.createDataFrame([("a/b.go", "func f() {\n}\n", 1), ("x.sql", "select 1;\n", 2), ("n.txt", "one\ntwo", 3), (None, None, 4)], "path string, content string, name int")
+    plain = sorted(map(tuple, chunk.chunks(df.where("path is not null")).collect()))
+    assert sorted(map(tuple, chunkers.applied(df.where("path is not null")).collect())) == plain
+    assert {r.symbol for r in chunkers.applied(df, "lines").collect()} == {"chunk"}
+    chunkers.register("whole", lambda text, path, language: [(language, "file", path, 1, text.count("\n") + 1, 0, text)])
+    chunkers.choose("sql", "whole")
+    assert {(r.path, r.symbol) for r in chunkers.applied(df.where("name < 4")).collect()} == {("a/b.go", "func"), ("x.sql", "file"), ("n.txt", "chunk")}
+    with pytest.raises(ValueError, match="exists"):
+        chunkers.register("lines", len)
+    with pytest.raises(KeyError):
+        chunkers.choose("go", "none")
+    with pytest.raises(Exception, match="is no chunker"):
+        chunkers.applied(df, "none").collect()
