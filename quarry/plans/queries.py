@@ -759,6 +759,29 @@ def keyed_ids(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", ids.keyed_hash(F.col("url"), "machine-id").alias("hmac"), ids.fnv64(F.col("url")).alias("fnv64"))
 
 
+_Q = "'\"' || replace(replace(replace(replace(replace({c}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\"'"
+
+
+@query(
+    f"WITH {_CORPUS}, {_POST}, {_QRY}, {_DOT}, top AS ({_BM_TOP.format(where='', k=3)}), "
+    "one AS (SELECT item_id, rank, '--- Result ' || rank || ' (score: ' || printf('%.3f', round(score, 3)) || ') ---' || chr(10) || 'File: ' || source || '/' || doc_id || chr(10) || 'Symbol: ' || doc_id || ' (chunk)' || chr(10) || 'Lines: 1-' || len(string_split(text, chr(10))) || chr(10) || chr(10) "
+    "|| '```' || lang || chr(10) || left(text, 80) || chr(10) || '```' || chr(10) || chr(10) AS t FROM top JOIN documents USING (doc_id)), "
+    "g AS (SELECT item_id, count(*) AS n, string_agg(t, '' ORDER BY rank) AS t FROM one GROUP BY ALL), asked AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, 'the of') "
+    f"SELECT a.item_id, 'Found ' || coalesce(n, 0) || ' results for ' || {_Q.format(c='a.text')} || ' in project \"all\":' || chr(10) || chr(10) || coalesce(t, '(no matches — try a different query or verify the project is indexed)' || chr(10)) AS results FROM asked a LEFT JOIN g USING (item_id)"
+)
+def rendered_results(spark: SparkSession, d: str) -> DataFrame:
+    """The three best documents of each passage as text; one query has no terms and so no hits."""
+    model, q = _bm25(spark, d)
+    hits = sparse.top_k(sparse.dot(model.postings(), q, "doc_id", "item_id"), 3, "item_id", "doc_id")
+    docs = _t(spark, d, "documents").select(
+        "doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_file"), F.lit("chunk").alias("symbol"), F.col("doc_id").alias("name"), F.lit(1).alias("start_line"),
+        F.size(F.split("text", "\n")).alias("end_line"), F.col("lang").alias("language"), F.left("text", F.lit(80)).alias("content"),
+    )
+    asked = _t(spark, d, "benchmark").select("item_id", "text")
+    asked = asked.union(spark.range(1).select(F.lit(-1).cast(asked.schema["item_id"].dataType), F.lit("the of"))).withColumn("project", F.lit("all"))
+    return render.results(hits.join(docs, "doc_id"), asked, "item_id")
+
+
 @query()
 def rendered_context(spark: SparkSession, d: str) -> DataFrame:
     hits = bm25_topk(spark, d).withColumnsRenamed({"item_id": "query_id"})
