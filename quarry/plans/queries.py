@@ -589,7 +589,7 @@ _STATES = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succ
 @query(f"WITH e AS (SELECT event_id // 4 AS job, {_STATES} AS kind, ts, event_id FROM events) SELECT job, CASE WHEN bool_or(kind = 'cancelled') THEN 'cancelled' WHEN bool_or(kind = 'failed') THEN 'failed' WHEN bool_or(kind = 'succeeded') THEN 'succeeded' WHEN bool_or(kind = 'running') THEN 'running' ELSE 'queued' END AS state, arg_max(kind, {{'a': ts, 'b': event_id}}) AS last FROM e GROUP BY ALL")
 def job_state(spark: SparkSession, d: str) -> DataFrame:
     kind = F.expr(_STATES)
-    e = _t(spark, d, "events").select(F.floor(F.col("event_id") / 4).alias("job"), kind.alias("kind"), "ts", "event_id")
+    e = _t(spark, d, "events").select(F.expr("event_id div 4").alias("job"), kind.alias("kind"), "ts", "event_id")
     return catalog.job_state(e, "job", "kind", "ts", "event_id")
 
 
@@ -848,8 +848,8 @@ def phrase_topk(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).ranked('("und der" OR que OR "la le") AND NOT die', 100).select("doc_id", "score")
 
 
-_STATES = {"signup": "running", "purchase": "succeeded", "error": "failed", "click": "cancelled", "view": "interrupted"}
-_STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.items()) + " END"
+_ENDS = {"signup": "running", "purchase": "succeeded", "error": "failed", "click": "cancelled", "view": "interrupted"}
+_STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ENDS.items()) + " END"
 
 
 @query(
@@ -858,7 +858,7 @@ _STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STA
 )
 def recent_jobs(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events")
-    state = F.element_at(F.create_map(*[F.lit(x) for kv in _STATES.items() for x in kv]), F.col("event_type"))
+    state = F.element_at(F.create_map(*[F.lit(x) for kv in _ENDS.items() for x in kv]), F.col("event_type"))
     jobs = e.select((F.col("user_id") % 7).alias("project"), F.col("event_id").alias("job"), state.alias("state"), "ts")
     return catalog.recent_jobs(jobs, "project", "state", "ts", "job").drop("ts")
 
