@@ -26,9 +26,9 @@ def recent_jobs(jobs: DataFrame, key: str, state: str, at: str, tie: str, most:
 
 
 def job_state(events: DataFrame, key: str, kind: str, at: str, tie: str) -> DataFrame:
-    """The state of each job from its events: a cancel beats whatever ends it, an end beats progress."""
+    """The state of each job from its events: a cancel beats whatever ends it, an end beats progress. An event without a time counts as the last, as in SQL."""
     seen = lambda x: F.max(F.when(F.col(kind) == x, 1)).alias(x)
-    flags = events.groupBy(key).agg(*[seen(x) for x in ("cancelled", "failed", "succeeded", "running")], F.max_by(kind, F.struct(at, tie)).alias("last"))
+    flags = events.groupBy(key).agg(*[seen(x) for x in ("cancelled", "failed", "succeeded", "running")], F.max_by(kind, F.struct(F.col(at).isNull().alias("_a"), at, F.col(tie).isNull().alias("_t"), tie)).alias("last"))
     state = F.when(F.col("cancelled") == 1, "cancelled").when(F.col("failed") == 1, "failed").when(F.col("succeeded") == 1, "succeeded").when(F.col("running") == 1, "running").otherwise("queued")
     return flags.select(key, state.alias("state"), "last")
 

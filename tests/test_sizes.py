@@ -4,6 +4,8 @@ import ast
 import datetime
 import inspect
 
+import duckdb
+
 from quarry.plans import queries
 
 
@@ -20,3 +22,14 @@ def test_no_name_is_given_twice():
     """A second table of a name would replace what earlier queries read when they run."""
     names = [t.id for n in ast.parse(inspect.getsource(queries)).body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
     assert len(names) == len(set(names))
+
+
+def test_job_state_of_events_without_time(spark, tmp_path):
+    """DuckDB's order puts a missing time last, so such an event is the last one."""
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(0, at, "view"), (1, None, "click"), (4, None, "view"), (5, None, "error"), (6, at, "click")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = set(con.execute(queries.ORACLES["job_state"]).fetchall())
+    assert {tuple(r) for r in queries.job_state(spark, str(tmp_path)).collect()} == want == {(0, "running", "queued"), (1, "failed", "failed")}
