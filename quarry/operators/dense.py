@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType
+from pyspark.sql.types import ByteType, FloatType
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -37,13 +37,29 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return q @ v.T
 
 
-def _dtype(rows: DataFrame, vector_col: str) -> type:
-    """How a block stores components: 8-bit vectors stay 8-bit on their way."""
-    return np.int8 if isinstance(rows.schema[vector_col].dataType.elementType, ByteType) else np.float64
+def stored_as(rows: DataFrame, vector_col: str) -> type:
+    """How a block stores components: vectors of 8 or 32 bits stay so on their way."""
+    return {ByteType: np.int8, FloatType: np.float32}.get(type(rows.schema[vector_col].dataType.elementType), np.float64)
 
 
-def _blocks(rows: DataFrame, id_col: str, vector_col: str, keys: list[str], per: int) -> DataFrame:
-    """Packs rows into blocks of at most ``per``: ids, their common keys and a matrix in one row each; no shuffle."""
+def best_of(s: np.ndarray, ids: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the k best finite scores of each row, by score, then id; only what reaches a row's k-th is sorted."""
+    s = np.where(np.isfinite(s), s, -np.inf)
+    if k is None or k >= s.shape[1]:
+        return np.nonzero(s > -np.inf)
+    row, col = np.nonzero((s >= np.partition(s, -k, axis=1)[:, -k, None]) & (s > -np.inf))
+    order = np.lexsort([ids[col], -s[row, col], row])
+    row, col = row[order], col[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept]
+
+
+def _blocks(rows: DataFrame, id_col: str, vector_col: str, keys: list[str], per: int, dealt: bool = False) -> DataFrame:
+    """Packs rows into blocks of at most ``per``: ids, their common keys and a matrix in one row each.
+
+    No shuffle, unless ``dealt``: then rows of a key come together first, so that a key with few
+    rows in each of many partitions still makes few blocks.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -55,15 +71,17 @@ def _blocks(rows: DataFrame, id_col: str, vector_col: str, keys: list[str], per:
                     x = np.array(part[vector_col].tolist(), dtype)
                     yield pd.DataFrame({"ids": [part[id_col].tolist()], "tag": [of], "m": [x.tobytes()], "n": [len(part)]})
 
-    dtype = _dtype(rows, vector_col)
+    dtype = stored_as(rows, vector_col)
     named = [F.col(c).cast("string").alias(f"_key{i}") for i, c in enumerate(keys)]
     keys = [f"_key{i}" for i in range(len(keys))]
-    return rows.where(F.size(vector_col) > 0).select(id_col, vector_col, *named).mapInPandas(run, "ids array<long>, tag string, m binary, n int")
+    rows = rows.where(F.size(vector_col) > 0).select(id_col, vector_col, *named)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys) if dealt else rows
+    return rows.mapInPandas(run, "ids array<long>, tag string, m binary, n int")
 
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "cosine", least: float | None = None, same: tuple[str, ...] = (),
-    id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding", digits: int = 6, per: int = 2048, group_col: str | None = None,
+    id_col: str = "vec_id", query_col: str = "query_id", vector_col: str = "embedding", digits: int = 6, per: int = 2048, group_col: str | None = None, dealt: bool = False, ranked: bool = True,
 ) -> DataFrame:
     """Exact search of a stated query set against all vectors, in blocks.
 
@@ -73,12 +91,14 @@ def search(
     blocks hold one value each and only those of equal values meet. With ``group_col``
     the k best of each query and each value of that column (null is one) are found,
     and the column comes too. Vectors of another length than the query's are not met.
+    Where ``same`` has many values, ``dealt`` brings the rows of each together before they are
+    packed; without ``ranked`` the best of every block come as they are.
     """
     for c in same:  # a null equals nothing
         queries, vectors = queries.where(F.col(c).isNotNull()), vectors.where(F.col(c).isNotNull())
-    q = _blocks(queries, query_col, vector_col, list(same), per).toDF("q_ids", "q_tag", "q", "q_n")
-    v = _blocks(vectors, id_col, vector_col, [group_col] if group_col else list(same), per)
-    q_type, v_type = _dtype(queries, vector_col), _dtype(vectors, vector_col)
+    q = _blocks(queries, query_col, vector_col, list(same), per, dealt).toDF("q_ids", "q_tag", "q", "q_n")
+    v = _blocks(vectors, id_col, vector_col, [group_col] if group_col else list(same), per, dealt)
+    q_type, v_type = stored_as(queries, vector_col), stored_as(vectors, vector_col)
     met = v.join(q, F.col("tag") == F.col("q_tag")) if same else v.crossJoin(q)  # blocks, not rows
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,19 +112,14 @@ def search(
                 if least is not None:
                     s[s < least] = -np.inf
                 ids, qid = np.array(r.ids), np.array(r.q_ids)
-                if k is not None and k < s.shape[1]:  # the k best by score, then id
-                    order = np.lexsort([np.broadcast_to(ids, s.shape), -s], axis=1)[:, :k]
-                else:
-                    order = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                got = np.take_along_axis(s, order, axis=1)
-                row, col = np.nonzero(np.isfinite(got))
-                yield pd.DataFrame({query_col: qid[row], id_col: ids[order[row, col]], "score": got[row, col], "tag": r.tag})
+                row, col = best_of(s, ids, k)
+                yield pd.DataFrame({query_col: qid[row], id_col: ids[col], "score": s[row, col], "tag": r.tag})
 
     met = met.mapInPandas(run, f"{query_col} long, {id_col} long, score double, tag string")
     if group_col:
         met = met.withColumn(group_col, F.get(F.from_json("tag", "array<string>"), F.lit(0)).cast(vectors.schema[group_col].dataType))
     met = met.drop("tag")
-    if k is None:
+    if k is None or not ranked:
         return met
     w = Window.partitionBy(query_col, *([group_col] if group_col else [])).orderBy(F.desc("score"), F.asc(id_col))
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -171,7 +186,7 @@ class Ivf:
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, query_col: str = "query_id") -> DataFrame:
         """Each query looks into its nearest lists only: blocks of one list meet blocks of the queries that ask for it."""
         q = self.filed(queries.select(query_col, self.vector_col), probes or self.probes)
-        return search(self.rows, q, k, same=("list_id",), id_col=self.id_col, query_col=query_col, vector_col=self.vector_col)
+        return search(self.rows, q, k, same=("list_id",), id_col=self.id_col, query_col=query_col, vector_col=self.vector_col, dealt=True)
 
 
 def quantise(vector: Column) -> Column:

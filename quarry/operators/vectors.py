@@ -118,7 +118,7 @@ class Lists:
     def radius(self, queries: DataFrame, least: float, query_col: str = "query_id", digits: int = 6) -> DataFrame:
         """(query, id, score): every row of at least this cosine, as an exact scan finds it."""
         reach = (2 - 2 * (least - 0.5 * 10**-digits)) ** 0.5  # scores are rounded before they are compared
-        return dense.search(self.rows, self._asked(queries, reach, query_col), None, least=least, same=("list_id",), id_col=self.id_col, query_col=query_col, vector_col=self.vector_col, digits=digits)
+        return dense.search(self.rows, self._asked(queries, reach, query_col), None, least=least, same=("list_id",), id_col=self.id_col, query_col=query_col, vector_col=self.vector_col, digits=digits, dealt=True)
 
     def share_read(self, queries: DataFrame, least: float, query_col: str = "query_id") -> float:
         """The part of the rows that a radius search compares with a query, on the average."""

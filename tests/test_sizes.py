@@ -5,7 +5,10 @@ import datetime
 import inspect
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
+from quarry.operators import dense, graph
 from quarry.plans import queries
 
 
@@ -33,3 +36,28 @@ def test_job_state_of_events_without_time(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     want = set(con.execute(queries.ORACLES["job_state"]).fetchall())
     assert {tuple(r) for r in queries.job_state(spark, str(tmp_path)).collect()} == want == {(0, "running", "queued"), (1, "failed", "failed")}
+
+
+def test_graph_of_islands(spark, tmp_path):
+    """More close rows together than a node has neighbours: the graph falls apart, the search still finds nine of ten."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(30, 16)), 40, axis=0) + rng.normal(scale=0.05, size=(1200, 16))
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    best = {(r.query_id, r.vec_id) for r in dense.search(v, q).collect()}
+    found = {(r.query_id, r.vec_id) for r in graph.Graph.build(v, str(tmp_path / "g")).search(q).collect()}
+    assert len(found) == len(best) == 300 and len(best & found) >= 270
+
+
+def test_rows_of_a_list_come_together(spark):
+    """Lists spread over many partitions make a block each, and blocks send on the k best as a full sort has them."""
+    v = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"), (F.col("id") % 7).alias("list_id")).repartition(20)
+    assert dense._blocks(v, "vec_id", "embedding", ["list_id"], 2048, True).count() == 7
+    rng = np.random.default_rng(4)
+    s = rng.integers(0, 4, (50, 90)).astype(float)
+    s[3] = -np.inf
+    s[4, 5:] = np.nan
+    ids = rng.permutation(90)
+    row, col = dense.best_of(s, ids, 10)
+    want = [(i, j) for i in range(50) for j in sorted((j for j in range(90) if np.isfinite(s[i, j])), key=lambda j: (-s[i, j], ids[j]))[:10]]
+    assert list(zip(row.tolist(), col.tolist(), strict=True)) == want
