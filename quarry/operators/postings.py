@@ -16,7 +16,6 @@ length, so the table also tells how many there are. Rows of one id are documents
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,27 +28,8 @@ from ..functions import text as T
 from ..sources import stored
 from . import filters, sparse
 
-#: Runs of letters and digits whose terms a worker remembers.
-REMEMBERED = 500_000
 NO_TERM = -1
-_STOP = frozenset(T.STOP_WORDS)
-
-
-def run_terms(run: str) -> list[str]:
-    """The kept terms of a run of letters and digits, as ``text.tokenize`` gives them."""
-    parts, at = [], 0
-    for i in range(1, len(run)):
-        if unicodedata.category(run[i - 1]) != "Lu" == unicodedata.category(run[i]):
-            parts.append(run[at:i])
-            at = i
-    return [t for t in (p.lower() for p in [*parts, run[at:]]) if len(t.encode()) >= 2 and t not in _STOP]
-
-
-def hashed(term: str) -> int:
-    h = 2166136261
-    for b in term.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h % T.TERM_SPACE
+REMEMBERED, run_terms, hashed = sparse.REMEMBERED, sparse.run_terms, sparse.hashed
 
 
 def query_terms(text: str) -> list[str]:
@@ -70,7 +50,7 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 index, hashes, terms, counts, lengths, places, bounds = [], [], [], [], [], [], [0]
-                for i, words in enumerate(part.column(2).to_pylist()):
+                for i, words in enumerate(sparse.words_of(part.column(2))):
                     found: dict[tuple[str, int], list[int]] = {}
                     n = 0
                     for w in words:
@@ -145,7 +125,7 @@ class Index:
 
     def asked(self, queries: DataFrame, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
         """The weights of queries, made once, and broadcast to the postings if they are few."""
-        return stored.small(stored.written(self.bm25().query(queries, query_col, text_col), "asked"))
+        return self.bm25().asked(queries, query_col, text_col)
 
     def matches(self, phrases: list[list[str]]) -> DataFrame:
         """(id, row, dl, f0, f1, ..): documents with any of the phrases (lists of terms), and how often each stands there."""

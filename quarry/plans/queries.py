@@ -80,14 +80,25 @@ def _index(spark: SparkSession, d: str) -> postings.Index:
     return _INDEXES[key]
 
 
+_COUNTS: dict[tuple[str, str], sparse.Bm25] = {}
+
+
+def _model(spark: SparkSession, d: str) -> sparse.Bm25:
+    """The stored counts of ``documents``, made once as the index is; they have no positions."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COUNTS:
+        _COUNTS[key] = sparse.Bm25.stored(_t(spark, d, "documents"), stored.scratch(spark, "counts"), "doc_id", "text")
+    return _COUNTS[key]
+
+
 def _bm25(spark: SparkSession, d: str) -> tuple[sparse.Bm25, DataFrame]:
-    index = _index(spark, d)
-    return index.bm25(), index.asked(_t(spark, d, "benchmark"), "item_id", "text")
+    model = _model(spark, d)
+    return model, model.asked(_t(spark, d, "benchmark"), "item_id", "text")
 
 
 @query(f"WITH {_tok('tok', 'documents', 'doc_id')} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY ALL")
 def tok_count(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.tokens(_t(spark, d, "documents"), "doc_id", "text", by_id=True).groupBy("doc_id", "term").count().groupBy("doc_id").agg(F.sum("count").alias("n_tokens"), F.count("*").alias("n_terms"))
+    return sparse.counted(_t(spark, d, "documents"), "doc_id", "text").where("n_tokens > 0").select("doc_id", "n_tokens", "n_terms")
 
 
 @query(f"WITH {_tok('tok', 'documents', 'doc_id')} SELECT term, count(*) AS n FROM tok GROUP BY ALL ORDER BY n DESC, term LIMIT 100")
@@ -114,23 +125,23 @@ def weighted_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CORPUS} SELECT term_hash, df FROM df")
 def bm25_df(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d)[0].df.select("term_hash", "df")
+    return _model(spark, d).df.select("term_hash", "df")
 
 
 @query(f"WITH {_CORPUS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d)[0].stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+    return _model(spark, d).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {_CORPUS} SELECT term_hash, round({_IDF}, 6) AS idf FROM df, st")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    m = _bm25(spark, d)[0]
+    m = _model(spark, d)
     return m.df.crossJoin(F.broadcast(m.stats)).select("term_hash", F.round(sparse.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {_CORPUS}, {_POST} SELECT doc_id, term_hash, round(weight, 6) AS weight FROM post")
 def bm25_doc_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d)[0].postings().select("doc_id", "term_hash", F.round("weight", 6).alias("weight"))
+    return _model(spark, d).postings().select("doc_id", "term_hash", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {_CORPUS}, {_QRY} SELECT item_id, term_hash, round(weight, 6) AS weight FROM qry")
@@ -901,11 +912,11 @@ def bm25_kept_up(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", "text")
     left = F.col("doc_id") % 10
     before = docs.where(left != 1)
-    tf = sparse.frequencies(before, "doc_id", "text")
-    stats = before.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.sum("tf").alias("total")))
+    counts = stored.written(sparse.counted(before, "doc_id", "text"), "counts")
+    stats = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"), F.sum("n_tokens").alias("total"))
     gone = docs.where(left.isin(2, 3))
     fresh = docs.where(left.isin(1, 2)).withColumn("text", F.when(left == 2, F.concat(F.left("text", F.lit(200)), F.lit(" changed thing"))).otherwise(F.col("text")))
-    df, size = sparse.shifted(tf.groupBy("term_hash").agg(F.count("*").alias("df")), stats, sparse.frequencies(gone, "doc_id", "text"), sparse.frequencies(fresh, "doc_id", "text"), fresh.count() - gone.count(), "doc_id")
+    df, size = sparse.shifted(sparse.listed(counts, "doc_id").groupBy("term_hash").agg(F.count("*").alias("df")), stats, sparse.frequencies(gone, "doc_id", "text"), sparse.frequencies(fresh, "doc_id", "text"), fresh.count() - gone.count(), "doc_id")
     return df.crossJoin(F.broadcast(size)).select("term_hash", "df", "n", "total")
 
 

@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,16 +49,22 @@ def embed(rows: DataFrame, name: str, text_col: str = "content", batch: int = 32
 
 
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """(id, embedding array<double>): token hashes folded into ``dim`` places with signs, unit length; JVM only."""
-    from ..operators.sparse import frequencies
-
-    tf = frequencies(docs, id_col, text_col)
-    place, sign = F.col("term_hash") % dim, F.when(F.floor(F.col("term_hash") / dim) % 2 == 0, 1).otherwise(-1)
-    summed = tf.groupBy(id_col, place.alias("place")).agg(F.sum(sign * F.col("tf")).alias("v"))
-    vectors = summed.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0)).cast("double"))
-    norm = F.sqrt(F.aggregate(F.col("d"), F.lit(0.0), lambda s, x: s + x * x))
-    return vectors.select(id_col, dense.alias("d")).select(id_col, F.transform("d", lambda x: x / F.greatest(norm, F.lit(1e-300))).alias("embedding"))
+    """(id, embedding array<double>): token hashes folded into ``dim`` places with signs, unit length; texts without a token have none."""
+    from ..operators.sparse import counted
+
+    counts = counted(docs, id_col, text_col).where("n_tokens > 0").select(id_col, "posts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+            hashes, tf = (x.to_numpy() for x in b.column(1).flatten().flatten())
+            sign = np.where(hashes // dim % 2 == 0, 1, -1)
+            m = np.bincount(at * dim + hashes % dim, weights=sign * tf, minlength=b.num_rows * dim).reshape(-1, dim)
+            m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), vectors], [id_col, "embedding"])
+
+    return counts.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, embedding array<double>")
 
 
 def _hashing(dim: int = 64) -> Embedder:

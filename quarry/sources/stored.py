@@ -69,10 +69,13 @@ def laid_out(df: DataFrame, path: str, order: list[str], named: tuple[str, ...]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, path: str, by: str, order: list[str], buckets: int) -> DataFrame:
-    """Writes ``df`` in ``buckets`` files by the hash of a column, each in order, and reads it as a table that knows so."""
+def bucketed(df: DataFrame, path: str, by: str, order: list[str], buckets: int, dealt: bool = False) -> DataFrame:
+    """Writes ``df`` in ``buckets`` files by the hash of a column, each in order, and reads it as a table that knows so.
+
+    ``dealt``: its partitions are those of ``repartition(buckets, by)`` already.
+    """
     spark = df.sparkSession
-    rows = df.repartition(buckets, by).sortWithinPartitions(*order)
+    rows = df if dealt else df.repartition(buckets, by).sortWithinPartitions(*order)
     name = f"stored_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, by).sortBy(*order).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)

@@ -8,7 +8,8 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.operators import dense, graph
+from quarry.functions import text as T
+from quarry.operators import dense, graph, sparse
 from quarry.plans import queries
 
 
@@ -61,3 +62,25 @@ def test_rows_of_a_list_come_together(spark):
     row, col = dense.best_of(s, ids, 10)
     want = [(i, j) for i in range(50) for j in sorted((j for j in range(90) if np.isfinite(s[i, j])), key=lambda j: (-s[i, j], ids[j]))[:10]]
     assert list(zip(row.tolist(), col.tolist(), strict=True)) == want
+
+
+def test_counts_are_rows_of_ids(spark, tmp_path):
+    """Repeated ids, null ids and texts, camel case; no row is a token, nothing is aggregated, and postings take no exchange."""
+    rows = [(1, "parseHTTPRequest server Server"), (1, "server config"), (2, "the of"), (3, None), (None, "x1 config"), (None, "config"), (4, "config " * 5000)]
+    docs = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    words = docs.select("id", F.explode(T.tokenize("content")).alias("t"))
+    want = {(r.id, r.n, r.m) for r in words.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("t").alias("m")).collect()}
+    counts = sparse.counted(docs, "id", "content")
+    assert {(r.id, r.n_tokens, r.n_terms) for r in counts.where("n_tokens > 0").collect()} == want and counts.count() == 5
+    tf = {tuple(r) for r in words.select("id", T.term_hash("t").alias("h")).groupBy("id", "h").count().collect()}
+    assert {tuple(r) for r in sparse.frequencies(docs, "id", "content").collect()} == tf
+    assert "Aggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    model = sparse.Bm25.stored(docs, str(tmp_path / "m"))
+    assert model.stats.first().n == 7 and model.df.where(F.col("term_hash") == sparse.hashed("config")).first().df == 3
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        q = model.asked(spark.createDataFrame([(1, "server config")], "query_id int, text string"))
+        plan = sparse.dot(model.postings(), q)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange hashpartitioning" not in plan and "Arrow" not in plan
