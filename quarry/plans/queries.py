@@ -619,8 +619,7 @@ _TRUTH = "truth AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings q JOIN
 )
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(spark, d)
-    truth = q.select("query_id", "label").join(v.select("vec_id", "label"), "label").select("query_id", "vec_id")
-    return evaluate.recall(dense.search(v, q), truth, "query_id", "vec_id")
+    return evaluate.recall_within(dense.search(v, q), q, v, "label", "query_id", "vec_id")
 
 
 def _pct(place: str) -> str:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dense, graph, sparse
+from quarry.operators import dense, evaluate, graph, sparse
 from quarry.plans import queries
 
 
@@ -84,3 +84,18 @@ def test_counts_are_rows_of_ids(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "Exchange hashpartitioning" not in plan and "Arrow" not in plan
+
+
+def test_recall_without_pairs(spark, sf):
+    """The same as with the table of all relevant pairs, which the plan no longer makes."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    truth = q.select("query_id", "label").join(v.select("vec_id", "label"), "label").select("query_id", "vec_id")
+    hits = dense.search(v, q)
+    want = {tuple(r) for r in evaluate.recall(hits, truth, "query_id", "vec_id").collect()}
+    assert {tuple(r) for r in queries.recall_at_k(spark, sf).collect()} == want
+    some = spark.createDataFrame([(1, 7), (1, 8), (2, 8)], "query_id long, vec_id long")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "z")], "query_id long, label string")
+    rows = spark.createDataFrame([(7, "a"), (8, "a"), (9, "a"), (9, "a"), (10, "b"), (11, None)], "vec_id long, label string")
+    got = {tuple(r) for r in evaluate.recall_within(some, asked, rows, "label", "query_id", "vec_id").collect()}
+    assert got == {(1, 0.5), (2, 0.0), (3, 0.0)}
