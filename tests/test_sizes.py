@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dense, evaluate, graph, sparse
+from quarry.operators import chunk, dense, evaluate, graph, sparse
 from quarry.plans import queries
 
 
@@ -99,3 +99,13 @@ def test_recall_without_pairs(spark, sf):
     rows = spark.createDataFrame([(7, "a"), (8, "a"), (9, "a"), (9, "a"), (10, "b"), (11, None)], "vec_id long, label string")
     got = {tuple(r) for r in evaluate.recall_within(some, asked, rows, "label", "query_id", "vec_id").collect()}
     assert got == {(1, 0.5), (2, 0.0), (3, 0.0)}
+
+
+def test_chunks_come_in_slices(spark, monkeypatch):
+    """A task gives its chunks on while it reads, and they are those of each text alone."""
+    monkeypatch.setattr(chunk, "SLICE", 50_000)
+    texts = ["a line\n" * 700, None, "", "x" * 9000, "é" * 4000 + "\nend", *[f"{i}\n" * (i % 90) for i in range(300)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, content string").coalesce(1)
+    got = sorted(tuple(r) for r in chunk.capped(docs, "id", "content").collect())
+    assert got == sorted((i, k, *c) for i, t in enumerate(texts) for k, c in enumerate(chunk.pack_lines(t or "")))
+    assert "MapInArrow" in chunk.capped(docs, "id", "content")._jdf.queryExecution().executedPlan().toString()
