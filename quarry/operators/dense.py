@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, FloatType
 
 
+#: Rows that are compared with all centres at a time.
+FILED = 1_000
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -178,8 +182,11 @@ class Ivf:
 
         @F.pandas_udf("array<int>")
         def near(v: pd.Series) -> pd.Series:
-            x = np.array(v.tolist(), np.float64)
-            return pd.Series(np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :lists].tolist())
+            out = []
+            for at in range(0, len(v), FILED):
+                x = np.array(v.iloc[at : at + FILED].tolist(), np.float64)
+                out += np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :lists].tolist()
+            return pd.Series(out)
 
         return rows.where(F.size(self.vector_col) > 0).withColumn("list_id", F.explode(near(self.vector_col)))
 
