@@ -29,7 +29,7 @@ from ..sources import stored
 from . import filters, sparse
 
 NO_TERM = -1
-REMEMBERED, run_terms, hashed = sparse.REMEMBERED, sparse.run_terms, sparse.hashed
+run_terms, hashed = sparse.run_terms, sparse.hashed
 
 
 def query_terms(text: str) -> list[str]:
@@ -44,7 +44,6 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select(id_col, F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(T.RUNS), F.lit(1)).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[tuple[str, int]]] = {}
         for batch in batches:
             step = max(1, int(batch.num_rows * 4_000_000 / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
@@ -54,12 +53,7 @@ def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     found: dict[tuple[str, int], list[int]] = {}
                     n = 0
                     for w in words:
-                        kept = known.get(w)
-                        if kept is None:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            kept = known[w] = [(t, hashed(t)) for t in run_terms(w)]
-                        for t in kept:
+                        for t in sparse.terms_of(w):
                             found.setdefault(t, []).append(n)
                             n += 1
                     found[("", NO_TERM)] = []

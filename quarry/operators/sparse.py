@@ -53,6 +53,20 @@ def tokens(docs: DataFrame, id_col: str, text_col: str, by_id: bool = False) ->
     return runs.select(id_col, F.explode(F.split("run", T.CAMEL)).alias("term")).select(id_col, F.lower("term").alias("term")).where(T.kept_term(F.col("term")))
 
 
+#: What a Python worker has met, over its tasks.
+_KNOWN: dict[str, list[tuple[str, int]]] = {}
+
+
+def terms_of(run: str) -> list[tuple[str, int]]:
+    """The kept terms of a run with their hashes."""
+    kept = _KNOWN.get(run)
+    if kept is None:
+        if len(_KNOWN) >= REMEMBERED:
+            _KNOWN.clear()
+        kept = _KNOWN[run] = [(t, hashed(t)) for t in run_terms(run)]
+    return kept
+
+
 def words_of(runs: pa.ListArray) -> Iterator[list[str]]:
     """The strings of each list; equal ones are one object, made once."""
     at = runs.offsets.to_numpy()
@@ -76,7 +90,6 @@ def counted(docs: DataFrame, id_col: str, text_col: str, partitions: int | None
     rows = rows.select(id_col, F.regexp_extract_all("text", F.lit(T.RUNS), F.lit(1)).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[tuple[str, int]]] = {}
         held: list = []  # the id that may go on, its rows and counts of runs
         for batch in batches:
             step = max(1, int(batch.num_rows * 4_000_000 / max(1, batch.nbytes)))
@@ -91,26 +104,21 @@ def counted(docs: DataFrame, id_col: str, text_col: str, partitions: int | None
                         if held:
                             ended.append(held)
                         held = [name, 1, Counter(words)]
-                yield _counts(ended, known, part.schema.field(0))
+                yield _counts(ended, part.schema.field(0))
         if held:
-            yield _counts([held], known, part.schema.field(0))
+            yield _counts([held], part.schema.field(0))
 
     return rows.mapInArrow(run, f"{id_col} {kind}, n_rows long, n_tokens long, n_terms long, posts array<struct<term_hash: int, tf: bigint>>")
 
 
-def _counts(ended: list, known: dict[str, list[tuple[str, int]]], named: pa.Field) -> pa.RecordBatch:
+def _counts(ended: list, named: pa.Field) -> pa.RecordBatch:
     """Rows of ``counted`` from counts of runs."""
     tokens, terms, hashes, tfs, bounds = [], [], [], [], [0]
     for _, _, runs in ended:
         found: dict[str, int] = {}
         by_hash: dict[int, int] = {}
         for w, n in runs.items():
-            kept = known.get(w)
-            if kept is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                kept = known[w] = [(t, hashed(t)) for t in run_terms(w)]
-            for t, h in kept:
+            for t, h in terms_of(w):
                 found[t] = found.get(t, 0) + n
                 by_hash[h] = by_hash.get(h, 0) + n
         tokens.append(sum(found.values()))
