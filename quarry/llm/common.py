@@ -81,6 +81,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of ``scratch`` that no reader needs any more, before the driver's process ends."""
+    _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

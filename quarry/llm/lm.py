@@ -9,10 +9,15 @@ with each segment at most half full, so nothing is left out at any size and the
 filter grows with the corpus. Segments are made by the tasks that hold their n-grams,
 one at a time.
 
+N-grams travel in blocks: a row holds the n-grams of some texts that begin with the
+same ``PART`` bits, in order, and the rows of a part are merged where they meet.
+
 Up to ``most_bits`` in all (64 MiB) the filter is broadcast and probed where the texts
 are. A larger one isn't broadcast: texts are dealt into slices, the distinct n-grams
-of each slice go to their segments, and the levels found come back to the slice. Both
-ways ask the same filter and give the same scores.
+of each slice go to their segments, and the levels found come back to the slice. There
+are ``2**GROUP`` groups of neighbouring segments at most and a slice sends a row to
+each, so rows are as many as slices and don't grow with the filter too. Both ways ask
+the same filter and give the same scores.
 
 A text's probability is a mixture of whole-text models: words alone, and words
 mixed with pairs at several weights. It costs a text at most the logarithm of
@@ -39,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, fold, mix, slices, written
+from .common import fold, mix, removed, save, scratch, slices, written
 
 BASE = 1.5
 #: Weights of pairs in the mixed models; 0 is words alone.
@@ -49,6 +54,8 @@ FIRST, PROBES = 6, 3
 #: Segments have ``2**SEGMENT`` bits, of which ``FULL`` are set at most (repeats counted); a filter has ``2**LEAST`` bits at least.
 SEGMENT, LEAST = 20, 24
 FULL = int((1 << SEGMENT) * np.log(2) * 0.95)
+#: Counts are merged in ``2**PART`` parts; a filter is asked in ``2**GROUP`` groups of segments at most (GROUP <= PART).
+PART, GROUP = 12, 10
 _WORD = np.uint64((1 << 64) - 2)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _LEVEL = np.uint64(0x165667B19E3779F9)
@@ -134,7 +141,13 @@ def bits_for(needed: int) -> int:
     return bits
 
 
-def tokens_of(texts: pa.Array, hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def hashes(words: pa.Array) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text closed by an end token, and where texts begin (and the end).
 
     A blank after the last word makes the splitter close a text with an empty word, which is the end token.
@@ -142,9 +155,8 @@ def tokens_of(texts: pa.Array, hasher: WordHash) -> tuple[np.ndarray, np.ndarray
     bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.coalesce(texts, "")))
     lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), "", pc.binary_join_element_wise(bare, "", " ")))
     words = lists.flatten().dictionary_encode()
-    hashes = hasher(words.dictionary.cast(pa.binary()).to_pylist())
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    return hashes[words.indices.to_numpy(zero_copy_only=False)], bounds
+    return hashes(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)], bounds
 
 
 def pairs_of(tokens: np.ndarray, bounds: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +166,54 @@ def pairs_of(tokens: np.ndarray, bounds: np.ndarray, end: np.uint64) -> tuple[np
     return before, mix(before * _PAIR + tokens) | np.uint64(1)
 
 
+def starts_of(grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` bits that n-grams in order begin with, each once, and where those begin (and the end)."""
+    first = (grams >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(grams), np.int64)
+    at = np.flatnonzero(np.diff(first, prepend=-1))
+    return first[at], np.append(at, len(grams))
+
+
+def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Stretches of an array as binary values; ``at`` is where they begin (and the end)."""
+    buffers = [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, buffers)
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of binary rows end to end (a null has none), and where rows begin (and the end)."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return raw.view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def stretches(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    at = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return zip(at[:-1], at[1:], strict=True) if len(keys) else iter(())
+
+
+def by_key(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of rows in the order of a key: each key, and the values of all its rows end to end for each binary column beside it."""
+    held, parts = -1, []
+    for batch in batches:
+        keys, columns = batch.column(0).to_numpy(), [unpacked(c, k) for c, k in zip(batch.columns[1:], kinds, strict=True)]
+        for a, b in stretches(keys):
+            if keys[a] != held and parts:
+                yield held, [np.concatenate(x) for x in zip(*parts, strict=True)]
+                parts = []
+            held = int(keys[a])
+            parts.append([values[at[a] : at[b]] for values, at in columns])
+    if parts:
+        yield held, [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 class Slice:
     """Tokens of some texts, their distinct words, and the distinct n-grams (in order) that a filter is asked for."""
 
-    def __init__(self, texts: pa.Array, hasher: WordHash):
-        self.end = hasher([b""])[0]
-        self.tokens, self.bounds = tokens_of(texts, hasher)
+    def __init__(self, texts: pa.Array):
+        self.end = hashes(pa.array([""]))[0]
+        self.tokens, self.bounds = tokens_of(texts)
         self.words, self.at = np.unique(self.tokens, return_inverse=True)
         both = np.concatenate([mix(self.words) & _WORD, pairs_of(self.tokens, self.bounds, self.end)[1]])
         self.grams, self.places = np.unique(both, return_inverse=True)
@@ -195,48 +249,56 @@ def fit(docs: DataFrame, training: Column, most_bits: int = 29, frequent: int =
     """Counts all tokens and pairs of the rows where ``training`` holds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash(most=200_000)
-        end = hasher([b""])[0]
+        end = hashes(pa.array([""]))[0]
         for batch in slices(batches, 50_000, 4_000_000):
-            tokens, bounds = tokens_of(batch.column(0), hasher)
-            for grams in (mix(tokens) & _WORD, pairs_of(tokens, bounds, end)[1]):
-                h, c = np.unique(grams, return_counts=True)
-                for at in range(0, len(h), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["h", "c"])
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(bits_set(level(batch.column(0).to_numpy())) for batch in batches)
-        yield pa.RecordBatch.from_arrays([pa.array([total])], ["needed"])
-
-    rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, "h long, c long")
-    # slices are summed up already: dealing first spares an aggregation before the shuffle that would find little
-    sums = written(rows.repartition("h").groupBy("h").agg(F.sum("c").alias("c")), "grams")
-    counts = sums.where("h & 1 = 0")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bits = bits_for(sums.select("c").mapInArrow(needed, "needed long").agg(F.sum("needed")).first()[0] or 0)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts = -1, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if parts:
-                g, q = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([segment_bits(g, q)], pa.binary())], ["segment", "bits"])
-                parts.clear()
-
+            tokens, bounds = tokens_of(batch.column(0))
+            h, c = np.unique(np.concatenate([mix(tokens) & _WORD, pairs_of(tokens, bounds, end)[1]]), return_counts=True)
+            part, at = starts_of(h, PART)
+            yield pa.RecordBatch.from_arrays([pa.array(part), packed(h, at), packed(c.astype(np.int32), at)], ["part", "grams", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (h, c) in by_key(batches, np.uint64, np.int32):
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            whole = np.array([0, len(at)])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), packed(h[at], whole), packed(np.add.reduceat(c[order].astype(np.int64), at), whole)], ["part", "grams", "counts"])
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = v = needed = 0
         for batch in batches:
-            segment, g, q = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), level(batch.column(2).to_numpy())
-            starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(segment) else []
-            for a, b in zip(starts, [*starts[1:], len(segment)], strict=True):
-                if segment[a] != held:
-                    yield from close()
-                    held = int(segment[a])
-                parts.append((g[a:b], q[a:b]))
-        yield from close()
+            (h, _), (c, _) = unpacked(batch.column(0), np.uint64), unpacked(batch.column(1), np.int64)
+            words = h & np.uint64(1) == 0
+            n, v, needed = n + int(c[words].sum()), v + int(words.sum()), needed + bits_set(level(c))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (n, v, needed)], ["n", "v", "needed"])
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (h, _), (c, _) = unpacked(batch.column(0), np.uint64), unpacked(batch.column(1), np.int64)
+            at = h & np.uint64(1) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[at])], ["h", "c"])
+
+    schema = "part long, grams binary, counts binary"
+    rows = docs.where(training).select(docs[text_col].cast("string")).mapInArrow(count, schema)
+    merged = rows.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema)
+    path = scratch(docs.sparkSession, "grams")
+    save(merged, path)
+    sums = docs.sparkSession.read.schema(merged.schema).parquet(path)
+    counts = written(sums.select("grams", "counts").mapInArrow(words, "h long, c long"), "words")
+    n, v, needed = (x or 0 for x in sums.select("grams", "counts").mapInArrow(facts, "n long, v long, needed long").agg(F.sum("n"), F.sum("v"), F.sum("needed")).first())
+    bits = bits_for(needed)
     k = bits - SEGMENT
-    keyed = sums.select(F.shiftrightunsigned("h", 64 - k).alias("segment"), "h", "c").repartition("segment").sortWithinPartitions("segment")
-    made = written(keyed.mapInArrow(build, "segment long, bits binary"), "filter")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (h, c) in by_key(batches, np.uint64, np.int64):
+            q, (segment, at) = level(c), starts_of(h, k)
+            for s, a, b in zip(segment.tolist(), at[:-1], at[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([segment_bits(h[a:b], q[a:b])], pa.binary())], ["segment", "bits"])
+
+    grouped = sums.select(F.shiftright("part", PART - min(k, GROUP)).alias("group"), "part", "grams", "counts")
+    grouped = grouped.repartition("group").sortWithinPartitions("part").select("group", "grams", "counts")
+    made = written(grouped.mapInArrow(build, "segment long, bits binary"), "filter")
+    removed(docs.sparkSession, path)
     data = None
     if bits <= most_bits:
         data, each = np.zeros(1 << (bits - 3), np.uint8), 1 << (SEGMENT - 3)
@@ -281,10 +343,10 @@ def _by_broadcast(texts: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, bits, data, frequent = sent.value
-        kept, hasher = Filter(data, bits), WordHash(most=200_000)
+        kept = Filter(data, bits)
         serial = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2000, 1_500_000):
-            some = Slice(batch.column(1), hasher)
+            some = Slice(batch.column(1))
             scores = some.scores(kept.levels(some.grams), total)
             uid = serial + np.arange(batch.num_rows)
             serial += batch.num_rows
@@ -293,70 +355,85 @@ def _by_broadcast(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return texts.mapInArrow(run, _SCORED)
 
 
+def questions(made: DataFrame, bits: int) -> DataFrame:
+    """The distinct n-grams of each slice, a row for each group of the filter's segments."""
+    k = min(bits - SEGMENT, GROUP)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = Slice(texts.values).grams
+                group, at = starts_of(grams, k)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(len(group), number)), packed(grams, at)], ["group", "slice", "bytes"])
+
+    return made.select("slice", "texts").mapInArrow(asked, "group long, slice long, bytes binary")
+
+
+def answers(asked: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
+    """The levels that a filter's segments find for rows of ``questions``, in the same order."""
+    each = max(0, bits - SEGMENT - GROUP)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = -1, None
+        for batch in batches:
+            group, number, segment = (batch.column(i).to_numpy() for i in range(3))
+            raw, at = unpacked(batch.column(3), np.uint8)
+            for a, b in stretches(group):
+                if group[a] != held:
+                    held = int(group[a])
+                    kept = Filter(np.zeros(1 << (SEGMENT - 3 + each), np.uint8), bits, held << each)
+                first = a + int((number[a:b] < 0).sum())
+                for i in range(a, first):
+                    place = int(segment[i] - kept.first) << (SEGMENT - 3)
+                    kept.data[place : place + at[i + 1] - at[i]] = raw[at[i] : at[i + 1]]
+                if first < b:
+                    grams = raw[at[first] : at[b]].view(np.uint64)
+                    q = np.concatenate([kept.levels(grams[x : x + 200_000]).astype(np.int8) for x in range(0, len(grams), 200_000)])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[first:b]), pa.array(group[first:b]), packed(q, (at[first : b + 1] - at[first]) // 8)], ["slice", "group", "levels"])
+
+    own = segments.select(F.shiftright("segment", each).alias("group"), F.lit(-1).cast("long").alias("slice"), "segment", F.col("bits").alias("bytes"))
+    both = own.union(asked.select("group", "slice", F.lit(-1).cast("long"), "bytes"))
+    return both.repartition("group").sortWithinPartitions("group", "slice").mapInArrow(answered, "slice long, group long, levels binary")
+
+
 def _by_segment(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """The same for a filter too large to broadcast: n-grams travel to its segments and levels back."""
-    sent = texts.sparkSession.sparkContext.broadcast((_total(model.n, model.v), model.bits, model.frequent))
+    sent = texts.sparkSession.sparkContext.broadcast((_total(model.n, model.v), model.frequent))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 28
-        for batch in slices(batches, 2000, 1_500_000):
+        for batch in slices(batches, 2000, 3_000_000):
             ends = pa.array([0, batch.num_rows], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(ends, batch.column(0)), pa.ListArray.from_arrays(ends, batch.column(1))], ["slice", "ids", "texts"])
             number += 1
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hasher = sent.value[1], WordHash(most=200_000)
-        for batch in batches:
-            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = Slice(texts.values, hasher).grams
-                segment = segment_of(grams, bits)
-                starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])).tolist()
-                parts = [grams[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(grams)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(segment[starts]), pa.array(np.full(len(starts), number)), pa.array(parts, pa.binary())], ["segment", "slice", "bytes"])
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, kept = sent.value[1], -1, None
-        for batch in batches:
-            segment, number, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for s, k, raw in zip(segment, number, batch.column(2).to_pylist(), strict=True):
-                if k < 0:
-                    held, kept = s, Filter(np.frombuffer(raw, np.uint8), bits, s)
-                    continue
-                grams = np.frombuffer(raw, np.uint64)
-                q = kept.levels(grams) if held == s else np.zeros(len(grams), np.int64)
-                found.append((k, s, q.astype(np.int8).tobytes()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["slice", "segment", "levels"])
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (total, _, frequent), hasher = sent.value, WordHash(most=200_000)
+        total, frequent = sent.value
         held: list = []  # slice, ids, texts
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                some = Slice(held[2], hasher)
-                scores = some.scores(np.frombuffer(b"".join(parts), np.int8).astype(np.int64), total)
+                some = Slice(held[2])
+                scores = some.scores(np.concatenate(parts).astype(np.int64), total)
                 yield from _rows(some, (held[0] << 11) + np.arange(len(held[1])), held[1], scores, total, *frequent)
             held.clear()
             parts.clear()
 
         for batch in batches:
-            for i, (number, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if raw is None:
+            (levels, at), ends = unpacked(batch.column(4), np.int8), [-1, *np.flatnonzero(batch.column(1).to_numpy() < 0).tolist(), batch.num_rows]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if a >= 0:
                     yield from close()
-                    held += [number, batch.column(2)[i].values, batch.column(3)[i].values]
-                else:
-                    parts.append(raw)
+                    held += [batch.column(0)[a].as_py(), batch.column(2)[a].values, batch.column(3)[a].values]
+                parts.append(levels[at[a + 1] : at[b]])
         yield from close()
 
     made = written(texts.mapInArrow(sliced, "slice long, ids array<long>, texts array<string>"), "slices")
-    probes = made.select("slice", "texts").mapInArrow(asked, "segment long, slice long, bytes binary")
-    own = model.segments.select("segment", F.lit(-1).cast("long").alias("slice"), F.col("bits").alias("bytes"))
-    levels = own.union(probes).repartition("segment").sortWithinPartitions("segment", "slice").mapInArrow(answered, "slice long, segment long, levels binary")
-    whole = made.select("slice", F.lit(-1).cast("long").alias("segment"), "ids", "texts", F.lit(None).cast("binary").alias("levels"))
-    back = whole.union(levels.select("slice", "segment", F.lit(None).cast("array<long>"), F.lit(None).cast("array<string>"), "levels"))
-    return back.repartition("slice").sortWithinPartitions("slice", "segment").mapInArrow(scored, _SCORED)
+    levels = written(answers(questions(made, model.bits), model.segments, model.bits), "levels")
+    whole = made.select("slice", F.lit(-1).cast("long").alias("group"), "ids", "texts", F.lit(None).cast("binary").alias("levels"))
+    back = whole.union(levels.select("slice", "group", F.lit(None).cast("array<long>"), F.lit(None).cast("array<string>"), "levels"))
+    return back.repartition("slice").sortWithinPartitions("slice", "group").mapInArrow(scored, _SCORED)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_rows import DOCS
 from pyspark.sql import functions as F
@@ -133,6 +134,40 @@ def test_odd_rows_by_segment(spark, odd_docs, no_docs, clashing):
     assert lm.held_out_scores(no_docs, most_bits=0).collect() == []
 
 
+@pytest.mark.parametrize("bits", [24, 31, 34])
+def test_a_slice_asks_few_groups(spark, sf, bits):
+    """A row for each segment would be 16,384 rows a slice at 34 bits: slices times segments, both of which grow with the corpus."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    made = spark.createDataFrame([(k, texts[k::3]) for k in range(3)], "slice long, texts array<string>")
+    got = sorted(lm.questions(made, bits).collect(), key=lambda r: (r.slice, r.group))
+    groups = 1 << min(bits - lm.SEGMENT, lm.GROUP)
+    assert len(got) <= 3 * groups <= 3 * 1024
+    for k in range(3):
+        asked = np.concatenate([np.frombuffer(r.bytes, np.uint64) for r in got if r.slice == k])
+        assert (asked == lm.Slice(pa.array(texts[k::3])).grams).all()
+    assert all((np.frombuffer(r.bytes, np.uint64) >> np.uint64(64 - groups.bit_length() + 1) == r.group).all() for r in got)
+
+
+def test_groups_of_several_segments(spark, sf, monkeypatch):
+    """A filter of 2,048 segments in 1,024 groups; nearly empty, so it has next to no false hit."""
+    monkeypatch.setattr(lm, "LEAST", 31)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert check_scores(docs, most_bits=0) == check_scores(docs, most_bits=31)
+
+
+def test_counts_of_many_small_slices(spark, sf, odd_docs):
+    """Blocks of one part come from many slices and tasks, and several parts lie in one batch."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+        check_scores(docs, most_bits=0)
+        check_lm(docs, most_bits=0, frequent=2)
+        check_lm(odd_docs.repartition(3), most_bits=0, frequent=2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_toxicity_held_out(spark, sf):
     large = sf.replace("sf0.001", "sf0.1")
     got = queries.op1_toxicity(spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").collect()
