@@ -147,8 +147,8 @@ def hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text closed by an end token, and where texts begin (and the end).
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, which of them each token is, each text closed by an end token, and where texts begin (and the end).
 
     A blank after the last word makes the splitter close a text with an empty word, which is the end token.
     """
@@ -156,7 +156,7 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), "", pc.binary_join_element_wise(bare, "", " ")))
     words = lists.flatten().dictionary_encode()
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-    return hashes(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)], bounds
+    return hashes(words.dictionary), words.indices.to_numpy(zero_copy_only=False), bounds
 
 
 def pairs_of(tokens: np.ndarray, bounds: np.ndarray, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +209,21 @@ def by_key(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[in
 
 
 class Slice:
-    """Tokens of some texts, their distinct words, and the distinct n-grams (in order) that a filter is asked for."""
+    """Tokens of some texts, their distinct words, and the distinct n-grams (in order) that a filter is asked for; without ``places`` nothing can be scored."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, places: bool = True):
         self.end = hashes(pa.array([""]))[0]
-        self.tokens, self.bounds = tokens_of(texts)
-        self.words, self.at = np.unique(self.tokens, return_inverse=True)
-        both = np.concatenate([mix(self.words) & _WORD, pairs_of(self.tokens, self.bounds, self.end)[1]])
-        self.grams, self.places = np.unique(both, return_inverse=True)
+        words, at, self.bounds = tokens_of(texts)
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.words, self.at = words[order], rank[at]
+        both = np.concatenate([mix(self.words) & _WORD, pairs_of(words[at], self.bounds, self.end)[1]])
+        if places:
+            self.grams, self.places = np.unique(both, return_inverse=True)
+        else:
+            both.sort()
+            self.grams = both[np.concatenate([[True], both[1:] != both[:-1]])]
 
     def scores(self, levels: np.ndarray, total: float) -> np.ndarray:
         """log10 probability of each text by the mixture, from the levels of ``grams``."""
@@ -251,7 +258,8 @@ def fit(docs: DataFrame, training: Column, most_bits: int = 29, frequent: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = hashes(pa.array([""]))[0]
         for batch in slices(batches, 50_000, 4_000_000):
-            tokens, bounds = tokens_of(batch.column(0))
+            distinct, at, bounds = tokens_of(batch.column(0))
+            tokens = distinct[at]
             h, c = np.unique(np.concatenate([mix(tokens) & _WORD, pairs_of(tokens, bounds, end)[1]]), return_counts=True)
             part, at = starts_of(h, PART)
             yield pa.RecordBatch.from_arrays([pa.array(part), packed(h, at), packed(c.astype(np.int32), at)], ["part", "grams", "counts"])
@@ -319,7 +327,9 @@ def _rows(some: Slice, uid: np.ndarray, ids: pa.Array, scores: np.ndarray, total
     """A row for each text with what the frequent words say of its base score, and one for each other word of a text."""
     words, at, bounds, docs_n = mix(some.words) & _WORD, some.at, some.bounds, len(some.bounds) - 1
     doc = np.repeat(np.arange(docs_n), np.diff(bounds))
-    place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+    order = np.argsort(words)  # a search in order stays in the cache
+    place = np.empty(len(words), np.int64)
+    place[order] = np.minimum(np.searchsorted(common, words[order]), max(0, len(common) - 1))
     here = common[place] == words if len(common) else np.zeros(len(words), bool)
     c = np.where(here, exact[place] if len(common) else 0, 0)
     known = here[at]
@@ -362,7 +372,7 @@ def questions(made: DataFrame, bits: int) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                grams = Slice(texts.values).grams
+                grams = Slice(texts.values, places=False).grams
                 group, at = starts_of(grams, k)
                 yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(len(group), number)), packed(grams, at)], ["group", "slice", "bytes"])
 
